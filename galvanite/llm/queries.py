@@ -66,6 +66,56 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from galvanite.llm.sentence_pieces import encode_documents
+
+    return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+#: (verdict, host and path)
+RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's outcome is bad if the document that its path numbers is
+    labelled as toxic or of low quality."""
+    from galvanite.llm.url_filter import host_of, judge_urls, path_of
+
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    number = F.expr("try_cast(regexp_extract(path, '([0-9]+)', 1) as bigint)")
+    named = pages.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).select("host", number.alias("doc_id"))
+    counted = named.where("doc_id is not null and host <> ''").groupBy("host", "doc_id").agg(F.count("*").alias("n"))
+    bad = F.when((F.col("toxic") == 1) | (F.col("quality") == 0), 1).otherwise(0)
+    outcomes = counted.join(labels.select("doc_id", bad.alias("bad")), "doc_id").groupBy("host").agg(F.sum(F.col("bad") * F.col("n")).alias("bad"), F.sum("n").alias("n"))
+    return judge_urls(pages, outcomes, RULES)
+
+
+OP8_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+  coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+r AS (SELECT * FROM (VALUES ('block', 'net', '/', 'net/'), ('allow', 'example.net', '/en/', 'example.net/en/'), ('block', 'example.com', '/de/', 'example.com/de/'), ('allow', 'org', '/fr/', 'org/fr/')) AS t(verdict, name, prefix, rule)),
+hosts0 AS (SELECT p.host, CAST(sum(CASE WHEN l.toxic = 1 OR l.quality = 0 THEN 1 ELSE 0 END) AS DOUBLE) AS bad, CAST(count(*) AS DOUBLE) AS n
+  FROM p JOIN labels l ON l.doc_id = try_cast(regexp_extract(p.path, '([0-9]+)', 1) AS BIGINT) WHERE p.host <> '' GROUP BY p.host),
+hosts AS (SELECT *, string_split(host, '.')[-1] AS suffix, array_to_string(list_concat([''], string_split(host, '.'))[-2:], '.') AS domain FROM hosts0),
+domains AS (SELECT domain, suffix, sum(bad) AS bad, sum(n) AS n FROM hosts GROUP BY domain, suffix),
+suffixes AS (SELECT suffix, sum(bad) AS bad, sum(n) AS n FROM domains GROUP BY suffix),
+g AS (SELECT 3 AS lv, bad, n FROM hosts UNION ALL SELECT 2, bad, n FROM domains UNION ALL SELECT 1, bad, n FROM suffixes),
+s AS (SELECT lv, sum(bad) AS b, sum(n) AS t, count(*) AS c, sum(bad * bad / n) AS q, sum(n * n) AS nn, (sum(bad) + 1) / (sum(n) + 2) AS m FROM g GROUP BY lv),
+k AS (SELECT lv, m, CASE WHEN t > nn / t AND (q - b * b / t - (c - 1) * m * (1 - m)) > 0
+  THEN least(greatest(m * (1 - m) / ((q - b * b / t - (c - 1) * m * (1 - m)) / (t - nn / t)) - 1, 1.0), 1000.0) ELSE 1000.0 END AS k FROM s),
+sr AS (SELECT suffix, (bad + k * m) / (n + k) AS rate FROM suffixes, k WHERE lv = 1),
+dr AS (SELECT d.domain, d.suffix, (d.bad + k * sr.rate) / (d.n + k) AS rate FROM domains d JOIN sr USING (suffix), k WHERE lv = 2),
+hr AS (SELECT h.host, h.n, k.k, (h.bad + k.k * dr.rate) / (h.n + k.k) AS rate FROM hosts h JOIN dr USING (domain, suffix), k WHERE lv = 3),
+blocked AS (SELECT host FROM hr WHERE rate - 1.645 * sqrt(rate * (1 - rate) / (n + k + 1)) > 0.5),
+best AS (SELECT p.host, p.path, max_by(r.rule, length(r.rule)) AS rule, max_by(r.verdict, length(r.rule)) AS verdict FROM (SELECT DISTINCT host, path FROM p) p
+  JOIN r ON (p.host = r.name OR suffix(p.host, '.' || r.name)) AND starts_with(p.path, r.prefix) GROUP BY p.host, p.path)
+SELECT p.page_id, p.host, p.path, best.rule, coalesce(best.verdict, CASE WHEN p.host IN (SELECT host FROM blocked) THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN best ON p.host = best.host AND p.path = best.path
+"""
+
+
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from galvanite.llm.embedding_dedup import embedding_dedup
 
@@ -76,7 +126,7 @@ OP9_SQL = """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 n AS (SELECT vec_id, label, e, sqrt(list_inner_product(e, e)) AS norm FROM v
-  WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0),
+  WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id
   WHERE a.norm > 0 AND b.norm > 0 AND list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.98),
 r AS (SELECT vec_id AS v, vec_id AS c FROM v UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.v WHERE r.c < l.b)
@@ -85,5 +135,5 @@ FROM v JOIN r ON r.v = v.vec_id GROUP BY v.vec_id
 """
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op3_substring_dedup, op4_language_id, op5_exact_dedup, op6_minhash_dedup, op9_embedding_dedup, op10_packing)}
-SQL: dict[str, str] = {"op5_exact_dedup": OP5_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op3_substring_dedup, op4_language_id, op5_exact_dedup, op6_minhash_dedup, op7_sentencepiece, op8_url_filter, op9_embedding_dedup, op10_packing)}
+SQL: dict[str, str] = {"op5_exact_dedup": OP5_SQL, "op8_url_filter": OP8_SQL, "op9_embedding_dedup": OP9_SQL}
