@@ -52,6 +52,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from galvanite.llm.context_tree import score_documents
+
+    held_out = remainder(F.col("doc_id"), 7) == 2
+    out = score_documents(table(spark, sf_dir, "documents"), ~held_out)
+    return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from galvanite.llm.substring_dedup import substring_dedup
 
@@ -135,5 +143,5 @@ FROM v JOIN r ON r.v = v.vec_id GROUP BY v.vec_id
 """
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op3_substring_dedup, op4_language_id, op5_exact_dedup, op6_minhash_dedup, op7_sentencepiece, op8_url_filter, op9_embedding_dedup, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_context_tree, op3_substring_dedup, op4_language_id, op5_exact_dedup, op6_minhash_dedup, op7_sentencepiece, op8_url_filter, op9_embedding_dedup, op10_packing)}
 SQL: dict[str, str] = {"op5_exact_dedup": OP5_SQL, "op8_url_filter": OP8_SQL, "op9_embedding_dedup": OP9_SQL}
