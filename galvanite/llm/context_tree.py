@@ -1,16 +1,16 @@
 """Language-model scores by context-tree weighting.
 
 Each byte is eight binary decisions; a node is the bits decided so far. Its
-contexts are the bytes before it, back to the start of the token, up to a
-depth. A Krichevsky-Trofimov estimate stands at every node of every depth,
-and the weighted probability mixes all depths: at each node, half for its own
-estimate and half for its deeper contexts. Trained counts fix the mixing
-weights, so a byte's probability depends on its context alone and a token's
-on its bytes alone: each distinct token is scored once.
-
-A token is spelled as its bytes and a closing byte 0x20; contexts that reach
-beyond the start of a token are padded with 0x20. The end token is the closing
-byte alone. (Words hold no white space, so the spelling is unambiguous.)
+contexts are the bytes before it, up to a depth. A Krichevsky-Trofimov
+estimate stands at every node of every depth, and the weighted probability
+mixes all depths: at each node, half for its own estimate and half for its
+deeper contexts. Trained counts fix the mixing weights, so a byte's
+probability depends on the bytes before it alone, and each distinct gram
+(context and byte) is scored once.
+
+A document is spelled as its words, one space between, and a line feed for the
+end; contexts before its start are spaces. Words hold no white space, so the
+spelling gives the tokens back.
 """
 
 from __future__ import annotations
@@ -24,191 +24,394 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from galvanite.llm.common import as_bytes, keyed, written
+from galvanite.llm.common import as_bytes, keyed, mix64, partitions, written
+from galvanite.llm.substring_dedup import pack_arrays, unpack_arrays
 
-DEPTH = 5
-_PAD = 0x20
+DEPTH = 7
+_U8 = np.uint64(8)
+#: Contexts whose last two bytes are equal share a bucket, so all of a tree below its second level is in one bucket.
+_SPLIT = 2
 
 
-def _word_counts(held: int):
-    """Distinct words of a task's part, with their counts in training rows."""
+def grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The gram at every byte of the spelled texts, and each text's length."""
+    raw = np.frombuffer(b"".join(b" " * depth + t for t in texts), np.uint8).astype(np.uint64)
+    lengths = np.array([len(t) for t in texts])
+    ends = np.cumsum(lengths + depth)
+    at = np.arange(lengths.sum()) + np.repeat(ends - lengths - (np.cumsum(lengths) - lengths), lengths)
+    out = np.zeros(len(at), np.uint64)
+    for d in range(depth, -1, -1):
+        out = (out << _U8) | raw[at - d]
+    return out, lengths
+
+
+def spelled(text: bytes) -> bytes:
+    return b" ".join(text.lower().split()) + b"\n"
+
+
+def buckets_of(gram: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix64((gram >> _U8) & np.uint64(0xFFFF)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _by_bucket(gram: np.ndarray, buckets: int, *more: np.ndarray) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
+    bucket = buckets_of(gram, buckets)
+    order = np.lexsort((gram, bucket))
+    edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    for k in np.flatnonzero(np.diff(edges)).tolist():
+        mine = order[edges[k] : edges[k + 1]]
+        yield k, (gram[mine], *(x[mine] for x in more))
+
+
+def _steps(x: np.ndarray) -> np.ndarray:
+    return np.diff(x, prepend=x.dtype.type(0))
+
+
+def _summed(gram: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    key, at = np.unique(gram, return_inverse=True)
+    return key, np.bincount(at, weights=count, minlength=len(key)).astype(np.int64)
+
+
+def _parts(texts: list[bytes], size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Slices of about ``size`` bytes."""
+    low, total = 0, 0
+    for i, text in enumerate(texts):
+        total += len(text)
+        if total >= size or i == len(texts) - 1:
+            yield low, i + 1
+            low, total = i + 1, 0
+
+
+def _gram_counts(depth: int, buckets: int, held: int):
+    """Each task's grams with their counts in training rows (0 if only in
+    others), sorted and packed for their buckets."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        train, other = Counter(), Counter()
+        keys, counts, size = [], [], 0
 
         def flush():
-            words = list(train.keys() | other.keys())
-            for low in range(0, len(words), 50_000):
-                part = words[low : low + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([train[w] for w in part], pa.int64())], names=["word", "c"])
-            train.clear(), other.clear()
+            if keys:
+                key, n = _summed(np.concatenate(keys), np.concatenate(counts))
+                for k, (g, c) in _by_bucket(key, buckets, n):
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([pack_arrays([], _steps(g), c)], pa.binary())], names=["bucket", "block"])
+                keys.clear(), counts.clear()
 
         for batch in batches:
-            for text, learn in zip(as_bytes(batch["text"]), batch["learn"].to_pylist(), strict=True):
-                words = text.lower().split()
-                if learn:
-                    train.update(words)
-                    train[b""] += 1  # the end token
-                else:
-                    other.update(words)
-                    other[b""] += 1
-                if len(train) + len(other) > held:
+            learn = batch["learn"].to_numpy(zero_copy_only=False)
+            texts = [spelled(t) for t in as_bytes(batch["text"])]
+            for low, high in _parts(texts):
+                g, lengths = grams(texts[low:high], depth)
+                key, n = _summed(g, np.repeat(learn[low:high], lengths))
+                keys.append(key), counts.append(n)
+                size += len(key)
+                if size >= held:
                     yield from flush()
+                    size = 0
         yield from flush()
 
     return count
 
 
-def _spell(depth: int):
-    """For each byte of a spelled token: its ``depth`` context bytes and the
-    byte itself, as one number."""
+def _merge(key: tuple, table: pa.Table) -> pa.Table:
+    parts = [unpack_arrays(b)[1] for b in table["block"].to_pylist()]
+    g, c = _summed(np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts]), np.concatenate([p[1] for p in parts]))
+    return pa.table({"bucket": pa.array([key[0].as_py()], pa.int64()), "block": pa.array([pack_arrays([], _steps(g), c)], pa.binary())})
 
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = batch["word"].to_pylist()
-            for low in range(0, len(words), 20_000):
-                part = words[low : low + 20_000]
-                lengths = np.array([len(w) + 1 for w in part])
-                raw = np.frombuffer(b"".join(bytes([_PAD]) * depth + w + bytes([_PAD]) for w in part), np.uint8).astype(np.int64)
-                ends = np.cumsum(lengths + depth)
-                at = np.arange(lengths.sum()) + np.repeat(ends - lengths - (np.cumsum(lengths) - lengths), lengths)
-                gram = np.zeros(len(at), np.int64)
-                for d in range(depth, -1, -1):
-                    gram = (gram << 8) | raw[at - d]
-                key = np.repeat(np.arange(len(part)), lengths)
-                take = lambda name: batch[name].slice(low, len(part)).take(pa.array(key))  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([take("id"), take("c"), pa.array(gram)], names=["id", "c", "gram"])
-
-    return spell
-
-
-def log_gamma(x: Column) -> Column:
+
+def log_gamma(x: np.ndarray) -> np.ndarray:
     """ln Gamma(x) for x > 0, by Stirling's series after seven steps up."""
-    up = x
+    up = x.copy()
     for i in range(1, 7):
         up = up * (x + i)
     y = x + 7
-    return (y - 0.5) * F.log(y) - y + 0.5 * log(2 * pi) + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * F.pow(y, F.lit(5.0))) - F.log(up)
+    return (y - 0.5) * np.log(y) - y + 0.5 * log(2 * pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(up)
 
 
-def log_kt(zeros: Column, ones: Column) -> Column:
+def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """ln of the Krichevsky-Trofimov probability of a sequence with these counts."""
-    return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1) - log(pi)
-
-
-def byte_model(grams: DataFrame, depth: int) -> DataFrame:
-    """(gram, logp): natural log probability of the last byte of each gram
-    after the bytes before it. ``grams`` has (gram, c), counts may be 0.
-
-    Counts and log probabilities of a level are sums over the level below, so
-    the tree is built by one aggregate for each depth; then one equi-join for
-    each depth carries the mixture down to the full contexts."""
-    bits = F.expr("explode(transform(sequence(0, 7), i -> struct(cast(shiftleft(1, i) + shiftright(byte, 8 - i) as bigint) as node, (shiftright(byte, 7 - i) & 1) = 1 as one)))")
-    split = grams.select("gram", "c", F.shiftright("gram", 8).alias("context"), F.col("gram").bitwiseAND(255).cast("int").alias("byte"))
-    leaves = split.select("gram", "c", "context", bits.alias("b")).select("gram", "c", (F.shiftleft("context", 8) + F.col("b.node")).alias("key"), F.col("b.one").alias("one"))
-    leaves = written(leaves, "bits")
-    level = leaves.groupBy("key").agg(F.sum(F.when(F.col("one"), 0).otherwise(F.col("c"))).cast("double").alias("n0"), F.sum(F.when(F.col("one"), F.col("c")).otherwise(0)).cast("double").alias("n1"), F.lit(None).cast("double").alias("below"))
-    levels = {}
-    for d in range(depth, -1, -1):
-        own = log_kt(F.col("n0"), F.col("n1"))
-        level = level.withColumn("own", own)
-        # half to stop here, half to go deeper; a full context always stops
-        stop = F.lit(1.0) if d == depth else 1 / (1 + F.exp(F.least(F.col("below") - F.col("own"), F.lit(700.0))))
-        mixed = F.col("own") if d == depth else F.greatest("own", "below") + F.log1p(F.exp(-F.abs(F.col("own") - F.col("below")))) - log(2)
-        level = written(level.select("key", "n0", "n1", stop.alias("stop"), mixed.alias("mixed")), f"level{d}")
-        levels[d] = level
-        if d:
-            node = F.col("key").bitwiseAND(255)
-            up = F.shiftright("key", 8).bitwiseAND((1 << (8 * (d - 1))) - 1)
-            level = level.groupBy((F.shiftleft(up, 8) + node).alias("key")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("mixed").alias("below"))
-    one = lambda: (F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1)
-    down = levels[0].select("key", (F.col("stop") * one()).alias("p1"), (1 - F.col("stop")).alias("rest"))
-    for d in range(1, depth + 1):
-        node = F.col("key").bitwiseAND(255)
-        up = F.shiftright("key", 8).bitwiseAND((1 << (8 * (d - 1))) - 1)
-        parent = down.select(F.col("key").alias("parent"), F.col("p1").alias("over"), F.col("rest").alias("left"))
-        joined = levels[d].withColumn("parent", F.shiftleft(up, 8) + node).join(parent, "parent")
-        down = joined.select("key", (F.col("over") + F.col("left") * F.col("stop") * one()).alias("p1"), (F.col("left") * (1 - F.col("stop"))).alias("rest"))
-    p = F.log(F.when(F.col("one"), F.col("p1")).otherwise(1 - F.col("p1")))
-    return leaves.select("gram", "key", "one").join(down.select("key", "p1"), "key").groupBy("gram").agg(F.sum(p).alias("logp"))
-
-
-def token_model(docs: DataFrame, learn: Column, *, text: str, depth: int, held: int = 400_000) -> DataFrame:
-    """(word, c, logp): every distinct token of ``docs`` (the end token is
-    empty), its count in rows that meet ``learn``, and its log probability."""
-    source = docs.select(F.col(text).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
-    counts = source.mapInArrow(_word_counts(held), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
-    words = written(counts.withColumn("id", F.monotonically_increasing_id()), "words")
-    grams = written(words.mapInArrow(_spell(depth), "id long, c long, gram long"), "grams")
-    model = byte_model(grams.groupBy("gram").agg(F.sum("c").alias("c")), depth)
-    scores = grams.select("id", "gram").join(model, "gram").groupBy("id").agg(F.sum("logp").alias("logp"))
-    return written(words.join(scores, "id").select("word", "c", "logp"), "tokens")
-
-
-def _scored(common: dict[bytes, tuple[int, float]], total: int, distinct: int):
-    """Scores of the common tokens of each row; the rest are listed."""
-    base = {w: np.log10((c + 1) / (total + distinct + 1)) for w, (c, _) in common.items()}
+    return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1.0) - log(pi)
+
+
+def shorter(key: np.ndarray, depth: int) -> np.ndarray:
+    """The same node in the context without its farthest byte."""
+    return (((key >> _U8) & np.uint64((1 << (8 * (depth - 1))) - 1)) << _U8) | (key & np.uint64(255))
+
+
+def weigh(own: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The share of a node's own estimate, and ln of its weighted probability:
+    half for its own estimate, half for its deeper contexts."""
+    return 1 / (1 + np.exp(np.clip(below - own, -700, 700))), np.logaddexp(own, below) - log(2)
+
+
+class Level:
+    """Nodes of one depth: counts, the share of their own estimate and the
+    sums that the next shorter depth needs."""
+
+    def __init__(self, key: np.ndarray, n0: np.ndarray, n1: np.ndarray, below: np.ndarray | None):
+        self.key = key
+        own = log_kt(n0, n1)
+        self.stop, self.mixed = (np.ones(len(key)), own) if below is None else weigh(own, below)
+        self.n0, self.n1 = n0, n1
+        self.one = (n1 + 0.5) / (n0 + n1 + 1)
+
+    def up(self, depth: int) -> Level:
+        key, at = np.unique(shorter(self.key, depth), return_inverse=True)
+        return Level(key, *(np.bincount(at, weights=x, minlength=len(key)) for x in (self.n0, self.n1, self.mixed)))
+
+
+def leaves(gram: np.ndarray, count: np.ndarray, depth: int) -> tuple[Level, np.ndarray, np.ndarray]:
+    """The level of full contexts; the place in it of each gram's eight
+    decisions, and the decisions."""
+    byte = gram & np.uint64(255)
+    bits = np.arange(8, dtype=np.uint64)[:, None]
+    node = (np.uint64(1) << bits) + (byte >> (_U8 - bits))
+    one = ((byte >> (np.uint64(7) - bits)) & np.uint64(1)) == 1
+    key, at = np.unique(((gram >> _U8) << _U8) | node, return_inverse=True)
+    at = at.reshape(one.shape)
+    weights = np.broadcast_to(count, one.shape).ravel().astype(float)
+    n1 = np.bincount(at.ravel(), weights=weights * one.ravel(), minlength=len(key))
+    return Level(key, np.bincount(at.ravel(), weights=weights, minlength=len(key)) - n1, n1, None), at, one
+
+
+def _tops(depth: int):
+    """The nodes of each bucket at the depth where buckets part."""
+
+    def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in batch["block"].to_pylist():
+                steps, count = unpack_arrays(block)[1]
+                level, _, _ = leaves(np.cumsum(steps, dtype=np.uint64), count, depth)
+                for d in range(depth, _SPLIT, -1):
+                    level = level.up(d)
+                up = shorter(level.key, _SPLIT).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(up), pa.array(level.n0), pa.array(level.n1), pa.array(level.mixed)], names=["key", "n0", "n1", "below"])
+
+    return tops
+
+
+def _gram_scores(depth: int, first: dict[str, np.ndarray]):
+    """Carries the mixture from the one-byte contexts down to full ones."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, block in zip(batch["bucket"].to_pylist(), batch["block"].to_pylist(), strict=True):
+                steps, count = unpack_arrays(block)[1]
+                gram = np.cumsum(steps, dtype=np.uint64)
+                low, at, one = leaves(gram, count, depth)
+                levels = {depth: low}
+                for d in range(depth, _SPLIT, -1):
+                    levels[d - 1] = levels[d].up(d)
+                key, p1, rest = first["key"], first["p1"], first["rest"]
+                for d in range(_SPLIT, depth + 1):
+                    level = levels[d]
+                    over = np.searchsorted(key, shorter(level.key, d))
+                    key, p1, rest = level.key, p1[over] + rest[over] * level.stop * level.one, rest[over] * (1 - level.stop)
+                logp = np.log(np.where(one, p1[at], 1 - p1[at])).sum(axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([pack_arrays([], steps, count, logp)], pa.binary())], names=["bucket", "block"])
+
+    return score
+
+
+def gram_model(docs: DataFrame, depth: int, buckets: int, held: int = 2_500_000) -> DataFrame:
+    """(bucket, block): every gram of ``docs`` (text, learn) in its bucket,
+    with its count in learnt rows and the natural log probability of its byte.
+
+    Grams are counted in each task and travel as sorted, packed blocks. A
+    bucket holds whole subtrees below two-byte contexts; what lies above, at
+    most 256 contexts of one byte, is summed over buckets and handed back."""
+    sent = docs.mapInArrow(_gram_counts(depth, buckets, held), "bucket long, block binary")
+    merged = written(sent.groupBy("bucket").applyInArrow(_merge, "bucket long, block binary"), "grams")
+    sums = merged.mapInArrow(_tops(depth), "key long, n0 double, n1 double, below double").groupBy("key").agg(F.sum("n0"), F.sum("n1"), F.sum("below")).toArrow().sort_by("key")
+    level = Level(sums["key"].to_numpy().astype(np.uint64), *(sums[i].to_numpy() for i in (1, 2, 3)))
+    root = level.up(1)
+    over = np.searchsorted(root.key, shorter(level.key, 1))
+    p1, rest = root.stop * root.one, 1 - root.stop
+    first = {"key": level.key, "p1": p1[over] + rest[over] * level.stop * level.one, "rest": rest[over] * (1 - level.stop)}
+    return written(merged.mapInArrow(_gram_scores(depth, first), "bucket long, block binary"), "model")
+
+
+def common_grams(model: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The commonest grams, up to ``most`` and all those of a count or none,
+    and their log probabilities: the part of the model that every executor
+    holds. Sorted."""
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in batch["block"].to_pylist():
+                c, n = np.unique(np.minimum(unpack_arrays(block)[1][1], 1 << 20), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(n, pa.int64())], names=["c", "n"])
+
+    total, least = 0, 1 << 62
+    for c, n in sorted(((r["c"], r["n"]) for r in model.mapInArrow(tally, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).collect()), reverse=True):
+        total += n
+        if total > most:
+            break
+        least = c
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in batch["block"].to_pylist():
+                steps, c, logp = unpack_arrays(block)[1]
+                keep = c >= least
+                yield pa.RecordBatch.from_arrays([pa.array(np.cumsum(steps, dtype=np.uint64)[keep].view(np.int64)), pa.array(logp[keep])], names=["gram", "logp"])
+
+    found = model.mapInArrow(pick, "gram long, logp double").toArrow()
+    gram, logp = found["gram"].to_numpy().view(np.uint64), found["logp"].to_numpy()
+    order = np.argsort(gram)
+    return gram[order], logp[order]
+
+
+def _row_sums(depth: int, buckets: int, common, held: int):
+    """Looks up each row's grams among the common ones; the others go to
+    their buckets, packed with the rows that need them."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, value = common.value
+        missing, owners, rows, sums, size = [], [], [], [], 0
+
+        def flush():
+            if not rows:
+                return
+            row, done = np.concatenate(rows), np.concatenate(sums)
+            sent = False
+            for k, (g, o) in _by_bucket(np.concatenate(missing), buckets, np.concatenate(owners)):
+                own, at = np.unique(o, return_inverse=True)
+                whole = (row, done) if not sent else (row[:0], done[:0])
+                sent = True
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([pack_arrays([], _steps(g), own, at.astype(np.uint32), *whole)], pa.binary())], names=["bucket", "block"])
+            if not sent:
+                none = np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([pack_arrays([], none.view(np.uint64), none, none.astype(np.uint32), row, done)], pa.binary())], names=["bucket", "block"])
+            for x in (missing, owners, rows, sums):
+                x.clear()
+
+        for batch in batches:
+            texts = [spelled(t) for t in as_bytes(batch["text"])]
+            row = batch["_row"].to_numpy()
+            for low, high in _parts(texts):
+                g, lengths = grams(texts[low:high], depth)
+                at = np.minimum(np.searchsorted(known, g), max(0, len(known) - 1))
+                hit = known[at] == g if len(known) else np.zeros(len(g), bool)
+                doc = np.repeat(np.arange(high - low), lengths)
+                sums.append(np.bincount(doc[hit], weights=value[at[hit]] if len(known) else None, minlength=high - low).astype(float))
+                rows.append(row[low:high])
+                missing.append(g[~hit]), owners.append(row[low:high][doc[~hit]])
+                size += len(missing[-1])
+                if size >= held:
+                    yield from flush()
+                    size = 0
+        yield from flush()
+
+    return look
+
+
+def _fill(key: tuple, asked: pa.Table, model: pa.Table) -> pa.Table:
+    blocks = model["block"].to_pylist()
+    gram, logp = np.zeros(0, np.uint64), np.zeros(0)
+    if blocks:
+        steps, _, logp = unpack_arrays(blocks[0])[1]
+        gram = np.cumsum(steps, dtype=np.uint64)
+    rows, sums = [np.zeros(0, np.int64)], [np.zeros(0)]
+    for block in asked["block"].to_pylist():
+        steps, own, at, row, done = unpack_arrays(block)[1]
+        found = logp[np.searchsorted(gram, np.cumsum(steps, dtype=np.uint64))]
+        rows += [own, row]
+        sums += [np.bincount(at, weights=found, minlength=len(own)), done]
+    row, at = np.unique(np.concatenate(rows), return_inverse=True)
+    return pa.table({"_row": row, "logp": np.bincount(at, weights=np.concatenate(sums), minlength=len(row)).astype(float)})
+
+
+def _word_counts(held: int):
+    """Distinct tokens of a task's part, with their counts in training rows."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Counter()
+
+        def flush():
+            words = list(seen)
+            for low in range(0, len(words), 50_000):
+                part = words[low : low + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([seen[w] for w in part], pa.int64())], names=["word", "c"])
+            seen.clear()
+
+        for batch in batches:
+            for text in as_bytes(batch["text"]):
+                seen.update(text.lower().split())
+                seen[b""] += 1  # the end token
+                if len(seen) > held:
+                    yield from flush()
+        yield from flush()
+
+    return count
+
+
+def _token_sums(common: dict[bytes, int], total: int, distinct: int):
+    """Base scores of the common tokens of each row; the rest are listed."""
+    base = {w: np.log10((c + 1) / (total + distinct + 1)) for w, c in common.items()}
     kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_tokens, known, low, high, rest, sizes = [], [], [], [], [], []
+            n_tokens, known, low, rest, sizes = [], [], [], [], []
             for text in as_bytes(batch["text"]):
                 words = text.lower().split()
                 words.append(b"")
-                seen, k, b, s, r = Counter(words), 0, 0.0, 0.0, []
-                for w, n in seen.items():
-                    if w in common:
-                        c, logp = common[w]
-                        k += n * (c > 0)
+                k, b, r = 0, 0.0, []
+                for w, n in Counter(words).items():
+                    if w in base:
+                        k += n
                         b += n * base[w]
-                        s += n * logp
                     else:
                         r.append({"word": w, "n": n})
-                n_tokens.append(len(words)), known.append(k), low.append(b), high.append(s), rest.append(r), sizes.append(len(text))
-            yield pa.RecordBatch.from_arrays([batch["_row"], batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(low, pa.float64()), pa.array(high, pa.float64()), pa.array(rest, kind)], names=["_row", "doc_id", "n_bytes", "n_tokens", "known", "base", "logp", "rest"])
+                n_tokens.append(len(words)), known.append(k), low.append(b), rest.append(r), sizes.append(len(text))
+            yield pa.RecordBatch.from_arrays([batch["_row"], batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(low, pa.float64()), pa.array(rest, kind)], names=["_row", "doc_id", "n_bytes", "n_tokens", "known", "base", "rest"])
 
     return score
 
 
-def score_documents(docs: DataFrame, learn: Column, *, text: str = "text", key: str = "doc_id", depth: int = DEPTH, most: int = 100_000) -> DataFrame:
+def score_documents(docs: DataFrame, learn: Column, *, text: str = "text", key: str = "doc_id", depth: int = DEPTH, words: int = 100_000, common: int = 3_000_000) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte per row.
 
     Tokens are runs of other than ASCII white space with A-Z lower-cased, and
     one end. score is the model's log10 probability of the tokens, base_score
-    that of single-token counts with one added: log10((c + 1) / (N + V + 1)) for a token with count c, N tokens and V distinct ones in training.
+    that of single-token counts with one added: log10((c + 1) / (N + V + 1))
+    for a token with count c, N tokens and V distinct ones in training.
     bits_per_byte is the code length over the text's bytes (null if none).
     A null text is empty and has the end token only; rows with a null id are
     scored and, if ``learn`` is null for them, not learnt from. Repeated rows
     count each. An empty table gives an empty result.
 
-    Spread: words are counted in each task before the shuffle. The ``most``
-    commonest tokens' scores go to all executors; only the other tokens, rare
-    by choice, are joined by key, so no key is hot. Every token's own count
-    and score is used either way. ``docs`` is read twice."""
+    Spread: tokens and grams are counted in each task before the shuffle. The
+    ``words`` commonest tokens and ``common`` commonest grams go to all
+    executors (bounds of a few and of some 50 MB); only the others, rare by
+    choice, are joined by key, so no key is hot. Every token and gram has its
+    own count either way. ``docs`` is read several times and must be a table
+    scan."""
     spark = docs.sparkSession
-    model = token_model(docs, learn, text=text, depth=depth)
-    sums = model.where("c > 0").agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
+    source = keyed(docs, doc_id=F.col(key).cast("long"), text=F.col(text), learn=F.coalesce(learn, F.lit(False)))
+    buckets = partitions(spark)
+    model = gram_model(source.select("text", "learn"), depth, buckets)
+    shared = spark.sparkContext.broadcast(common_grams(model, common))
+    asked = source.select("_row", "text").mapInArrow(_row_sums(depth, buckets, shared, 2_000_000), "bucket long, block binary")
+    scores = asked.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(_fill, "_row long, logp double").groupBy("_row").agg(F.sum("logp").alias("logp"))
+
+    counts = written(source.where("learn").select("text").mapInArrow(_word_counts(400_000), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "words")
+    sums = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     total, distinct = sums["n"] or 0, sums["v"]
-    top = model.orderBy(F.desc("c"), "word").limit(most).collect()
-    common = {bytes(r["word"]): (r["c"], r["logp"] / log(10)) for r in top}
-    shared = spark.sparkContext.broadcast(common)
-    source = keyed(docs, doc_id=F.col(key).cast("long"), text=F.col(text))
+    top = {bytes(r["word"]): r["c"] for r in counts.orderBy(F.desc("c"), "word").limit(words).collect()}
+    tokens = spark.sparkContext.broadcast(top)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _scored(shared.value, total, distinct)(batches)
-
-    part = source.mapInArrow(run, "_row long, doc_id long, n_bytes long, n_tokens long, known long, base double, logp double, rest array<struct<word:binary,n:long>>")
-    part = part.withColumn("r", F.explode_outer("rest"))
-    rare = model.select(F.col("word").alias("w"), "c", F.col("logp").alias("token_logp"))
-    joined = part.select("_row", "doc_id", "n_bytes", "n_tokens", "known", "base", "logp", F.col("r.word").alias("w"), F.col("r.n").alias("n")).join(rare, "w", "left")
-    own_base = F.log10((F.col("c") + 1) / F.lit(float(total + distinct + 1)))
-    out = joined.groupBy("_row").agg(
-        *(F.first(x).alias(x) for x in ("doc_id", "n_bytes", "n_tokens", "known", "base", "logp")),
+        yield from _token_sums(tokens.value, total, distinct)(batches)
+
+    part = source.select("_row", "doc_id", "text").mapInArrow(run, "_row long, doc_id long, n_bytes long, n_tokens long, known long, base double, rest array<struct<word:binary,n:long>>")
+    part = part.select("_row", "doc_id", "n_bytes", "n_tokens", "known", "base", F.explode_outer("rest").alias("r"))
+    part = part.select("*", F.col("r.word").alias("word"), F.col("r.n").alias("n")).drop("r").join(counts, "word", "left")
+    own = F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(total + distinct + 1)))
+    bases = part.groupBy("_row").agg(
+        *(F.first(x).alias(x) for x in ("doc_id", "n_bytes", "n_tokens", "known", "base")),
         F.coalesce(F.sum(F.when(F.col("c") > 0, F.col("n"))), F.lit(0)).alias("more"),
-        F.coalesce(F.sum(F.col("n") * own_base), F.lit(0.0)).alias("more_base"),
-        F.coalesce(F.sum(F.col("n") * F.col("token_logp") / log(10)), F.lit(0.0)).alias("more_logp"),
+        F.coalesce(F.sum(F.col("n") * own), F.lit(0.0)).alias("more_base"),
     )
-    score = F.col("logp") + F.col("more_logp")
-    bits = F.when(F.col("n_bytes") > 0, -score * (log(10) / log(2)) / F.col("n_bytes"))
-    return out.select("doc_id", "n_tokens", (F.col("known") + F.col("more")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.col("more_base")).alias("base_score"), score.alias("score"), bits.alias("bits_per_byte"))
+    score = F.col("logp") / log(10)
+    bits = F.when(F.col("n_bytes") > 0, -F.col("logp") / log(2) / F.col("n_bytes"))
+    return bases.join(scores, "_row").select("doc_id", "n_tokens", (F.col("known") + F.col("more")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.col("more_base")).alias("base_score"), score.alias("score"), bits.alias("bits_per_byte"))

@@ -7,12 +7,13 @@ out of place each n-gram stands in the language's profile.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from galvanite.llm.common import as_bytes
 
@@ -119,7 +120,7 @@ def rank(owner: np.ndarray, gram: np.ndarray, n: np.ndarray, top: int) -> tuple[
     return owner[keep], gram[keep], place[keep]
 
 
-def _predicted(languages: list[str], places: np.ndarray, top: int):
+def _predicted(languages: list[str], places: np.ndarray, top: int, carry: list[str]):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = as_bytes(batch["text"])
@@ -136,13 +137,15 @@ def _predicted(languages: list[str], places: np.ndarray, top: int):
             named = pa.array(languages, pa.string()).take(pa.array(best))
             letters = batch["letters"]
             named = pa.compute.if_else(letters, named, "und")
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], named, pa.array(np.where(letters.to_numpy(zero_copy_only=False), np.clip(score, 0, 1), 0.0))], names=["doc_id", "lang_pred", "score"])
+            own = pa.array(np.where(letters.to_numpy(zero_copy_only=False), np.clip(score, 0, 1), 0.0))
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in carry), named, own], names=[*carry, "lang_pred", "score"])
 
     return predict
 
 
-def predict(docs: DataFrame, model: DataFrame, *, text: str | Column = "text", key: str = "doc_id", top: int = 400) -> DataFrame:
-    """doc_id, lang_pred, score for each row. score is one less the mean
+def predict(docs: DataFrame, model: DataFrame, *, text: str | Column = "text", key: str = "doc_id", top: int = 400, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, lang_pred, score for each row, or the columns ``carry`` in
+    place of doc_id. score is one less the mean
     distance of an n-gram as a share of the largest one. A text that is null
     or has no letter (or a model without languages) gives ``und`` and 0.
     Ties go to the first language by name. The model, ``top`` rows for each
@@ -154,16 +157,19 @@ def predict(docs: DataFrame, model: DataFrame, *, text: str | Column = "text", k
     for r in rows:
         places[at[r["lang"]], r["gram"]] = r["place"]
     text = F.col(text) if isinstance(text, str) else text
-    source = docs.select(F.col(key).cast("long").alias("doc_id"), text.alias("text"))
+    own = docs.select(*(F.col(c).alias(f"_{c}") for c in carry), text.alias("text")) if carry else docs.select(F.col(key).cast("long").alias("_doc_id"), text.alias("text"))
+    names = own.columns[:-1]
+    plain = [F.col(c).alias(c[1:]) for c in names]
     if not languages:
-        return source.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    source = source.withColumn("letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+        return own.select(*plain, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    source = own.withColumn("letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     sparse = [(k, np.flatnonzero(p < top), p[p < top]) for k, p in enumerate(places)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         full = np.full((len(languages), GRAMS), top, np.int32)
         for k, gram, place in sparse:
             full[k, gram] = place
-        yield from _predicted(languages, full, top)(batches)
+        yield from _predicted(languages, full, top, names)(batches)
 
-    return source.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    schema = T.StructType([*(own.schema[c] for c in names), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return source.mapInArrow(run, schema).select(*plain, "lang_pred", "score")

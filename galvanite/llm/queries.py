@@ -44,12 +44,16 @@ FROM t JOIN g ON t.text = g.text
 """
 
 
-def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+def packed(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
     from galvanite.llm.packing import pack_documents
 
-    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
 
 
 def op2_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ sorted, and equal neighbours, compared word by word, are repeats.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,7 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from galvanite.llm.common import as_bytes, keyed, mix64, partitions
 
@@ -222,7 +223,10 @@ def _repeats(window: int):
     return find
 
 
-def _cut(window: int):
+_CUT = T.StructType().add("_row", "long").add("doc_id", "long").add("text", "string").add("n_words", "long").add("n_removed", "long")
+
+
+def _cut(window: int, more: list[str]):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, totals, gone = [], [], []
@@ -240,7 +244,7 @@ def _cut(window: int):
                 keep = np.cumsum(drop[:-1]) == 0
                 texts.append(b" ".join(w for w, k in zip(words, keep.tolist(), strict=True) if k).decode())
                 gone.append(int((~keep).sum()))
-            yield pa.RecordBatch.from_arrays([batch["_row"], batch["doc_id"], pa.array(texts, pa.string()), pa.array(totals, pa.int64()), pa.array(gone, pa.int64())], names=["_row", "doc_id", "text", "n_words", "n_removed"])
+            yield pa.RecordBatch.from_arrays([batch["_row"], batch["doc_id"], pa.array(texts, pa.string()), pa.array(totals, pa.int64()), pa.array(gone, pa.int64()), *(batch[c] for c in more)], names=[*_CUT.names, *more])
 
     return cut
 
@@ -251,8 +255,9 @@ def repeated_windows(source: DataFrame, window: int, group: int, buckets: int, h
     return sent.groupBy("bucket").applyInArrow(_repeats(window), "_row long, start long, windows long")
 
 
-def substring_dedup(docs: DataFrame, *, text: str | Column = "text", key: str = "doc_id", window: int = 20, group: int = 4, held: int = 3_000_000, bucket_bytes: int = 8 << 20) -> DataFrame:
-    """One row per row of ``docs``: _row, doc_id, text, n_words, n_removed.
+def substring_dedup(docs: DataFrame, *, text: str | Column = "text", key: str = "doc_id", window: int = 20, group: int = 4, held: int = 3_000_000, bucket_bytes: int = 8 << 20, carry: Sequence[str] = ()) -> DataFrame:
+    """One row per row of ``docs``: _row, doc_id, text, n_words, n_removed,
+    and the columns ``carry``.
 
     Removes each word covered by a window whose words also start earlier: in
     a smaller id, or earlier in the same document. Windows are judged on the
@@ -271,4 +276,8 @@ def substring_dedup(docs: DataFrame, *, text: str | Column = "text", key: str =
     buckets = max(2 * partitions(docs.sparkSession), -(-size // bucket_bytes))
     found = repeated_windows(source, window, group, buckets, held)
     spans = found.groupBy("_row").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
-    return source.join(spans, "_row", "left").mapInArrow(_cut(window), "_row long, doc_id long, text string, n_words long, n_removed long")
+    whole = keyed(docs, doc_id=F.col(key).cast("long"), text=F.col(text) if isinstance(text, str) else text, **{f"_of_{c}": F.col(c) for c in carry})
+    more = [whole.schema[f"_of_{c}"] for c in carry]
+    schema = T.StructType([*_CUT.fields, *more])
+    out = whole.join(spans, "_row", "left").mapInArrow(_cut(window, [f.name for f in more]), schema)
+    return out.select(*_CUT.names, *(F.col(f"_of_{c}").alias(c) for c in carry))
