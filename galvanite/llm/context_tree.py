@@ -27,22 +27,30 @@ from pyspark.sql import functions as F
 from galvanite.llm.common import as_bytes, keyed, mix64, partitions, written
 from galvanite.llm.substring_dedup import pack_arrays, unpack_arrays
 
-DEPTH = 7
+#: A gram has one byte more than the depth, and one byte of a 64-bit number is kept free for a row's place or a flag.
+DEPTH = 6
 _U8 = np.uint64(8)
-#: Contexts whose last two bytes are equal share a bucket, so all of a tree below its second level is in one bucket.
-_SPLIT = 2
+#: Contexts whose last three bytes are equal share a bucket, so all of a tree below its third level is in one bucket.
+_SPLIT = 3
 
 
 def grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """The gram at every byte of the spelled texts, and each text's length."""
-    raw = np.frombuffer(b"".join(b" " * depth + t for t in texts), np.uint8).astype(np.uint64)
+    raw = np.frombuffer(b"".join(b" " * depth + t for t in texts), np.uint8)
     lengths = np.array([len(t) for t in texts])
-    ends = np.cumsum(lengths + depth)
-    at = np.arange(lengths.sum()) + np.repeat(ends - lengths - (np.cumsum(lengths) - lengths), lengths)
-    out = np.zeros(len(at), np.uint64)
-    for d in range(depth, -1, -1):
-        out = (out << _U8) | raw[at - d]
-    return out, lengths
+    out = raw.astype(np.uint64)
+    for d in range(1, depth + 1):
+        out[d:] |= raw[:-d].astype(np.uint64) << np.uint64(8 * d)
+    inside = np.ones(len(raw), bool)
+    starts = np.cumsum(lengths + depth) - lengths - depth
+    inside[(starts[:, None] + np.arange(depth)).ravel()] = False
+    return out[inside], lengths
+
+
+def runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers of a sorted array and how often each occurs."""
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return key[first], np.diff(np.append(first, len(key)))
 
 
 def spelled(text: bytes) -> bytes:
@@ -50,12 +58,13 @@ def spelled(text: bytes) -> bytes:
 
 
 def buckets_of(gram: np.ndarray, buckets: int) -> np.ndarray:
-    return (mix64((gram >> _U8) & np.uint64(0xFFFF)) % np.uint64(buckets)).astype(np.int64)
+    return (mix64((gram >> _U8) & np.uint64(0xFFFFFF)) % np.uint64(buckets)).astype(np.int64)
 
 
 def _by_bucket(gram: np.ndarray, buckets: int, *more: np.ndarray) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
+    """The parts of a sorted array of grams, and what belongs to them, by bucket."""
     bucket = buckets_of(gram, buckets)
-    order = np.lexsort((gram, bucket))
+    order = np.argsort(bucket.astype(np.uint16 if buckets <= 65536 else np.int64), kind="stable")
     edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
     for k in np.flatnonzero(np.diff(edges)).tolist():
         mine = order[edges[k] : edges[k + 1]]
@@ -67,16 +76,17 @@ def _steps(x: np.ndarray) -> np.ndarray:
 
 
 def _summed(gram: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    key, at = np.unique(gram, return_inverse=True)
-    return key, np.bincount(at, weights=count, minlength=len(key)).astype(np.int64)
+    order = np.argsort(gram, kind="stable")
+    key, n = runs(gram[order])
+    return key, np.add.reduceat(count[order], np.cumsum(n) - n) if len(key) else count[:0]
 
 
 def _parts(texts: list[bytes], size: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Slices of about ``size`` bytes."""
+    """Slices of about ``size`` bytes and at most 256 texts."""
     low, total = 0, 0
     for i, text in enumerate(texts):
         total += len(text)
-        if total >= size or i == len(texts) - 1:
+        if total >= size or i - low == 255 or i == len(texts) - 1:
             yield low, i + 1
             low, total = i + 1, 0
 
@@ -86,27 +96,34 @@ def _gram_counts(depth: int, buckets: int, held: int):
     others), sorted and packed for their buckets."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, size = [], [], 0
+        parts, size = [], 0
 
         def flush():
-            if keys:
-                key, n = _summed(np.concatenate(keys), np.concatenate(counts))
-                for k, (g, c) in _by_bucket(key, buckets, n):
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([pack_arrays([], _steps(g), c)], pa.binary())], names=["bucket", "block"])
-                keys.clear(), counts.clear()
+            key = np.concatenate(parts)
+            parts.clear()
+            key.sort()
+            key, n = runs(key)
+            g, learnt = key >> _U8, (key & np.uint64(1)).astype(np.int64)
+            del key
+            g, twice = runs(g)
+            c = np.add.reduceat(n * learnt, np.cumsum(twice) - twice)
+            for k, (mine, own) in _by_bucket(g, buckets, c):
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([pack_arrays([], _steps(mine), own)], pa.binary())], names=["bucket", "block"])
 
         for batch in batches:
-            learn = batch["learn"].to_numpy(zero_copy_only=False)
-            texts = [spelled(t) for t in as_bytes(batch["text"])]
-            for low, high in _parts(texts):
-                g, lengths = grams(texts[low:high], depth)
-                key, n = _summed(g, np.repeat(learn[low:high], lengths))
-                keys.append(key), counts.append(n)
-                size += len(key)
-                if size >= held:
-                    yield from flush()
-                    size = 0
-        yield from flush()
+            for at in range(0, batch.num_rows, 1000):
+                rows = batch.slice(at, 1000)
+                learn = rows["learn"].to_numpy(zero_copy_only=False)
+                texts = [spelled(t) for t in as_bytes(rows["text"])]
+                for low, high in _parts(texts):
+                    g, lengths = grams(texts[low:high], depth)
+                    parts.append((g << _U8) | np.repeat(learn[low:high], lengths))
+                    size += len(g)
+                    if size >= held:
+                        yield from flush()
+                        size = 0
+        if size:
+            yield from flush()
 
     return count
 
@@ -173,7 +190,7 @@ def leaves(gram: np.ndarray, count: np.ndarray, depth: int) -> tuple[Level, np.n
 
 
 def _tops(depth: int):
-    """The nodes of each bucket at the depth where buckets part."""
+    """Sums of each bucket for the nodes of the depth above its own."""
 
     def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,51 +199,60 @@ def _tops(depth: int):
                 level, _, _ = leaves(np.cumsum(steps, dtype=np.uint64), count, depth)
                 for d in range(depth, _SPLIT, -1):
                     level = level.up(d)
-                up = shorter(level.key, _SPLIT).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(up), pa.array(level.n0), pa.array(level.n1), pa.array(level.mixed)], names=["key", "n0", "n1", "below"])
+                key, at = np.unique(shorter(level.key, _SPLIT), return_inverse=True)
+                sums = (np.bincount(at, weights=x, minlength=len(key)) for x in (level.n0, level.n1, level.mixed))
+                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), *map(pa.array, sums)], names=["key", "n0", "n1", "below"])
 
     return tops
 
 
-def _gram_scores(depth: int, first: dict[str, np.ndarray]):
-    """Carries the mixture from the one-byte contexts down to full ones."""
+def _down(levels: dict[int, Level], start: int, key: np.ndarray, p1: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Carries the mixture from depth ``start`` down: at each node the
+    probability of a one so far, and the weight left for deeper contexts."""
+    for d in range(start + 1, max(levels) + 1):
+        level = levels[d]
+        over = np.searchsorted(key, shorter(level.key, d))
+        key, p1, rest = level.key, p1[over] + rest[over] * level.stop * level.one, rest[over] * (1 - level.stop)
+    return key, p1, rest
+
+
+def _gram_scores(depth: int, first):
+    """Log probabilities of each bucket's grams, from what lies above."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for bucket, block in zip(batch["bucket"].to_pylist(), batch["block"].to_pylist(), strict=True):
                 steps, count = unpack_arrays(block)[1]
-                gram = np.cumsum(steps, dtype=np.uint64)
-                low, at, one = leaves(gram, count, depth)
+                low, at, one = leaves(np.cumsum(steps, dtype=np.uint64), count, depth)
                 levels = {depth: low}
                 for d in range(depth, _SPLIT, -1):
                     levels[d - 1] = levels[d].up(d)
-                key, p1, rest = first["key"], first["p1"], first["rest"]
-                for d in range(_SPLIT, depth + 1):
-                    level = levels[d]
-                    over = np.searchsorted(key, shorter(level.key, d))
-                    key, p1, rest = level.key, p1[over] + rest[over] * level.stop * level.one, rest[over] * (1 - level.stop)
+                _, p1, _ = _down(levels, _SPLIT - 1, *first.value)
                 logp = np.log(np.where(one, p1[at], 1 - p1[at])).sum(axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([pack_arrays([], steps, count, logp)], pa.binary())], names=["bucket", "block"])
 
     return score
 
 
-def gram_model(docs: DataFrame, depth: int, buckets: int, held: int = 2_500_000) -> DataFrame:
+def gram_model(docs: DataFrame, depth: int, buckets: int, held: int = 10_000_000) -> DataFrame:
     """(bucket, block): every gram of ``docs`` (text, learn) in its bucket,
     with its count in learnt rows and the natural log probability of its byte.
 
     Grams are counted in each task and travel as sorted, packed blocks. A
-    bucket holds whole subtrees below two-byte contexts; what lies above, at
-    most 256 contexts of one byte, is summed over buckets and handed back."""
+    bucket holds whole subtrees below three-byte contexts; what lies above,
+    255 nodes for at most 65,536 contexts of two bytes, is summed over
+    buckets, mixed on the driver and handed back."""
     sent = docs.mapInArrow(_gram_counts(depth, buckets, held), "bucket long, block binary")
     merged = written(sent.groupBy("bucket").applyInArrow(_merge, "bucket long, block binary"), "grams")
     sums = merged.mapInArrow(_tops(depth), "key long, n0 double, n1 double, below double").groupBy("key").agg(F.sum("n0"), F.sum("n1"), F.sum("below")).toArrow().sort_by("key")
-    level = Level(sums["key"].to_numpy().astype(np.uint64), *(sums[i].to_numpy() for i in (1, 2, 3)))
-    root = level.up(1)
-    over = np.searchsorted(root.key, shorter(level.key, 1))
-    p1, rest = root.stop * root.one, 1 - root.stop
-    first = {"key": level.key, "p1": p1[over] + rest[over] * level.stop * level.one, "rest": rest[over] * (1 - level.stop)}
-    return written(merged.mapInArrow(_gram_scores(depth, first), "bucket long, block binary"), "model")
+    top = _SPLIT - 1
+    levels = {top: Level(sums["key"].to_numpy().astype(np.uint64), *(sums[i].to_numpy() for i in (1, 2, 3)))}
+    for d in range(top, 0, -1):
+        levels[d - 1] = levels[d].up(d)
+    root = levels[0]
+    first = _down(levels, 0, root.key, root.stop * root.one, 1 - root.stop)
+    shared = docs.sparkSession.sparkContext.broadcast(first)
+    return written(merged.mapInArrow(_gram_scores(depth, shared), "bucket long, block binary"), "model")
 
 
 def common_grams(model: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -266,40 +292,45 @@ def _row_sums(depth: int, buckets: int, common, held: int):
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, value = common.value
-        missing, owners, rows, sums, size = [], [], [], [], 0
+        missing, owners, counts, rows, sums, size = [], [], [], [], [], 0
 
         def flush():
-            if not rows:
-                return
             row, done = np.concatenate(rows), np.concatenate(sums)
-            sent = False
-            for k, (g, o) in _by_bucket(np.concatenate(missing), buckets, np.concatenate(owners)):
-                own, at = np.unique(o, return_inverse=True)
-                whole = (row, done) if not sent else (row[:0], done[:0])
-                sent = True
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([pack_arrays([], _steps(g), own, at.astype(np.uint32), *whole)], pa.binary())], names=["bucket", "block"])
-            if not sent:
-                none = np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([pack_arrays([], none.view(np.uint64), none, none.astype(np.uint32), row, done)], pa.binary())], names=["bucket", "block"])
-            for x in (missing, owners, rows, sums):
+            g, o, n = (np.concatenate(x) for x in (missing, owners, counts))
+            order = np.argsort(g, kind="stable")
+            g, o, n = g[order], o[order], n[order]
+            parts = [(k, mine) for k, mine in _by_bucket(g, buckets, o, n)] or [(0, (g, o, n))]
+            for k, (mine, own, many) in parts:
+                owner, at = np.unique(own, return_inverse=True)
+                block = pack_arrays([], _steps(mine), owner, at.astype(np.uint32), many.astype(np.uint32), row, done)
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([block], pa.binary())], names=["bucket", "block"])
+                row, done = row[:0], done[:0]  # what is done already travels once
+            for x in (missing, owners, counts, rows, sums):
                 x.clear()
 
         for batch in batches:
-            texts = [spelled(t) for t in as_bytes(batch["text"])]
-            row = batch["_row"].to_numpy()
-            for low, high in _parts(texts):
-                g, lengths = grams(texts[low:high], depth)
-                at = np.minimum(np.searchsorted(known, g), max(0, len(known) - 1))
-                hit = known[at] == g if len(known) else np.zeros(len(g), bool)
-                doc = np.repeat(np.arange(high - low), lengths)
-                sums.append(np.bincount(doc[hit], weights=value[at[hit]] if len(known) else None, minlength=high - low).astype(float))
-                rows.append(row[low:high])
-                missing.append(g[~hit]), owners.append(row[low:high][doc[~hit]])
-                size += len(missing[-1])
-                if size >= held:
-                    yield from flush()
-                    size = 0
-        yield from flush()
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
+                texts = [spelled(t) for t in as_bytes(part["text"])]
+                row = part["_row"].to_numpy()
+                for low, high in _parts(texts):
+                    g, lengths = grams(texts[low:high], depth)
+                    key = (g << _U8) | np.repeat(np.arange(high - low, dtype=np.uint64), lengths)
+                    key.sort()
+                    key, n = runs(key)
+                    g, doc = key >> _U8, (key & np.uint64(255)).astype(np.int64)
+                    at = np.minimum(np.searchsorted(known, g), max(0, len(known) - 1))
+                    hit = known[at] == g if len(known) else np.zeros(len(g), bool)
+                    own = value[at[hit]] * n[hit] if len(known) else np.zeros(0)
+                    sums.append(np.bincount(doc[hit], weights=own, minlength=high - low).astype(float))
+                    rows.append(row[low:high])
+                    missing.append(g[~hit]), owners.append(row[low:high][doc[~hit]]), counts.append(n[~hit])
+                    size += len(missing[-1]) + high - low
+                    if size >= held:
+                        yield from flush()
+                        size = 0
+        if rows:
+            yield from flush()
 
     return look
 
@@ -312,8 +343,8 @@ def _fill(key: tuple, asked: pa.Table, model: pa.Table) -> pa.Table:
         gram = np.cumsum(steps, dtype=np.uint64)
     rows, sums = [np.zeros(0, np.int64)], [np.zeros(0)]
     for block in asked["block"].to_pylist():
-        steps, own, at, row, done = unpack_arrays(block)[1]
-        found = logp[np.searchsorted(gram, np.cumsum(steps, dtype=np.uint64))]
+        steps, own, at, many, row, done = unpack_arrays(block)[1]
+        found = logp[np.searchsorted(gram, np.cumsum(steps, dtype=np.uint64))] * many
         rows += [own, row]
         sums += [np.bincount(at, weights=found, minlength=len(own)), done]
     row, at = np.unique(np.concatenate(rows), return_inverse=True)
@@ -388,7 +419,7 @@ def score_documents(docs: DataFrame, learn: Column, *, text: str = "text", key:
     scan."""
     spark = docs.sparkSession
     source = keyed(docs, doc_id=F.col(key).cast("long"), text=F.col(text), learn=F.coalesce(learn, F.lit(False)))
-    buckets = partitions(spark)
+    buckets = 4 * partitions(spark)
     model = gram_model(source.select("text", "learn"), depth, buckets)
     shared = spark.sparkContext.broadcast(common_grams(model, common))
     asked = source.select("_row", "text").mapInArrow(_row_sums(depth, buckets, shared, 2_000_000), "bucket long, block binary")

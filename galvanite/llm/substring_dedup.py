@@ -108,12 +108,16 @@ def _super_kmers(window: int, group: int, buckets: int, held: int):
                 return
             lengths = np.array([len(c) for c in codes])
             flat, words = np.concatenate(codes), list(numbers)
+            codes.clear()
             hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))[flat]
             n, firsts = len(flat), np.cumsum(lengths) - lengths
             grams = np.zeros(n - group + 1, np.uint64)
             for j in range(group):
-                grams = grams * np.uint64(0x9E3779B97F4A7C15) + hashes[j : n - group + 1 + j]
+                grams *= np.uint64(0x9E3779B97F4A7C15)
+                grams += hashes[j : n - group + 1 + j]
+            del hashes
             least = sliding_min(mix64(grams), window - group + 1)
+            del grams
             begins = ranges(firsts, lengths - window + 1)
             doc = np.repeat(np.arange(len(lengths)), lengths - window + 1)
             value = least[begins]
@@ -125,14 +129,14 @@ def _super_kmers(window: int, group: int, buckets: int, held: int):
             start = begin - firsts[owner]
             row, key = np.array(rows, np.int64)[owner], np.array(ids, np.int64)[owner]
             # equal super-k-mers of this part: keep the earliest
-            total = np.concatenate([[np.uint64(0)], np.cumsum(mix64(hashes) * mix64(np.arange(n, dtype=np.uint64) % np.uint64(7) + np.uint64(3)), dtype=np.uint64)])
+            whole = rolling(flat, window)
+            mark = mix64(value[at] + count.astype(np.uint64)) ^ whole[begin] ^ mix64(whole[begin + count - 1])
+            del value, new, least, begins, doc, whole
             order = np.lexsort((start, row, key))
-            mark = mix64(value[at] + count.astype(np.uint64)) ^ rolling(flat, window)[begin] ^ mix64(rolling(flat, window)[begin + count - 1])
             order = order[np.argsort(mark[order], kind="stable")]
             a, b = order[:-1], order[1:]
-            maybe = (mark[a] == mark[b]) & (count[a] == count[b])
             same = np.zeros(len(order), bool)
-            places = np.flatnonzero(maybe)
+            places = np.flatnonzero((mark[a] == mark[b]) & (count[a] == count[b]))
             if len(places):
                 span = count[a[places]] + window - 1
                 equal = flat[ranges(begin[a[places]], span)] == flat[ranges(begin[b[places]], span)]
@@ -150,14 +154,13 @@ def _super_kmers(window: int, group: int, buckets: int, held: int):
                 docs, doc_at = np.unique(owner[mine], return_inverse=True)
                 block = pack_arrays([words[i] for i in used], np.array(rows, np.int64)[docs], np.array(ids, np.int64)[docs], doc_at.astype(np.uint32), start[mine].astype(np.uint32), count[mine].astype(np.uint32), repeat[mine].astype(np.uint8), local.astype(small))
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([block], pa.binary())], names=["bucket", "block"])
-            del total
 
         for batch in batches:
             for row, doc_id, text in zip(batch["_row"].to_pylist(), batch["doc_id"].to_pylist(), as_bytes(batch["text"]), strict=True):
                 words = text.split()
                 if len(words) < window:
                     continue
-                codes.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
+                codes.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
                 rows.append(row)
                 ids.append(NULL_ID if doc_id is None else doc_id)
                 size += len(words)
