@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, partial
 from pathlib import Path
 
 import numpy as np
@@ -26,14 +26,14 @@ def encoder(path: str) -> tiktoken.Encoding:
 
     In such a file a token's id is its rank, so its vocabulary serves as
     ranks for the faster encoder; the ids are those of the file's own
-    tokenizer with special tokens' strings as ordinary text (tests compare
-    them)."""
-    vocabulary = json.loads(Path(path).read_text(encoding="utf-8"))["model"]["vocab"]
+    tokenizer, which gives a special token's string in a text that token's
+    id (tests compare them)."""
+    file = json.loads(Path(path).read_text(encoding="utf-8"))
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = (b for b in range(256) if b not in plain)
     byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-    special = {token: i for token, i in vocabulary.items() if token.startswith("<|") and token.endswith("|>")}
-    ranks = {bytes(byte[c] for c in token): i for token, i in vocabulary.items() if token not in special}
+    special = {token["content"]: token["id"] for token in file["added_tokens"]}
+    ranks = {bytes(byte[c] for c in token): i for token, i in file["model"]["vocab"].items() if token not in special}
     return tiktoken.Encoding("file", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
@@ -41,7 +41,7 @@ def _sizes(path: str, window: int, end: int):
     """Per document: its number of tokens and the CRC of each piece."""
 
     def size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_ordinary
+        encode = partial(encoder(path).encode, allowed_special="all")
         for batch in batches:
             for low in range(0, batch.num_rows, 500):
                 part = batch.slice(low, 500)

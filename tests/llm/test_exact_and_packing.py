@@ -65,7 +65,6 @@ def test_pieces_cover_every_token_once(spark):
     frame = spark.createDataFrame([(i, t, 0) for i, t in texts], SCHEMA + ", start int")
     found = pack_documents(frame, path, group=3).collect()
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
     ids = {(i, t): [*own.encode(t or "", add_special_tokens=False).ids, 0] for i, t in texts}
     for (i, t), tokens in ids.items():
         pieces = sorted((r for r in found if r.doc_id == i and r.doc_tokens == len(tokens)), key=lambda r: r.start)
@@ -90,6 +89,6 @@ def test_fast_ids_are_the_tokenizers_own(spark, sf_dir):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
     texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
-    assert [encoder(path).encode_ordinary(t) for t in texts] == [e.ids for e in own.encode_batch(texts, add_special_tokens=False)]
+    texts += ["a<|endoftext|>b", " <|endoftext|> <|endoftext|>", "<|end", " " * 100_000 + "x", "\n" * 100_000, "é" * 5000]
+    assert [encoder(path).encode(t, allowed_special="all") for t in texts] == [e.ids for e in own.encode_batch(texts, add_special_tokens=False)]
