@@ -355,7 +355,7 @@ def _word_counts(held: int):
     """Distinct tokens of a task's part, with their counts in training rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = Counter()
+        seen: Counter[bytes] = Counter()
 
         def flush():
             words = list(seen)
@@ -378,23 +378,29 @@ def _word_counts(held: int):
 def _token_sums(common: dict[bytes, int], total: int, distinct: int):
     """Base scores of the common tokens of each row; the rest are listed."""
     base = {w: np.log10((c + 1) / (total + distinct + 1)) for w, c in common.items()}
-    kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
+
+    def part_scores(part: pa.RecordBatch) -> pa.RecordBatch:
+        n_tokens, known, low, sizes, edges, rare, times = [], [], [], [], [0], [], []
+        for text in as_bytes(part["text"]):
+            words = text.lower().split()
+            words.append(b"")
+            k, b = 0, 0.0
+            for w, n in Counter(words).items():
+                if w in base:
+                    k += n
+                    b += n * base[w]
+                else:
+                    rare.append(w)
+                    times.append(n)
+            n_tokens.append(len(words)), known.append(k), low.append(b), sizes.append(len(text)), edges.append(len(rare))
+        rest = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int64())], names=["word", "n"])
+        rest = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), rest)
+        return pa.RecordBatch.from_arrays([part["_row"], part["doc_id"], pa.array(sizes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(low, pa.float64()), rest], names=["_row", "doc_id", "n_bytes", "n_tokens", "known", "base", "rest"])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_tokens, known, low, rest, sizes = [], [], [], [], []
-            for text in as_bytes(batch["text"]):
-                words = text.lower().split()
-                words.append(b"")
-                k, b, r = 0, 0.0, []
-                for w, n in Counter(words).items():
-                    if w in base:
-                        k += n
-                        b += n * base[w]
-                    else:
-                        r.append({"word": w, "n": n})
-                n_tokens.append(len(words)), known.append(k), low.append(b), rest.append(r), sizes.append(len(text))
-            yield pa.RecordBatch.from_arrays([batch["_row"], batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(low, pa.float64()), pa.array(rest, kind)], names=["_row", "doc_id", "n_bytes", "n_tokens", "known", "base", "rest"])
+            for low in range(0, batch.num_rows, 500):
+                yield part_scores(batch.slice(low, 500))
 
     return score
 
