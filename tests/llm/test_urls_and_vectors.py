@@ -92,3 +92,27 @@ def test_recall_on_the_given_vectors(spark, sf_dir):
     close = (unit @ unit.T >= 0.98) & (label[:, None] == label[None, :])
     found = embedding_dedup(frame).agg(F.sum("n_links")).first()[0]
     assert 0.9 * (close.sum() - len(rows)) <= found <= close.sum() - len(rows)
+
+
+def test_defaults_recall_low_sparse_and_concentrated_vectors(spark):
+    rng = np.random.default_rng(9)
+    kinds, rows, wanted = [(d, "plain") for d in (1, 2, 4, 8, 9, 16, 24, 32, 64)] + [(64, "half"), (128, "half"), (384, "half"), (384, "four"), (16, "huge"), (8, "tiny")], [], {}
+    for label, (d, kind) in enumerate(kinds):
+        shape = np.ones((60, d))
+        if kind == "half":
+            shape[:, d // 2 :] = 0.02
+        if kind == "four":
+            shape = np.array([np.isin(np.arange(d), rng.choice(d, 4, replace=False)) for _ in range(60)], float)
+        x, y = rng.standard_normal((2, 60, d)) * shape
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        y -= (x * y).sum(axis=1, keepdims=True) * x
+        y = x + 0.174 * y / np.linalg.norm(y, axis=1, keepdims=True) if d > 1 else 2 * x  # cosine 0.985
+        both = np.concatenate([x, y])
+        unit = both / np.linalg.norm(both, axis=1, keepdims=True)
+        wanted[label] = int((unit @ unit.T >= 0.98).sum()) - 120
+        assert wanted[label] >= 120
+        rows += [(1000 * label + i, (v * {"huge": 1e200, "tiny": 1e-200}.get(kind, 1)).tolist(), label) for i, v in enumerate(both)]
+    found = embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    found = {r[0]: r[1] for r in found.groupBy(F.floor(F.col("vec_id") / 1000)).agg(F.sum("n_links")).collect()}
+    for label, (d, kind) in enumerate(kinds):
+        assert (1.0 if d <= 8 else 0.95) * wanted[label] <= found[label] <= wanted[label], (d, kind)
