@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
-from functools import cache, partial
+from functools import cache
 from pathlib import Path
 
 import numpy as np
@@ -13,6 +13,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from galvanite.llm.common import keyed, lists
 
@@ -37,17 +38,31 @@ def encoder(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("file", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+@cache
+def own_tokenizer(path: str) -> Tokenizer:
+    return Tokenizer.from_file(path)
+
+
+def token_ids(path: str, text: str) -> list[int]:
+    """The ids of the file's own tokenizer. The faster encoder gives up on
+    very long runs of white space (about a million characters); such a text
+    goes to the tokenizer itself."""
+    try:
+        return encoder(path).encode(text, allowed_special="all")
+    except ValueError:
+        return own_tokenizer(path).encode(text, add_special_tokens=False).ids
+
+
 def _sizes(path: str, window: int, end: int):
     """Per document: its number of tokens and the CRC of each piece."""
 
     def size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = partial(encoder(path).encode, allowed_special="all")
         for batch in batches:
             for low in range(0, batch.num_rows, 500):
                 part = batch.slice(low, 500)
                 totals, crcs, counts = [], [], []
                 for text in part["text"].to_pylist():
-                    raw = np.array([*encode(text or ""), end], dtype="<u4").tobytes()
+                    raw = np.array([*token_ids(path, text or ""), end], dtype="<u4").tobytes()
                     own = [zlib.crc32(raw[i : i + 4 * window]) for i in range(0, len(raw), 4 * window)]
                     totals.append(len(raw) // 4)
                     counts.append(len(own))

@@ -92,3 +92,17 @@ def test_fast_ids_are_the_tokenizers_own(spark, sf_dir):
     texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     texts += ["a<|endoftext|>b", " <|endoftext|> <|endoftext|>", "<|end", " " * 100_000 + "x", "\n" * 100_000, "é" * 5000]
     assert [encoder(path).encode(t, allowed_special="all") for t in texts] == [e.ids for e in own.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_more_than_a_million_spaces(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = {1: "a" + " " * 1_200_000 + "b<|endoftext|>", 2: "\n" * 1_100_000, 3: "plain"}
+    found = pack_documents(spark.createDataFrame([*texts.items()], SCHEMA), path).collect()
+    own = Tokenizer.from_file(path)
+    for i, text in texts.items():
+        ids = [*own.encode(text, add_special_tokens=False).ids, 0]
+        pieces = sorted((r.start, r.length, r.ids_crc32, r.doc_tokens) for r in found if r.doc_id == i)
+        assert pieces == [(k, len(ids[k : k + 1024]), zlib.crc32(np.array(ids[k : k + 1024], dtype="<u4").tobytes()), len(ids)) for k in range(0, len(ids), 1024)]
