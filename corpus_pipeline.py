@@ -39,8 +39,9 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     shingles, similarity 0.8 or more, the smallest doc_id."""
     from galvanite.llm.near_dedup import near_dedup
 
-    gone = near_dedup(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    named = docs.withColumn("_own", F.sha2("text", 256))
+    gone = near_dedup(named, carry=["_own"]).where(~F.col("kept")).select("doc_id", "_own").distinct()
+    return named.join(gone, ["doc_id", "_own"], "left_anti").select(*docs.columns)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ family; inside a family full shingle sets are intersected.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -73,7 +73,7 @@ def _parts(batch: pa.RecordBatch, size: int = 2 << 20) -> Iterator[tuple[pa.Reco
             low, total = i + 1, 0
 
 
-def _signed(words: int, bands: int, rows: int):
+def _signed(words: int, bands: int, rows: int, carry: Sequence[str]):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for batch in batches:
@@ -89,7 +89,7 @@ def _signed(words: int, bands: int, rows: int):
                     keys[full] = mixed + np.arange(bands, dtype=np.uint64)
                 counts = np.array([bands * (len(s) > 0) for s in sets])
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), lists(keys[counts > 0].ravel().view(np.int64), counts, pa.int64())], names=["doc_id", "n_shingles", "digest", "bands"])
+                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), lists(keys[counts > 0].ravel().view(np.int64), counts, pa.int64()), *(part[c] for c in carry)], names=["doc_id", "n_shingles", "digest", "bands", *carry])
 
     return sign
 
@@ -170,14 +170,15 @@ def _verify(percent: int):
     return verify
 
 
-def near_dedup(docs: DataFrame, *, text: str = "text", key: str = "doc_id", words: int = 5, percent: int = 80, bands: int = 16, rows: int = 4, block: int = 1024) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
+def near_dedup(docs: DataFrame, *, text: str = "text", key: str = "doc_id", words: int = 5, percent: int = 80, bands: int = 16, rows: int = 4, block: int = 1024, carry: Sequence[str] = ()) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept and
+    the columns ``carry`` (of other names than these and ``text``).
 
     Two documents are linked if 100 * intersection >= percent * union of
     their sets of distinct ``words``-word shingles. component_id is the
     smallest id that links reach. A null or empty text, or one without words,
-    has no shingle and no link. Rows with equal ids count as one document; a
-    row with a null id links with nothing. An empty table gives an empty
+    has no shingle and no link. Different texts under one id are linked each
+    on its own; a row with a null id links with nothing. An empty table gives an empty
     result; other columns are not read.
 
     Recall: with 16 bands of 4, a pair at similarity 0.85 shares no band with
@@ -191,32 +192,34 @@ def near_dedup(docs: DataFrame, *, text: str = "text", key: str = "doc_id", word
     group: no group exceeds two blocks or so and no pair is a row, only a
     forest of confirmed links. ``docs``
     is read twice."""
-    source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = written(source.mapInArrow(_signed(words, bands, rows), "doc_id long, n_shingles long, digest binary, bands array<long>"), "signed")
-    classes = signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"))
-    classes = written(classes, "classes")
+    source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), *carry)
+    signed = written(source.mapInArrow(_signed(words, bands, rows, carry), ", ".join(["doc_id long, n_shingles long, digest binary, bands array<long>", *(f"{c} {source.schema[c].dataType.simpleString()}" for c in carry)])), "signed")
+    classes = signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"))
+    classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "classes")  # an id of its own: one doc_id may be the least of several classes
     keys = classes.select("id", F.explode("bands").alias("band"))
     least = keys.groupBy("band").agg(F.min("id").alias("a"), F.max("id").alias("top")).where("a <> top").select("band", "a")
     family = components(keys.join(least, "band").select("a", F.col("id").alias("b")))
-    members = classes.select("digest", "id", "size").join(family.withColumnRenamed("v", "id"), "id").select("digest", "id", "size", F.col("component").alias("family"))
+    members = classes.select("digest", "id", "least_id", "size").join(family.withColumnRenamed("v", "id"), "id").select("digest", "id", "least_id", "size", F.col("component").alias("family"))
     members = written(members, "members")
     # number each family's classes by size; large families only are cut into blocks
     sizes = members.groupBy("family").agg(F.count("*").alias("n"))
     large = sizes.where(F.col("n") > block)
     bins = members.join(large, "family").groupBy("family", "size").agg(F.count("*").alias("k"), F.max("n").alias("n"))
     plan = written(_blocks(members, bins, block), "plan")
-    sets = source.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_full_sets(words), "doc_id long, digest binary, shingles binary")
-    sets = sets.join(plan.select("digest", "id", "groups"), (F.col("doc_id") == F.col("id")) & (sets["digest"] == plan["digest"])).select("id", "shingles", F.explode("groups").alias("g")).dropDuplicates(["id", "g"])
+    sets = source.select("doc_id", "text").join(members.select(F.col("least_id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_full_sets(words), "doc_id long, digest binary, shingles binary")
+    sets = sets.join(plan.select("digest", "id", "least_id", "groups"), (F.col("doc_id") == F.col("least_id")) & (sets["digest"] == plan["digest"])).select("id", "shingles", F.explode("groups").alias("g")).dropDuplicates(["id", "g"])
     edges = sets.groupBy("g").applyInArrow(_verify(percent), "a long, b long")
     found = components(edges)
-    of_class = classes.select("digest", "id").join(found.withColumnRenamed("v", "id"), "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
+    least_of = found.join(classes.select(F.col("id").alias("v"), "least_id"), "v").groupBy("component").agg(F.min("least_id").alias("component_id"))
+    named = found.join(least_of, "component").select(F.col("v").alias("id"), "component_id")
+    of_class = classes.select("digest", "id", "least_id").join(named, "id", "left").select("digest", F.coalesce("component_id", "least_id").alias("component_id"))
+    out = signed.select("doc_id", "n_shingles", "digest", *carry).join(of_class, "digest", "left")
     own = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"), *carry)
 
 
 def _blocks(members: DataFrame, bins: DataFrame, block: int) -> DataFrame:
-    """digest, id, groups: the task groups that each class's set goes to."""
+    """digest, id, least_id, groups: the task groups that each class's set goes to."""
     from pyspark.sql.window import Window
 
     # rank of a size in its family, from counts of sizes: windows run over sizes, not over members
@@ -228,4 +231,4 @@ def _blocks(members: DataFrame, bins: DataFrame, block: int) -> DataFrame:
     own = F.coalesce(spread, F.lit(0)).cast("int")
     cut = cut.withColumn("own", own).withColumn("count", F.coalesce(count, F.lit(1)).cast("int"))
     pairs = F.expr("transform(sequence(0, count - 1), x -> concat_ws(':', cast(family as string), cast(least(own, x) as string), cast(greatest(own, x) as string)))")
-    return cut.select("digest", "id", pairs.alias("groups"))
+    return cut.select("digest", "id", "least_id", pairs.alias("groups"))

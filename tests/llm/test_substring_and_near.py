@@ -133,3 +133,16 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+
+
+def test_different_texts_under_one_id(spark):
+    import corpus_pipeline
+
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " x"), (5, c), (5, c + " x"), (7, b + " y"), (7, "alone in the world"), (None, a)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    found = near_dedup(frame.withColumn("own", frame.text), carry=["own"]).collect()
+    wanted = {(1, a): 1, (1, b): 1, (2, a + " x"): 1, (3, b + " x"): 1, (5, c): 5, (5, c + " x"): 5, (7, b + " y"): 1, (7, "alone in the world"): 7, (None, a): None}
+    assert {(r.doc_id, r.own): r.component_id for r in found} == wanted
+    kept = {(r.doc_id, r.text) for r in corpus_pipeline.near(spark, frame, "").collect()}
+    assert kept == {k for k, v in wanted.items() if k[0] == v}
