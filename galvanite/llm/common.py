@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,47 @@ def keyed(df: DataFrame, **cols: Column) -> DataFrame:
     return df.select(F.monotonically_increasing_id().alias("_row"), *(c.alias(k) for k, c in cols.items()))
 
 
+def joined_back(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, most: int = 100_000) -> DataFrame:
+    """``rows`` left-joined to ``groups``, a written table with one row for
+    each key and its number of rows, ``size``. The ``most`` largest groups
+    are broadcast, so that their rows stay where they are; the others, of
+    which none has more than a ``most``-th of all rows, are joined by key."""
+    if groups.count() <= most:
+        return rows.join(F.broadcast(groups), keys, "left")
+    large = F.broadcast(groups.orderBy(F.desc(size), *keys).limit(most).withColumn("_large", F.lit(True)))
+    marked = rows.join(large, keys, "left")
+    others = marked.where("_large is null").select(rows.columns).join(groups, keys, "left")
+    return marked.where("_large").drop("_large").unionByName(others)
+
+
+def possible(rows: DataFrame, key: str, wanted: DataFrame, bits: int = 27) -> DataFrame:
+    """Rows whose ``key`` may be in the one column of ``wanted``, by a Bloom
+    filter of 2^``bits`` bits: a fixed size (16 MB), so it can go to every
+    executor however many keys there are. It loses no row; with very many keys
+    it merely keeps more, so join the result to ``wanted`` as well. Put it
+    before such a join, and large rows that can't match aren't shuffled."""
+    spark, places, names = rows.sparkSession, ("_p0", "_p1"), rows.columns
+    place = lambda c, j: F.pmod(F.xxhash64(c, F.lit(j)), F.lit(1 << bits))
+    own = wanted.columns[0]
+    set_ = wanted.select(F.explode(F.array(*(place(F.col(own).cast("long"), j) for j in range(2)))).alias("p"))
+    word = set_.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b")).toArrow()
+    filled = np.zeros(1 << (bits - 6), np.uint64)
+    filled[word["w"].to_numpy()] = word["b"].to_numpy().view(np.uint64)
+    shared = spark.sparkContext.broadcast(filled)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        full = shared.value
+        for batch in batches:
+            found = np.ones(batch.num_rows, bool)
+            for name in places:
+                at = batch[name].to_numpy().astype(np.uint64)
+                found &= (full[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+            yield batch.filter(pa.array(found)).select(names)
+
+    marked = rows.select("*", *(place(F.col(key).cast("long"), j).alias(name) for j, name in enumerate(places)))
+    return marked.mapInArrow(keep, rows.schema)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
