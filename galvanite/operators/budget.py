@@ -39,3 +39,32 @@ def overcommitted(ledger: DataFrame, key: str, limit: Column, *, order: str, kin
 
 def mixed_units(ledger: DataFrame, key: str, unit: str = "unit") -> DataFrame:
     return ledger.groupBy(key).agg(F.count_distinct(unit).alias("units")).where("units > 1")
+
+
+def decisions(entries: DataFrame, key: str, limit: Column, estimate: Column, *, order: str) -> DataFrame:
+    """Which requests a hard budget lets start, decided in order.
+
+    ``entries`` has requests (kind request) and what became of earlier ones:
+    consumed with its actual amount, released, adjusted_up, adjusted_down. A
+    request is granted if what is committed and one ``estimate`` more fit the
+    limit; the first that doesn't fit, or a cost above its estimate, exhausts
+    the campaign and every later request is refused. As nothing is refused
+    before that moment, the running sum up to it takes each request as
+    granted, so no state beyond a window is needed."""
+    kind, amount = F.col("kind"), F.col("amount")
+    change = F.when(kind == "request", estimate).when(kind == "consumed", amount - estimate).when(kind == "released", -estimate).when(kind == "adjusted_up", amount).when(kind == "adjusted_down", -amount).otherwise(0)
+    running = Window.partitionBy(key).orderBy(order)
+    up_to, before = running.rowsBetween(Window.unboundedPreceding, Window.currentRow), running.rowsBetween(Window.unboundedPreceding, -1)
+    rows = entries.withColumn("_committed", F.sum(change).over(up_to))
+    over = ((kind == "request") & (F.col("_committed") > limit)) | ((kind == "consumed") & (amount > estimate)) | (kind == "adjusted_up")
+    rows = rows.withColumn("_over", F.coalesce(over, F.lit(False)))
+    rows = rows.withColumn("_earlier", F.coalesce(F.bool_or("_over").over(before), F.lit(False)))
+    decision = F.when(F.col("_earlier"), "refused").when(F.col("_over"), "exhausts").otherwise("granted")
+    return rows.where(kind == "request").select(key, order, F.col("_committed").alias("committed"), decision.alias("decision"))
+
+
+def open_reservation(ledger: DataFrame, job: str, *, entry: str = "entry_id", settles: str = "settles", generation: str = "lease_generation") -> DataFrame:
+    """The unsettled reservation of the highest lease generation of each job."""
+    held = unsettled(ledger.where("kind = 'reserved'"), ledger.where("kind in ('consumed', 'released')"), entry, settles)
+    best = F.max(F.struct(generation, entry, "amount")).alias("r")
+    return held.groupBy(job).agg(best).select(job, f"r.{entry}", f"r.{generation}", "r.amount")

@@ -58,3 +58,58 @@ def replayed_commands(commands: DataFrame, key: list[str], order: str, digest: s
     window = Window.partitionBy(*key).orderBy(order)
     first = F.first(digest).over(window)
     return commands.withColumn("_n", F.row_number().over(window)).withColumn("outcome", F.when(F.col("_n") == 1, "stored").when(F.col(digest) == first, "replayed").otherwise("conflict")).drop("_n")
+
+
+def controlled(commands: DataFrame) -> DataFrame:
+    """What a pause, resume or cancel command does: ``commands`` has action,
+    state (the campaign's, null if there is none), version (its last
+    sequence) and expected_version. Adds outcome (the new state or an error
+    code) and new_version."""
+    from galvanite.functions.lifecycle import TRANSITIONS
+
+    target = F.when(F.col("action") == "pause", "paused").when(F.col("action") == "resume", "active").when(F.col("action") == "cancel", "cancelled")
+    legal = F.concat(F.col("state"), F.lit(" to "), target).isin(*(f"{s} to {t}" for s, ts in TRANSITIONS["campaign"].items() for t in ts))
+    error = F.when(F.col("state").isNull(), "campaign_not_found").when(target.isNull(), "unknown_action").when(F.col("version") != F.col("expected_version"), "expected_version_mismatch").when(~legal, "illegal_transition")
+    return commands.withColumn("outcome", F.coalesce(error, target)).withColumn("new_version", F.when(error.isNull(), F.col("version") + 1))
+
+
+def cancelled_with_campaign(jobs: DataFrame, campaigns: DataFrame, key: str) -> DataFrame:
+    """Available or waiting jobs of cancelled campaigns, as they end."""
+    over = campaigns.where("state = 'cancelled'").select(key)
+    return jobs.where(F.col("state").isin("available", "retry_scheduled")).join(over, key, "left_semi").withColumn("state", F.lit("cancelled"))
+
+
+def source_verdicts(pending: DataFrame, observed: DataFrame, key: str) -> DataFrame:
+    """(key, state, reason) of reserved sources: committed if what is stored
+    has the digest and size that were declared, else quarantined."""
+    found = observed.select(key, F.col("sha256").alias("_sha"), F.col("byte_size").alias("_size"))
+    both = pending.join(found, key, "left")
+    reason = F.when(F.col("_sha").isNull(), "object_missing").when((F.col("_sha") != F.col("sha256")) | (F.col("_size") != F.col("byte_size")), "object_readback_mismatch")
+    return both.select(key, F.when(reason.isNull(), "committed").otherwise("quarantined").alias("state"), reason.alias("reason"))
+
+
+def reconciled(jobs: DataFrame, attempts: DataFrame, objects: DataFrame, as_of: Column) -> dict[str, DataFrame]:
+    """One reconciliation pass: leases that are over are reclaimed, then the
+    attempts that they leave are closed, then every object is judged with
+    what those closures made known. ``objects`` has object_uri, attempt_id,
+    exists, state, recorded, observed, accepted, outcome."""
+    from galvanite.functions.lifecycle import object_verdict
+
+    reclaimed = expired_leases(jobs, as_of)
+    closed = abandoned_attempts(attempts, jobs, as_of)
+    known = objects.join(closed.select("attempt_id", F.col("state").alias("_closed")), "attempt_id", "left")
+    outcome = F.coalesce("outcome", "_closed")
+    verdict = object_verdict(F.col("exists"), F.col("state"), F.col("recorded"), F.col("observed"), F.col("accepted"), outcome)
+    judged = known.select("object_uri", verdict.alias("v")).select("object_uri", "v.verdict", "v.reason")
+    return {"reclaimed": reclaimed, "closed": closed, "objects": judged}
+
+
+def fault_plan(points: list[str], campaigns: int, seed: int) -> list[str]:
+    """Each fault point equally often, in an order that the seed fixes."""
+    import random
+
+    if campaigns < len(points):
+        raise ValueError("every fault point must occur")
+    plan = [points[i % len(points)] for i in range(campaigns)]
+    random.Random(seed).shuffle(plan)
+    return plan

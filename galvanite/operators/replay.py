@@ -7,72 +7,46 @@ forbids is reported as violations, the first of each campaign."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from galvanite.functions import lifecycle
-from galvanite.operators import budget, streams
-
-#: Event type -> (aggregate type, state it sets, null if none).
-EVENTS: dict[str, tuple[str, str | None]] = {
-    "campaign.created": ("campaign", None),
-    "campaign.started": ("campaign", "active"),
-    "campaign.resumed": ("campaign", "active"),
-    "campaign.paused": ("campaign", "paused"),
-    "campaign.completed": ("campaign", "completed"),
-    "campaign.cancelled": ("campaign", "cancelled"),
-    "campaign.failed": ("campaign", "failed"),
-    "campaign.budget_exhausted": ("campaign", "budget_exhausted"),
-    "observation.invalidated": ("campaign", None),
-    "observation.superseded": ("campaign", None),
-    "work_item.queued": ("work_item", "queued"),
-    "work_item.accepted": ("work_item", "accepted"),
-    "work_item.quarantined": ("work_item", "quarantined"),
-    "work_item.rejected": ("work_item", "rejected"),
-    "work_item.cancelled": ("work_item", "cancelled"),
-    "job.enqueued": ("job", "available"),
-    "job.available": ("job", "available"),
-    "job.leased": ("job", "leased"),
-    "job.started": ("job", "running"),
-    "job.heartbeat": ("job", None),
-    "job.lease_expired": ("job", None),
-    "job.retry_scheduled": ("job", "retry_scheduled"),
-    "job.succeeded": ("job", "succeeded"),
-    "job.failed_terminal": ("job", "failed_terminal"),
-    "job.timed_out": ("job", "timed_out"),
-    "job.cancelled": ("job", "cancelled"),
-    "attempt.started": ("attempt", "running"),
-    "attempt.completed": ("attempt", None),
-    "observation.accepted": ("attempt", None),
-    "observation.retained": ("attempt", None),
-    "budget.reserved": ("budget", None),
-    "budget.consumed": ("budget", None),
-    "budget.released": ("budget", None),
-    "budget.adjusted": ("budget", None),
-}
+from galvanite.operators import budget, payloads, streams
+
+#: Types whose last state isn't the one value that their payload may carry.
+_STATELESS = ("observation.invalidated", "observation.superseded", "job.heartbeat", "job.lease_expired", "observation.accepted", "observation.retained", "budget.reserved", "budget.consumed", "budget.released", "budget.adjusted")
+#: Campaign states that end it, and attempt states that may still change.
+OVER = ("completed", "cancelled", "failed", "budget_exhausted")
+OPEN_ATTEMPT, OPEN_ITEM = ("pending", "leased", "running"), ("proposed", "validated", "queued", "quarantined")
+_AGGREGATE = ["campaign_id", "aggregate_type", "aggregate_id"]
 
 
 def _field(name: str) -> Column:
     return F.get_json_object("payload", f"$.{name}")
 
 
-def _typed(events: DataFrame) -> DataFrame:
-    rows = [(t, a, s) for t, (a, s) in EVENTS.items()]
-    known = events.sparkSession.createDataFrame(rows, "event_type string, _aggregate string, _state string")
-    return events.join(F.broadcast(known), "event_type", "left")
+def _state() -> Column:
+    """The state an event sets: what its type says, or the payload's status
+    (an attempt's completion) or state (a campaign's creation); null if none."""
+    kind = F.col("event_type")
+    says = F.when(kind == "attempt.completed", _field("status")).when(kind == "campaign.created", F.coalesce(_field("state"), F.lit("draft")))
+    for name, (_, _, values) in payloads.TYPES.items():
+        if name not in (*_STATELESS, "attempt.completed", "campaign.created"):
+            says = says.when(kind == name, values)
+    return says
 
 
 def state_events(events: DataFrame) -> DataFrame:
-    """Events that set a state, with it: by type, or the payload's status
-    (an attempt's completion) or state (a campaign's creation)."""
-    state = F.when(F.col("event_type") == "attempt.completed", _field("status")).when(F.col("event_type") == "campaign.created", F.coalesce(_field("state"), F.lit("draft"))).otherwise(F.col("_state"))
-    return _typed(events).withColumn("state", state).where("state is not null")
+    """Events that set a state, with it."""
+    return events.withColumn("state", _state()).where("state is not null")
 
 
 def projections(events: DataFrame) -> DataFrame:
     """(campaign_id, aggregate_type, aggregate_id, sequence, state) now."""
-    return streams.last_state(state_events(events), ["campaign_id", "aggregate_type", "aggregate_id"], "sequence", "state").drop("n_events")
+    return streams.last_state(state_events(events), _AGGREGATE, "sequence", "state").drop("n_events")
 
 
 def ledger(events: DataFrame) -> DataFrame:
@@ -84,57 +58,192 @@ def totals(events: DataFrame, limit: Column) -> DataFrame:
     return budget.usage(ledger(events), "campaign_id", limit)
 
 
-def _problem(rows: DataFrame, rule: str, detail: Column) -> DataFrame:
-    return rows.select("campaign_id", "campaign_position", F.lit(rule).alias("rule"), detail.cast("string").alias("detail"))
-
-
-def violations(events: DataFrame) -> list[DataFrame]:
-    """What each rule finds, in the order in which rules count."""
-    typed = _typed(events)
-    moved = streams.moves(state_events(events), ["campaign_id", "aggregate_type", "aggregate_id"], "sequence", "state").where("source is not null")
-    illegal = lifecycle.illegal(moved.withColumn("machine", F.col("aggregate_type")), lifecycle.transition_table(events.sparkSession))
-    leases = events.where(_field("lease_generation").isNotNull() & (F.col("aggregate_type") == "job")).withColumn("generation", _field("lease_generation").try_cast("long"))
-    rows = ledger(events)
-    order = Window.partitionBy("campaign_id", "settles").orderBy("campaign_position")
-    settled = rows.where(F.col("kind").isin("consumed", "released") & F.col("settles").isNotNull()).withColumn("n", F.row_number().over(order)).where("n > 1")
-    adjusted = rows.where(F.col("settles").isNotNull() & F.col("kind").isin("consumed", "adjusted_up", "adjusted_down"))
-    up_to = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    early = adjusted.withColumn("spent", F.count_if(F.col("kind") == "consumed").over(up_to)).withColumn("n", F.count_if(F.col("kind") != "consumed").over(up_to)).where("kind <> 'consumed' and (spent = 0 or n > 1)")
-    causes = streams.bad_causes(events, event="event_id", cause="causation_id", position="campaign_position", stream="campaign_id", correlation="correlation_id")
-    root = (F.col("event_type") == "campaign.created") != (F.col("campaign_position") == 1)
-    return [
-        _problem(streams.gaps(events, ["campaign_id"], "campaign_position"), "campaign_position_gap", F.col("expected")),
-        _problem(streams.gaps(events, ["campaign_id", "aggregate_type", "aggregate_id"], "sequence"), "aggregate_sequence_gap", F.col("expected")),
-        _problem(events.where(root), "incomplete_event_stream", F.col("event_type")),
-        _problem(typed.where("_aggregate is null"), "unknown_event_type", F.col("event_type")),
-        _problem(typed.where("_aggregate <> aggregate_type"), "event_aggregate_type_mismatch", F.col("aggregate_type")),
-        _problem(events.where("event_type <> 'campaign.created' and causation_id is null"), "event_causation_required", F.col("event_type")),
-        _problem(causes, "invalid_event_causation", F.col("problem")),
-        _problem(illegal, "illegal_transition", F.concat_ws(" to ", "source", "target")),
-        _problem(streams.falling(leases, ["campaign_id", "aggregate_id"], "sequence", "generation"), "lease_generation_fell", F.col("generation")),
-        _problem(settled, "reservation_settled_twice", F.col("settles")),
-        _problem(early, "adjustment_without_consumption", F.col("settles")),
-    ]
+#: The rules, in the order in which they count at one position.
+RULES = (
+    "campaign_position_gap", "aggregate_sequence_gap", "incomplete_event_stream", "unknown_event_type", "event_aggregate_type_mismatch", "event_causation_required",
+    "invalid_event_causation", "illegal_transition", "lease_generation_fell", "immutable_field_changed", "reservation_settled_twice", "adjustment_without_consumption",
+)
+
+
+def violations(events: DataFrame) -> DataFrame:
+    """(campaign_id, campaign_position, rank, rule, detail) of every rule that
+    an event breaks. All rules are columns over three shared windows (the
+    stream, the aggregate, the reservation) and one self-join on the cause."""
+    stream = Window.partitionBy("campaign_id").orderBy("campaign_position")
+    own = Window.partitionBy(*_AGGREGATE).orderBy("sequence")
+    before = own.rowsBetween(Window.unboundedPreceding, -1)
+    is_job = F.col("aggregate_type") == "job"
+    job = lambda name: F.when(is_job, _field(name))
+    fixed = F.when(is_job & _field("work_item_id").isNotNull(), F.concat_ws("|", *(_field(x) for x in ("work_item_id", "max_attempts", "command_version", "idempotency_key"))))
+    aggregate = F.lit(None).cast("string")
+    for name, (kind, _, _) in payloads.TYPES.items():
+        aggregate = F.when(F.col("event_type") == name, kind).otherwise(aggregate)
+    budgeted = F.col("event_type").startswith("budget.")
+    rows = events.withColumns({"_state": _state(), "_generation": job("lease_generation").try_cast("long"), "_fixed": fixed, "_aggregate": aggregate, "_settles": F.when(budgeted, _field("reservation_entry_id")), "_kind": F.when(budgeted, _field("kind"))})
+    rows = rows.withColumn("_position", F.row_number().over(stream).cast("long"))
+    rows = rows.withColumns({"_sequence": F.row_number().over(own).cast("long"), "_source": F.last("_state", True).over(before), "_before": F.last("_generation", True).over(before), "_first": F.first("_fixed", True).over(own)})
+    spent, settled, adjusted = "_kind = 'consumed'", "_kind in ('consumed', 'released')", "_kind in ('adjusted_up', 'adjusted_down')"
+    money = rows.where("_settles is not null")
+    up_to = Window.partitionBy("campaign_id", "_settles").orderBy("campaign_position").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    money = money.withColumns({"_spent": F.count_if(F.expr(spent)).over(up_to), "_settled": F.count_if(F.expr(settled)).over(up_to), "_adjusted": F.count_if(F.expr(adjusted)).over(up_to)})
+    rows = money.unionByName(rows.where("_settles is null"), allowMissingColumns=True)
+    causes = events.select(F.col("event_id").alias("_event"), F.col("campaign_id").alias("_stream"), F.col("campaign_position").alias("_at"), F.col("correlation_id").alias("_correlation"))
+    rows = rows.join(causes, F.col("causation_id") == F.col("_event"), "left")
+    cause = F.when(F.col("causation_id").isNull(), F.lit(None)).when(F.col("_event").isNull(), "missing_cause").when(F.col("_stream") != F.col("campaign_id"), "other_stream").when(F.col("_at") >= F.col("campaign_position"), "not_prior").when(~F.col("correlation_id").eqNullSafe(F.col("_correlation")), "other_correlation")
+    moves = [f"{m}:{s} to {t}" for m, states in lifecycle.TRANSITIONS.items() for s, targets in states.items() for t in targets]
+    move = F.concat(F.col("_source"), F.lit(" to "), F.col("_state"))
+    legal = F.concat(F.col("aggregate_type"), F.lit(":"), move).isin(*moves)
+    when = lambda condition, detail: F.when(condition, detail.cast("string"))
+    found = (
+        when(F.col("campaign_position") != F.col("_position"), F.col("_position")),
+        when(F.col("sequence") != F.col("_sequence"), F.col("_sequence")),
+        when((F.col("event_type") == "campaign.created") != (F.col("campaign_position") == 1), F.col("event_type")),
+        when(F.col("_aggregate").isNull(), F.col("event_type")),
+        when(F.col("_aggregate") != F.col("aggregate_type"), F.col("aggregate_type")),
+        when((F.col("event_type") != "campaign.created") & F.col("causation_id").isNull(), F.col("event_type")),
+        cause,
+        when(F.col("_source").isNotNull() & F.col("_state").isNotNull() & ~legal, move),
+        when(F.col("_generation") < F.col("_before"), F.col("_generation")),
+        when(F.col("_fixed") != F.col("_first"), F.col("_fixed")),
+        when(F.expr(settled) & (F.col("_settled") > 1), F.col("_settles")),
+        when(F.expr(adjusted) & ((F.col("_spent") == 0) | (F.col("_adjusted") > 1)), F.col("_settles")),
+    )
+    flags = F.array_compact(F.array(*(F.when(d.isNotNull(), F.struct(F.lit(i).alias("rank"), F.lit(r).alias("rule"), d.alias("detail"))) for i, (r, d) in enumerate(zip(RULES, found, strict=True)))))
+    return rows.select("campaign_id", "campaign_position", F.explode(flags).alias("f")).select("campaign_id", "campaign_position", "f.*")
 
 
 def first_violations(events: DataFrame) -> DataFrame:
     """(campaign_id, campaign_position, rule, detail): the first of each
     broken campaign; sound campaigns have none."""
-    return streams.first_problem(*violations(events), key="campaign_id", position="campaign_position")
+    least = F.min(F.struct("campaign_position", "rank", "rule", "detail")).alias("p")
+    return violations(events).groupBy("campaign_id").agg(least).select("campaign_id", "p.campaign_position", "p.rule", "p.detail")
 
 
 def terminal_conflicts(state: DataFrame) -> DataFrame:
     """(campaign_id, rule): campaigns that are over with attempts still open,
     or completed with work items still open."""
     last = F.first(F.when(F.col("aggregate_type") == "campaign", F.col("state")), ignorenulls=True)
-    open_attempts = F.count_if((F.col("aggregate_type") == "attempt") & F.col("state").isin("pending", "leased", "running"))
-    open_items = F.count_if((F.col("aggregate_type") == "work_item") & F.col("state").isin("proposed", "validated", "queued"))
+    open_attempts = F.count_if((F.col("aggregate_type") == "attempt") & F.col("state").isin(*OPEN_ATTEMPT))
+    open_items = F.count_if((F.col("aggregate_type") == "work_item") & F.col("state").isin(*OPEN_ITEM))
     sums = state.groupBy("campaign_id").agg(last.alias("campaign"), open_attempts.alias("attempts"), open_items.alias("items"))
-    over = F.col("campaign").isin("completed", "cancelled", "failed", "budget_exhausted")
+    over = F.col("campaign").isin(*OVER)
     rule = F.when(over & (F.col("attempts") > 0), "open_attempt").when((F.col("campaign") == "completed") & (F.col("items") > 0), "open_work_item")
     return sums.withColumn("rule", rule).where("rule is not null").select("campaign_id", "rule")
 
 
 def compare(replayed: DataFrame, stored: DataFrame) -> DataFrame:
     """Aggregates whose replayed and stored states differ."""
-    return streams.difference(replayed, stored, ["campaign_id", "aggregate_type", "aggregate_id"], ["state", "sequence"])
+    return streams.difference(replayed, stored, _AGGREGATE, ["state", "sequence"])
+
+
+#: Sections of a replayed campaign: key, fields that never change, fields that a rebuild sets.
+SECTIONS: dict[str, tuple[list[str], list[str], list[str]]] = {
+    "campaigns": (["campaign_id"], ["name", "environment_id", "created_at"], ["state", "updated_at"]),
+    "work_items": (["campaign_id", "work_item_id"], ["candidate_id", "created_at"], ["state", "quarantine_reason", "updated_at"]),
+    "jobs": (["campaign_id", "job_id"], ["work_item_id", "max_attempts", "command_version", "idempotency_key"], ["state", "lease_owner", "lease_expires_at", "lease_generation", "attempt_count", "last_failure", "last_event_id"]),
+    "attempts": (["campaign_id", "attempt_id"], ["work_item_id", "job_id", "ordinal", "status", "observation_id", "failure"], ["state"]),
+    "observations": (["campaign_id", "attempt_id", "observation_id"], ["work_item_id", "object_uri", "byte_size", "sha256", "status"], []),
+    "budget": (["campaign_id"], ["reserved", "consumed", "released", "adjusted_up", "adjusted_down", "outstanding", "unit"], []),
+}
+
+
+def sections(events: DataFrame) -> dict[str, DataFrame]:
+    """The six tables of a replay, each one aggregate over its own events.
+
+    campaigns, work_items, jobs, attempts (with their outcomes), observations
+    and budget; keys and fields as in ``SECTIONS``. Events also need
+    occurred_at. A job's lease and failure are those of its last event, an
+    observation that is recorded again is kept as first recorded."""
+    order = "campaign_position"
+    said = lambda *names: [_field(n).alias(n) for n in names]
+    typed = events.withColumn("_state", _state())
+    of = lambda *kinds: typed.where(F.col("event_type").isin(*kinds))
+
+    def folded(rows: DataFrame, key: str, first: list[Column], last: list[Column]) -> DataFrame:
+        head, tail = F.min(F.struct(order, *first)).alias("f"), F.max(F.struct(order, *last)).alias("l")
+        return rows.groupBy("campaign_id", F.col("aggregate_id").alias(key)).agg(head, tail).drop(f"f.{order}")
+
+    fields = lambda key: SECTIONS[key][0] + SECTIONS[key][1] + SECTIONS[key][2]
+    of_campaign = typed.where((F.col("aggregate_type") == "campaign") & F.col("_state").isNotNull())
+    campaigns = folded(of_campaign, "_id", [*said("name", "environment_id"), F.col("occurred_at").alias("created_at")], [F.col("_state").alias("state"), F.col("occurred_at").alias("updated_at")])
+    of_item = typed.where((F.col("aggregate_type") == "work_item") & F.col("_state").isNotNull())
+    items = folded(of_item, "work_item_id", [*said("candidate_id"), F.col("occurred_at").alias("created_at")], [F.col("_state").alias("state"), F.when(F.col("_state") == "quarantined", _field("reason")).alias("quarantine_reason"), F.col("occurred_at").alias("updated_at")])
+    of_job = typed.where(F.col("aggregate_type") == "job")
+    job_last = [_field("state").alias("state"), *said("lease_owner", "lease_expires_at"), _field("lease_generation").try_cast("long").alias("lease_generation"), _field("attempt_count").try_cast("long").alias("attempt_count"), *said("last_failure"), F.col("event_id").alias("last_event_id")]
+    jobs = folded(of_job, "job_id", [*said("work_item_id"), _field("max_attempts").try_cast("long").alias("max_attempts"), *said("command_version", "idempotency_key")], job_last)
+    of_attempt = of("attempt.started", "attempt.completed")
+    attempts = folded(of_attempt, "attempt_id", [*said("work_item_id", "job_id"), _field("ordinal").try_cast("long").alias("ordinal")], [F.col("_state").alias("state"), *said("status", "observation_id", "failure")])
+    seen = of("observation.accepted", "observation.retained")
+    observations = seen.groupBy("campaign_id", F.col("aggregate_id").alias("attempt_id"), _field("observation_id").alias("observation_id")).agg(F.min(F.struct(order, *said("work_item_id", "object_uri"), _field("byte_size").try_cast("long").alias("byte_size"), *said("sha256", "status"))).alias("f"))
+    money = ledger(events)
+    total = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("amount"))), F.lit(0)).alias(kind)
+    sums = money.groupBy("campaign_id").agg(total("adjusted_up"), total("adjusted_down"), F.min("unit").alias("unit"))
+    spent = budget.usage(money, "campaign_id", F.lit(0)).drop("remaining").join(sums, "campaign_id")
+    flat = lambda rows, key: rows.select(*SECTIONS[key][0], *(F.col(f"f.{c}" if c in SECTIONS[key][1] and c not in ("status", "observation_id", "failure") or key == "observations" else f"l.{c}") for c in SECTIONS[key][1] + SECTIONS[key][2]))
+    out = {"campaigns": flat(campaigns, "campaigns"), "work_items": flat(items, "work_items"), "jobs": flat(jobs, "jobs"), "attempts": flat(attempts, "attempts"), "observations": flat(observations, "observations")}
+    return out | {"budget": spent.select(*fields("budget"))}
+
+
+def compare_sections(replayed: dict[str, DataFrame], stored: dict[str, DataFrame]) -> DataFrame:
+    """(section, campaign_id, subject, difference) over all sections that
+    ``stored`` has."""
+    parts = []
+    for name, table in stored.items():
+        key, fixed, free = SECTIONS[name]
+        rows = streams.difference(replayed[name], table, key, fixed + free)
+        parts.append(rows.select(F.lit(name).alias("section"), F.col("campaign_id"), F.concat_ws("|", *(F.col(k).cast("string") for k in key)).alias("subject"), "difference"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def non_rebuildable(replayed: dict[str, DataFrame], stored: dict[str, DataFrame]) -> DataFrame:
+    """(section, campaign_id, subject, path): stored rows without a replayed
+    one, and fields that never change but differ. A row that only the replay
+    has can be rebuilt; observations and budgets must agree as they are."""
+    found = compare_sections(replayed, stored)
+    fixed = F.lit(None).cast("array<string>")
+    for name, (_, names, _) in SECTIONS.items():
+        fixed = F.when(F.col("section") == name, F.array(*map(F.lit, names))).otherwise(fixed)
+    whole = F.col("section").isin("observations", "budget")
+    path = F.when(F.col("difference") == "only_right", F.array(F.lit("extra"))).when(F.col("difference") == "only_left", F.when(whole, F.array(F.lit("absent")))).otherwise(F.array_intersect(F.split("difference", ","), fixed))
+    return found.select("section", "campaign_id", "subject", F.explode(path).alias("path"))
+
+
+def rebuilt(replayed: dict[str, DataFrame], stored: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Stored tables as a replay leaves them: its rows for each campaign that
+    can be rebuilt, and the stored ones, untouched, for the others."""
+    refused = non_rebuildable(replayed, stored).select("campaign_id").distinct()
+    return {name: replayed[name].join(refused, "campaign_id", "left_anti").unionByName(table.join(refused, "campaign_id", "left_semi")) for name, table in stored.items()}
+
+
+def outcome_conflicts(parts: dict[str, DataFrame]) -> DataFrame:
+    """(campaign_id, subject, rule) over a replay's sections: ends that don't
+    fit together. A success needs an accepted observation of its own attempt,
+    another outcome may only name one if it was suppressed or lost its lease
+    and the observation wasn't accepted; an accepted work item has exactly
+    one success."""
+    seen = parts["observations"].select("campaign_id", "attempt_id", "observation_id", F.col("status").alias("_seen"))
+    ended = parts["attempts"].where("status is not null").join(seen, ["campaign_id", "attempt_id", "observation_id"], "left")
+    success, named = F.col("status") == "succeeded", F.col("observation_id").isNotNull()
+    rule = (
+        F.when(named & F.col("_seen").isNull(), "observation_not_recorded")
+        .when(success & ~F.coalesce(F.col("_seen") == "accepted", F.lit(False)), "success_without_accepted_observation")
+        .when(~success & named & ~F.col("status").isin("duplicate_suppressed", "lease_lost"), "status_may_not_name_observation")
+        .when(~success & named & (F.col("_seen") == "accepted"), "accepted_observation_of_other_outcome")
+    )
+    attempts = ended.withColumn("rule", rule).where("rule is not null").select("campaign_id", F.col("attempt_id").cast("string").alias("subject"), "rule")
+    wins = parts["attempts"].where(success).groupBy("campaign_id", F.col("work_item_id").cast("string").alias("subject")).agg(F.count("*").alias("n"))
+    items = parts["work_items"].where("state = 'accepted'").select("campaign_id", F.col("work_item_id").cast("string").alias("subject")).join(wins, ["campaign_id", "subject"], "left").where("n is null or n <> 1").select("campaign_id", "subject", F.lit("accepted_without_one_success").alias("rule"))
+    return attempts.unionByName(items)
+
+
+def appended(stored: DataFrame, new: DataFrame, key: list[str], order: str, position: str = "sequence", expected: str | None = None) -> DataFrame:
+    """New events with the positions that appending gives them: after the last
+    one of their stream, in ``order``. With ``expected`` (a column of the
+    stream's version that the writer saw) an event whose stream has moved on
+    gets problem expected_version_mismatch and no position."""
+    last = stored.groupBy(*key).agg(F.max(position).alias("_last"))
+    rows = new.join(last, key, "left").withColumn("_last", F.coalesce("_last", F.lit(0)))
+    problem = F.lit(None).cast("string") if expected is None else F.when(F.col(expected) != F.col("_last"), "expected_version_mismatch")
+    rows = rows.withColumn("problem", problem)
+    place = F.row_number().over(Window.partitionBy(*key, F.col("problem").isNull()).orderBy(order))
+    return rows.withColumn(position, F.when(F.col("problem").isNull(), F.col("_last") + place).cast("long")).drop("_last")

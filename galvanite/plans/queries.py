@@ -5,32 +5,14 @@ the same shape; each has DuckDB SQL of its own for comparison."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galvanite.functions import canonical, lifecycle, units
 from galvanite.operators import budget, constraints, evidence, experiments, jobs, metrics, profile, streams
+from galvanite.plans.registry import QUERIES, SQL, query, table
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
+__all__ = ["QUERIES", "SQL"]
 
 def _sweeps(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = F.col("value").cast("decimal(18,6)")
@@ -362,3 +344,6 @@ def constraint_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
         constraints.unique("one_order_per_customer_and_day", orders, ["o_custkey", "day"]),
         constraints.foreign("customer_exists", orders, ["o_custkey"], customers, ["c_custkey"]),
     )
+
+
+from galvanite.plans import campaigns, scalars, views  # noqa: E402, F401 - each registers its queries
