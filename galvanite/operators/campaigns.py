@@ -16,6 +16,24 @@ def tally(rows: DataFrame, *keys: str, where: Column | None = None) -> DataFrame
     return (rows if where is None else rows.where(where)).groupBy(*keys).agg(F.count("*").alias("n"))
 
 
+def counts(rows: DataFrame, key: str, **conditions: Column) -> DataFrame:
+    """(key, n, ...): rows of each key, and how many meet each condition."""
+    return rows.groupBy(key).agg(F.count("*").alias("n"), *(F.count_if(c).alias(name) for name, c in conditions.items()))
+
+
+def excess(rows: DataFrame, key: str, a: Column, b: Column, valid: Column) -> DataFrame:
+    """(key, n, excess, all_valid): by how much a exceeds b, summed over the
+    rows where it does, and whether every row is valid."""
+    return rows.groupBy(key).agg(F.count("*").alias("n"), F.sum(F.greatest(a - b, F.lit(0))).cast("bigint").alias("excess"), F.bool_and(valid).alias("all_valid"))
+
+
+def branches(**parts: DataFrame) -> DataFrame:
+    """Tables one after the other: kind and branch (its rank) tell which a row
+    is from; a column that a branch lacks is null there."""
+    named = [p.withColumns({"kind": F.lit(name), "branch": F.lit(i)}) for i, (name, p) in enumerate(parts.items())]
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), named)
+
+
 def status_view(campaigns: DataFrame, items: DataFrame, outcomes: DataFrame, key: str, item: str) -> DataFrame:
     """Each campaign with its work_items, succeeded, failed and attempts.
 

@@ -65,3 +65,11 @@ def line_ending(text: Column) -> Column:
     cr, lf = count("\r") - crlf, count("\n") - crlf
     kinds = (crlf > 0).cast("int") + (cr > 0).cast("int") + (lf > 0).cast("int")
     return F.when(kinds > 1, "mixed").when(crlf > 0, "crlf").when(lf > 0, "lf").when(cr > 0, "cr").otherwise("none")
+
+
+def ragged(rows: DataFrame, cells: str, width: int) -> DataFrame:
+    """One row: row_count, duplicate_row_count and ragged_row_count of rows
+    given as arrays of cells, against a header of ``width`` columns."""
+    kinds = rows.groupBy(cells).agg(F.count("*").alias("n"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return kinds.agg(total("n").alias("row_count"), total(F.col("n") - 1).alias("duplicate_row_count"), total(F.when(F.size(cells) != width, F.col("n")).otherwise(0)).alias("ragged_row_count"))

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def gaps(events: DataFrame, key: list[str], position: str, first: int = 1) -> DataFrame:
-    """Rows whose position isn't the count of rows up to them."""
-    order = Window.partitionBy(*key).orderBy(position)
+def gaps(events: DataFrame, key: list[str], position: str, first: int = 1, order: list[str] | None = None) -> DataFrame:
+    """Rows whose position isn't the count of rows up to them, in the order
+    of the position, or of ``order`` where positions repeat."""
+    order = Window.partitionBy(*key).orderBy(*(order or [position]))
     return events.withColumn("expected", (F.row_number().over(order) + (first - 1)).cast("long")).where(F.col(position) != F.col("expected"))
 
 

@@ -221,3 +221,41 @@ def appended_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = stored.groupBy("o_custkey").agg(F.max("sequence").alias("seen"))
     new = orders.where("o_orderstatus <> 'F'").join(last, "o_custkey", "left").select("o_custkey", "o_orderkey", F.when(F.col("o_orderstatus") == "O", F.coalesce("seen", F.lit(0))).otherwise(1).alias("seen"))
     return replay.appended(stored, new, ["o_custkey"], "o_orderkey", expected="seen").select("o_custkey", "o_orderkey", "problem", "sequence")
+
+
+@query(f"""{_SQL}, {_ITEMS}, {_JOBS} {_DRIFT}, v AS (SELECT DISTINCT campaign_id FROM log),
+e AS (SELECT 'o' || o_orderkey AS s, CASE WHEN o_totalprice > 200000 THEN 'o' || o_orderkey ELSE 'c' || o_custkey END AS o FROM orders), u AS (SELECT 'c' || c_custkey AS id FROM customer WHERE c_acctbal > 0 UNION SELECT 'o' || o_orderkey FROM orders)
+SELECT 0 AS rank, 'foreign_row' AS rule, CAST(user_id AS VARCHAR) AS campaign_id, CAST(event_id AS VARCHAR) AS subject FROM events WHERE event_type = 'error'
+UNION ALL SELECT 1, 'event_stream', CAST(campaign_id AS VARCHAR), CASE WHEN campaign_id IN (SELECT campaign_id FROM log WHERE campaign_position = 1 AND event_type <> 'campaign.created') THEN 'incomplete_event_stream' ELSE 'campaign_position_gap' END FROM v
+UNION ALL SELECT 2, 'projection', CAST(campaign_id AS VARCHAR), section || '|' || subject || '|' || difference FROM d WHERE difference <> ''
+UNION ALL SELECT 4, 'relation_to_itself', NULL, s || '|derived_from|' || o FROM e WHERE s = o
+UNION ALL SELECT DISTINCT 5, 'relation_outside', NULL, s || '|derived_from|' || o FROM e WHERE o NOT IN (SELECT id FROM u)
+UNION ALL SELECT 6, 'no_lineage_root', CAST(l_orderkey AS VARCHAR), l_partkey || '|' || l_linenumber FROM lineitem WHERE l_returnflag = 'R'
+UNION ALL SELECT 7, 'metric_without_observation', CAST(o_orderkey AS VARCHAR), CAST(o_orderkey AS VARCHAR) FROM orders WHERE (o_custkey, 1) NOT IN (SELECT (l_partkey, l_linenumber) FROM lineitem)
+UNION ALL SELECT 8, 'object', NULL, p_partkey || '|' || CASE WHEN p_size > 25 THEN 'size_mismatch' ELSE 'checksum_mismatch' END FROM part WHERE p_size > 25 OR p_brand <> 'Brand#11'""")
+def campaign_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from galvanite.operators import verification
+
+    events, orders, lines, part = (table(spark, sf_dir, t) for t in ("events", "orders", "lineitem", "part"))
+    log_ = events_with_payload(spark, sf_dir).withColumns({"sequence": F.col("campaign_position"), "causation_id": F.col("event_id") - 1, "correlation_id": F.lit("k")})
+    members = events.select(F.col("user_id").alias("campaign_id"), F.when(F.col("event_type") != "error", F.col("user_id")).alias("row_campaign_id"), F.col("event_id").alias("member"))
+    name = lambda p, c: F.concat(F.lit(p), F.col(c))
+    relations = orders.select(name("o", "o_orderkey").alias("subject_id"), F.lit("derived_from").alias("predicate"), F.when(F.col("o_totalprice") > 200000, name("o", "o_orderkey")).otherwise(name("c", "o_custkey")).alias("object_id"))
+    universe = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(name("c", "c_custkey").alias("id")).union(orders.select(name("o", "o_orderkey")))
+    observations = lines.select(F.col("l_orderkey").alias("campaign_id"), F.col("l_partkey").alias("observation_id"), F.col("l_linenumber").alias("attempt_id"), F.when(F.col("l_returnflag") != "R", "r").alias("root"))
+    metrics = orders.select(F.col("o_orderkey").alias("campaign_id"), F.col("o_orderkey").alias("metric_id"), F.col("o_custkey").alias("observation_id"), F.lit(1).alias("attempt_id"))
+    recorded = part.select(F.col("p_partkey").alias("path"), F.col("p_size").alias("size"), F.col("p_brand").alias("sha256"))
+    observed = part.select(F.col("p_partkey").alias("path"), F.least("p_size", F.lit(25)).alias("size"), F.lit("Brand#11").alias("sha256"))
+    bundle = verification.bundle_problems(observations, metrics, recorded, observed)
+    return verification.campaign_problems(log_, _stored(replay.sections(log_)), members, relations, universe, bundle)
+
+
+@query("""WITH a AS (SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 0), b AS (SELECT c_custkey, CASE WHEN c_nationkey = 3 THEN 0 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_acctbal < 5000),
+j AS (SELECT CASE WHEN b.c_custkey IS NULL THEN 'lost' WHEN a.c_custkey IS NULL THEN 'added' WHEN a.c_acctbal <> b.c_acctbal THEN 'changed' END AS problem FROM a FULL JOIN b ON a.c_custkey = b.c_custkey)
+SELECT 'customer' AS name, problem, count(*) AS n FROM j WHERE problem IS NOT NULL GROUP BY problem""")
+def restored_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from galvanite.operators.verification import restored
+
+    rows = table(spark, sf_dir, "customer")
+    after = rows.where("c_acctbal < 5000").select("c_custkey", F.when(F.col("c_nationkey") == 3, 0.0).otherwise(F.col("c_acctbal")).alias("c_acctbal"))
+    return restored({"customer": rows.where("c_acctbal > 0").select("c_custkey", "c_acctbal")}, {"customer": after}, {"customer": ["c_custkey"]})

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,30 +14,65 @@ from pyspark.sql import functions as F
 
 #: Names of sweep members: library, area, x and y.
 SWEEP = r"^SECCM_dataset/Au-Ir-Rh_([A-Za-z]+-rich)_SECCM_area_(\d+)_x=(-?\d+\.\d+)_y=(-?\d+\.\d+)_LSV\.csv$"
+#: Names that leave their folder.
+UNSAFE_NAME = r"(^|/)\.\.(/|$)|^/|\\|^[A-Za-z]:"
 FIT_MEMBER = "SECCM_dataset/LSV_fit_parameters.csv"
 #: A sweep member's columns.
 SWEEP_HEADER = ("Potential vs. RHE [V]", "Current density [A/cm^2]", "Standard deviation [A/cm^2]")
 
 
-def members(archives: DataFrame, content: bool = True) -> DataFrame:
-    """(path, at, member, size, packed, content) of every file in every
-    archive (path, content), one at a time; an unreadable archive has one row
-    with a null member."""
+#: What reading a damaged, encrypted or oddly packed member raises.
+_UNREADABLE = (zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError, EOFError, OSError, ValueError)
+MEMBERS = "path string, at int, member string, size long, packed long, content binary, problem string"
+
+
+def refusal(infos: list[zipfile.ZipInfo], most_members: int, most_bytes: int, most_ratio: int) -> str | None:
+    """Why an archive is refused, from its directory alone, or None."""
+    names = [i.filename for i in infos]
+    if len(infos) > most_members:
+        return "too_many_members"
+    if any(re.search(UNSAFE_NAME, n) for n in names):
+        return "unsafe_name"
+    if len(set(names)) < len(names):
+        return "duplicate_member"
+    if sum(i.file_size for i in infos) > most_bytes:
+        return "too_large"
+    if any(i.file_size > most_ratio * max(1, i.compress_size) for i in infos):
+        return "ratio_too_high"
+    return None
+
+
+def members(archives: DataFrame, content: bool = True, *, most_members: int = 1000, most_bytes: int = 1 << 30, most_ratio: int = 200) -> DataFrame:
+    """(path, at, member, size, packed, content, problem) of every file in
+    every archive (path, content), one at a time.
+
+    Nothing is unpacked before an archive's directory has passed the limits
+    of ``unsafe``: a refused one has its rows without content. An archive that
+    can't be opened has one row with a null member and problem unreadable; a
+    member that can't be read (damaged, encrypted, unknown packing) has a row
+    with problem unreadable_member. No archive fails the job."""
+    names = [c.split()[0] for c in MEMBERS.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["path", "at", "member", "size", "packed", "content"]
         for batch in batches:
             for path, raw in zip(batch["path"], batch["content"], strict=True):
                 try:
                     box = zipfile.ZipFile(io.BytesIO(raw or b""))
-                except zipfile.BadZipFile:
-                    yield pd.DataFrame([(path, None, None, None, None, None)], columns=names)
+                except _UNREADABLE:
+                    yield pd.DataFrame([(path, None, None, None, None, None, "unreadable")], columns=names)
                     continue
-                for at, info in enumerate(box.infolist()):
-                    if not info.is_dir():
-                        yield pd.DataFrame([(path, at, info.filename, info.file_size, info.compress_size, box.read(info) if content else None)], columns=names)
+                infos = [(at, i) for at, i in enumerate(box.infolist()) if not i.is_dir()]
+                fine = refusal([i for _, i in infos], most_members, most_bytes, most_ratio) is None
+                for at, info in infos:
+                    data = problem = None
+                    if content and fine:
+                        try:
+                            data = box.read(info)
+                        except _UNREADABLE:
+                            problem = "unreadable_member"
+                    yield pd.DataFrame([(path, at, info.filename, info.file_size, info.compress_size, data, problem)], columns=names)
 
-    return archives.select("path", "content").mapInPandas(run, "path string, at int, member string, size long, packed long, content binary")
+    return archives.select("path", "content").mapInPandas(run, MEMBERS)
 
 
 def sweep_index(found: DataFrame) -> DataFrame:
@@ -74,7 +111,7 @@ def sweep_points(found: DataFrame) -> DataFrame:
 def unsafe(found: DataFrame, *, most_members: int = 1000, most_bytes: int = 1 << 30, most_ratio: int = 200) -> DataFrame:
     """(path, problem): archives beyond the limits of count, size, ratio or
     with names that leave their folder. Sizes only, no content is needed."""
-    bad_name = F.col("member").rlike(r"(^|/)\.\.(/|$)|^/|\\|^[A-Za-z]:")
+    bad_name = F.col("member").rlike(UNSAFE_NAME)
     sums = found.groupBy("path").agg(F.count("member").alias("n"), F.sum("size").alias("s"), F.max(F.col("size") / F.greatest("packed", F.lit(1))).alias("r"), F.bool_or(bad_name).alias("b"), F.count_distinct("member").alias("d"))
     problem = F.when(F.col("n") == 0, "unreadable").when(F.col("n") > most_members, "too_many_members").when(F.col("b"), "unsafe_name").when(F.col("d") < F.col("n"), "duplicate_member").when(F.col("s") > most_bytes, "too_large").when(F.col("r") > most_ratio, "ratio_too_high")
     return sums.withColumn("problem", problem).where("problem is not null").select("path", "problem")

@@ -56,6 +56,49 @@ class Profile:
         return sorted((c for c in self.columns if c.role != "ignored"), key=lambda c: ROLE_RANK[c.role])
 
 
+#: Units that a role may have in an electrolysis profile.
+ROLE_UNITS = {"time": ("ms", "s"), "current": ("mA", "A"), "current_density": ("mA/cm^2", "A/m^2"), "potential": ("mV", "V"), "ignored": ()}
+#: Bases of a current density.
+AREA_BASES = ("geometric_area", "electrochemically_active_area", "contact_or_wetted_area")
+
+
+def profile_problems(document: str) -> list[str]:
+    """What an import profile (JSON text) lacks before any file is read under
+    it, in a fixed order; an empty list for a complete one. Electrolysis
+    profiles also need a time axis, units of their roles, and a current basis
+    and area that fit the kind of current."""
+    raw = json.loads(document)
+    columns, metadata = raw.get("columns") or [], raw.get("metadata") or {}
+    roles = [c.get("role") for c in columns]
+    names, tokens = [c.get("source_column") for c in columns], raw.get("missing_value_tokens") or []
+    electrolysis = raw.get("technique") == "galvanostatic_electrolysis"
+    said = lambda field: metadata.get(field) or {}
+    basis, area = said("current_basis"), said("electrode_area")
+    total = basis.get("value") == "total_current" and area.get("state") == "not_applicable"
+    density = basis.get("state") == "known" and basis.get("value") in AREA_BASES and area.get("state") == "known"
+    results = raw.get("auxiliary_results") or []
+    analysed = said("chemical_analysis").get("state") == "known"
+    rules = {
+        "no_columns": not columns,
+        "unknown_role": any(r not in (*ROLE_RANK, "ignored") for r in roles),
+        "bad_delimiter": len(raw.get("delimiter") or "") != 1 or raw.get("delimiter") in ("\r", "\n", '"'),
+        "bad_encoding": raw.get("encoding") not in ("utf-8", "utf-8-sig"),
+        "comma_is_ambiguous": raw.get("decimal_convention") == "comma" and raw.get("delimiter") == ",",
+        "bad_header_row": not isinstance(raw.get("header_row"), int) or raw["header_row"] < 1,
+        "repeated_column": len(names) != len(set(names)),
+        "repeated_token": len(tokens) != len(set(tokens)),
+        "one_potential": roles.count("potential") != 1,
+        "one_current": roles.count("current") + roles.count("current_density") != 1,
+        "one_time": roles.count("time") != 1 if electrolysis else roles.count("time") > 1,
+        "one_cycle": roles.count("cycle") > (0 if electrolysis else 1),
+        "unit_of_other_role": electrolysis and any(u and u not in ROLE_UNITS.get(c.get("role"), ()) for c in columns for u in (c.get("source_unit"), c.get("target_unit"))),
+        "current_context": electrolysis and (("current" in roles and not total) or ("current_density" in roles and not density)),
+        "auxiliary_context": electrolysis and bool(results) != analysed,
+        "repeated_result": len({r.get("result_id") for r in results}) != len(results),
+    }
+    return [rule for rule, broken in rules.items() if broken]
+
+
 class Refused(Exception):
     """The first problem of a file: code, row and column."""
 

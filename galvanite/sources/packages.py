@@ -37,7 +37,7 @@ def json_lines(rows: DataFrame, *order: str) -> bytes:
 
 def package(contents: Mapping[str, bytes]) -> bytes:
     """A ZIP of the members by name and a manifest of their digests."""
-    listed = [{"path": name, "sha256": hashlib.sha256(data).hexdigest(), "size": len(data)} for name, data in sorted(contents.items())]
+    listed = [{"path": name, "sha256": hashlib.sha256(data).hexdigest(), "size": len(data)} for name, data in sorted(contents.items(), key=lambda x: (x[0].casefold(), x[0]))]
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as box:
         for name, data in sorted({**contents, MANIFEST: file_bytes({"members": listed})}.items()):
@@ -47,6 +47,16 @@ def package(contents: Mapping[str, bytes]) -> bytes:
     return out.getvalue()
 
 
+def bundle(events: DataFrame, observations: DataFrame, metrics: DataFrame) -> bytes:
+    """One campaign's bundle: its events in the order of their positions, its
+    observations and metrics in the order of their identities, a manifest."""
+    return package({
+        "events.jsonl": json_lines(events, "campaign_position"),
+        "observations.jsonl": json_lines(observations, "observation_id", "attempt_id"),
+        "metrics.jsonl": json_lines(metrics, "metric_id"),
+    })
+
+
 def publish(data: bytes, target: Path) -> None:
     """Writes beside the target and renames: readers see all or nothing."""
     part = target.with_name(target.name + ".part")
@@ -56,18 +66,21 @@ def publish(data: bytes, target: Path) -> None:
 
 def verify(packages: DataFrame) -> DataFrame:
     """(path, member, problem) for packages (path, content): unsafe archives,
-    and members that the manifest misses, doesn't know, or whose bytes
-    differ. Sound packages give no rows."""
+    members that can't be read, and members that the manifest misses, doesn't
+    know, or whose bytes differ. Sound packages give no rows. Limits are
+    checked before anything is unpacked."""
     found = members(packages)
     refused = unsafe(found)
-    fine = found.join(refused, "path", "left_anti")
+    damaged = found.where("problem = 'unreadable_member'").select("path", "member", "problem")
+    fine = found.join(refused, "path", "left_anti").where("problem is null")
     manifests = fine.where(F.col("member") == MANIFEST).select("path", F.from_json(F.decode("content", "utf-8"), "members array<struct<path:string,sha256:string,size:long>>").alias("m"))
     key = lambda member: F.concat_ws("\n", "path", member)
     declared = manifests.select("path", F.explode("m.members").alias("d")).select(key(F.col("d.path")).alias("key"), F.col("d.size").alias("size"), F.col("d.sha256").alias("sha256"))
     seen = fine.where(F.col("member") != MANIFEST).select(key(F.col("member")).alias("key"), F.col("size"), F.sha2("content", 256).alias("sha256"))
     audit = checksum_audit(declared, seen, "key").select(F.split("key", "\n")[0].alias("path"), F.split("key", "\n")[1].alias("member"), "problem")
     none = fine.select("path").distinct().join(manifests.select("path"), "path", "left_anti").select("path", F.lit(MANIFEST).alias("member"), F.lit("missing").alias("problem"))
-    return refused.select("path", F.lit(None).cast("string").alias("member"), "problem").unionByName(audit).unionByName(none)
+    known = audit.join(damaged.select("path", "member"), ["path", "member"], "left_anti")  # a damaged member isn't missing as well
+    return refused.select("path", F.lit(None).cast("string").alias("member"), "problem").unionByName(damaged).unionByName(known.select("path", "member", "problem")).unionByName(none)
 
 
 def put_verified(root: Path, data: bytes) -> str:
