@@ -1,23 +1,25 @@
 """Near duplicates by circulant MinHash.
 
-Two permutations of the 64-bit integers make every signature coordinate: the
-first scatters the shingles, the second ranks them, and coordinate k ranks
-after a circular shift by k. Bands of coordinates propose documents of one
-family; inside a family full shingle sets are intersected.
+Two permutations make every signature coordinate: the first scatters the
+shingles, the second ranks them, and coordinate k ranks after a circular shift
+by k. Equal bands of coordinates propose documents, which meet at the first
+one that has the band; there full shingle sets are intersected.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator, Sequence
+from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from galvanite.llm.common import as_bytes, lists, mix64, written
+from galvanite.llm.common import as_bytes, joined_back, lists, mix64, possible, written
 from galvanite.llm.components import components
 
 
@@ -48,18 +50,30 @@ def shingles(text: bytes, words: int, hashes: dict) -> np.ndarray:
 def signatures(sets: list[np.ndarray], coordinates: int) -> np.ndarray:
     """Circulant MinHash of non-empty sets: a row of ``coordinates`` for each.
 
-    scatter(x) = mix64(x xor a constant) is the first permutation, mix64 the
-    second; coordinate k is the least mix64(scatter(x) + k)."""
-    flat = mix64(np.concatenate(sets) ^ np.uint64(0x5851F42D4C957F2D))
+    The first permutation scatters a shingle's hash (its upper half is kept, a
+    32-bit number; two shingles of a set share one with probability 2^-32).
+    Coordinate k is the least second permutation of the scattered numbers,
+    circularly shifted by k."""
+    flat = (mix64(np.concatenate(sets) ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(32)).astype(np.uint32)
     begin = np.cumsum([0, *map(len, sets[:-1])])
-    out = np.empty((len(sets), coordinates), np.uint64)
+    out = np.empty((coordinates, len(sets)), np.uint32)
+    x, high = np.empty_like(flat), np.empty_like(flat)
     for k in range(coordinates):
-        x = flat + np.uint64(k)
-        x *= np.uint64(0xD6E8FEB86659FD93)
-        x ^= x >> np.uint64(32)
-        x *= np.uint64(0xD6E8FEB86659FD93)
-        out[:, k] = np.minimum.reduceat(x ^ (x >> np.uint64(29)), begin)
-    return out
+        np.add(flat, np.uint32(k), out=x)
+        x *= np.uint32(0x9E3779B1)
+        np.right_shift(x, np.uint32(15), out=high)
+        x ^= high
+        x *= np.uint32(0x85EBCA77)
+        np.right_shift(x, np.uint32(13), out=high)
+        x ^= high
+        np.minimum.reduceat(x, begin, out=out[k])
+    return out.T
+
+
+def bands_for(percent: int, rows: int, miss: float) -> int:
+    """How many bands of ``rows`` coordinates leave a pair at ``percent``
+    similarity without a common one with probability ``miss`` at most."""
+    return 1 if percent >= 100 else ceil(log(miss) / log(1 - (percent / 100) ** rows))
 
 
 def _parts(batch: pa.RecordBatch, size: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -82,7 +96,7 @@ def _signed(words: int, bands: int, rows: int, carry: Sequence[str]):
                 full = [i for i, s in enumerate(sets) if len(s)]
                 keys = np.zeros((len(sets), bands), np.uint64)
                 if full:
-                    low = signatures([sets[i] for i in full], bands * rows).reshape(len(full), bands, rows)
+                    low = signatures([sets[i] for i in full], bands * rows).reshape(len(full), bands, rows).astype(np.uint64)
                     mixed = np.zeros((len(full), bands), np.uint64)
                     for r in range(rows):
                         mixed = mix64(mixed * np.uint64(0x9E3779B97F4A7C15) + low[:, :, r])
@@ -94,15 +108,29 @@ def _signed(words: int, bands: int, rows: int, carry: Sequence[str]):
     return sign
 
 
-def _full_sets(words: int):
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
+def _shipped(words: int):
+    """The full set of each class for each of its groups. A class is named by
+    an id and a digest; a task sends a class once, however often it repeats."""
+
+    def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, sent = _Hashes(), set()
         for batch in batches:
             for part, texts in _parts(batch):
-                sets = [shingles(t, words, hashes) for t in texts]
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "digest", "shingles"])
-
-    return build
+                for i, text in enumerate(texts):
+                    own, digest = part["id"][i].as_py(), part["digest"][i].as_py()
+                    if own in sent:
+                        continue
+                    found = shingles(text, words, hashes).tobytes()
+                    if hashlib.blake2b(found, digest_size=16).digest() != digest:
+                        continue
+                    sent.add(own)
+                    groups = part["groups"][i].as_py()
+                    step = max(1, (16 << 20) // (len(found) + 1))
+                    for low in range(0, len(groups), step):
+                        some = groups[low : low + step]
+                        yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([own] * len(some), pa.int64()), pa.array([found] * len(some), pa.binary())], names=["g", "id", "shingles"])
+
+    return ship
 
 
 def linked(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
@@ -162,54 +190,71 @@ def spanning(n: int, pairs: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _verify(percent: int):
     def verify(table: pa.Table) -> pa.Table:
-        ids = table["id"].to_pylist()
-        sets = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
+        ids, at = np.unique(table["id"].to_numpy(), return_index=True)
+        sets = [np.frombuffer(x, np.uint64) for x in table["shingles"].take(pa.array(at)).to_pylist()]
         forest = spanning(len(sets), linked(sets, percent))
         return pa.table({"a": pa.array([ids[i] for i, _ in forest], pa.int64()), "b": pa.array([ids[j] for _, j in forest], pa.int64())})
 
     return verify
 
 
-def near_dedup(docs: DataFrame, *, text: str = "text", key: str = "doc_id", words: int = 5, percent: int = 80, bands: int = 16, rows: int = 4, block: int = 1024, carry: Sequence[str] = ()) -> DataFrame:
+def _confirmed(source: DataFrame, classes: DataFrame, groups: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b): a forest of the links inside each group of ``groups`` (id, groups)."""
+    plan = written(groups.join(classes.select("id", "digest", "least_id"), "id").select("id", "digest", F.col("least_id").alias("doc_id"), "groups"), "plan")
+    sets = possible(source.select("doc_id", "text"), "doc_id", plan.select("doc_id")).join(plan, "doc_id").select("text", "id", "digest", "groups").mapInArrow(_shipped(words), "g string, id long, shingles binary")
+    return written(sets.groupBy("g").applyInArrow(_verify(percent), "a long, b long"), "links")
+
+
+def near_dedup(docs: DataFrame, *, text: str = "text", key: str = "doc_id", words: int = 5, percent: int = 80, rows: int = 6, miss: float = 1e-5, block: int = 256, carry: Sequence[str] = ()) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept and
     the columns ``carry`` (of other names than these and ``text``).
 
     Two documents are linked if 100 * intersection >= percent * union of
-    their sets of distinct ``words``-word shingles. component_id is the
-    smallest id that links reach. A null or empty text, or one without words,
-    has no shingle and no link. Different texts under one id are linked each
-    on its own; a row with a null id links with nothing. An empty table gives an empty
-    result; other columns are not read.
+    their sets of distinct ``words``-word shingles, counted on the shingles'
+    64-bit hashes. component_id is the smallest id that links reach. A null or
+    empty text, or one without words, has no shingle and no link. Different
+    texts under one id are linked each on its own; a row with a null id links
+    with nothing. An empty table gives an empty result; other columns are not
+    read.
 
-    Recall: with 16 bands of 4, a pair at similarity 0.85 shares no band with
-    probability 7e-6, at 0.8 with 2e-4 (and then only counts as unlinked if
-    no other path joins the two).
+    Recall: there are as many bands of ``rows`` coordinates as leave a pair
+    just at ``percent`` without a common band with probability ``miss`` at
+    most (and then it only counts as unlinked if no other path joins the two).
 
     Spread: documents with equal sets become one class before any pairing.
-    Bands join class with class by their smallest member only, which gives
-    families; each family's full sets meet once. A family of more than
-    ``block`` classes is cut into blocks, and each pair of blocks is one task's
-    group: no group exceeds two blocks or so and no pair is a row, only a
-    forest of confirmed links. ``docs``
-    is read twice."""
+    Classes that share a band meet at the first class that has it, their hub.
+    A hub's classes are dealt to chunks of ``block``, the hub itself to all of
+    them, and each chunk's full sets are compared in one task. Classes of one
+    hub that no confirmed link has joined by then, which takes texts that share bands and
+    are not similar, are compared across chunks: what is not in the hub's
+    largest component, in blocks, with all of the hub, in blocks, where sizes
+    allow a link at all. So no group exceeds two blocks, every pair with a
+    common band is compared or joined already, and no pair is a row, only a
+    forest of confirmed links. ``docs`` is read two or three times."""
+    bands = bands_for(percent, rows, miss)
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), *carry)
     signed = written(source.mapInArrow(_signed(words, bands, rows, carry), ", ".join(["doc_id long, n_shingles long, digest binary, bands array<long>", *(f"{c} {source.schema[c].dataType.simpleString()}" for c in carry)])), "signed")
     classes = signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"))
     classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "classes")  # an id of its own: one doc_id may be the least of several classes
     keys = classes.select("id", F.explode("bands").alias("band"))
-    least = keys.groupBy("band").agg(F.min("id").alias("a"), F.max("id").alias("top")).where("a <> top").select("band", "a")
-    family = components(keys.join(least, "band").select("a", F.col("id").alias("b")))
-    members = classes.select("digest", "id", "least_id", "size").join(family.withColumnRenamed("v", "id"), "id").select("digest", "id", "least_id", "size", F.col("component").alias("family"))
-    members = written(members, "members")
-    # number each family's classes by size; large families only are cut into blocks
-    sizes = members.groupBy("family").agg(F.count("*").alias("n"))
-    large = sizes.where(F.col("n") > block)
-    bins = members.join(large, "family").groupBy("family", "size").agg(F.count("*").alias("k"), F.max("n").alias("n"))
-    plan = written(_blocks(members, bins, block), "plan")
-    sets = source.select("doc_id", "text").join(members.select(F.col("least_id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_full_sets(words), "doc_id long, digest binary, shingles binary")
-    sets = sets.join(plan.select("digest", "id", "least_id", "groups"), (F.col("doc_id") == F.col("least_id")) & (sets["digest"] == plan["digest"])).select("id", "shingles", F.explode("groups").alias("g")).dropDuplicates(["id", "g"])
-    edges = sets.groupBy("g").applyInArrow(_verify(percent), "a long, b long")
-    found = components(edges)
+    hubs = written(keys.groupBy("band").agg(F.min("id").alias("hub"), F.count("*").alias("k")).where("k > 1"), "hubs")
+    met = written(joined_back(keys, hubs, ["band"], "k").where("hub is not null").select("hub", "id").distinct(), "met")
+    counts = written(met.groupBy("hub").agg(F.count("*").alias("n")), "counts")
+    met = joined_back(met, counts, ["hub"], "n")
+    chunks = F.ceil(F.col("n") / block).cast("int")
+    own = F.when(F.col("hub") == F.col("id"), F.sequence(F.lit(0), chunks - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), chunks).cast("int")))
+    first = met.select("id", F.transform(own, lambda x: F.concat_ws(":", "hub", x)).alias("own")).groupBy("id").agg(F.flatten(F.collect_list("own")).alias("groups"))
+    found = components(_confirmed(source, classes, first, words, percent))
+    large = met.where(F.col("n") > block).join(classes.select("id", "size"), "id")
+    second = written(_across(large, found, percent, block), "across")
+    if not second.isEmpty():
+        more = _confirmed(source, classes, second, words, percent)
+        for x in "ab":  # links between components
+            more = more.join(found.withColumnRenamed("v", x), x, "left").select(F.coalesce("component", x).alias(x), "b" if x == "a" else "a")
+        joined = components(more)
+        found = found.join(joined.select(F.col("v").alias("component"), F.col("component").alias("later")), "component", "left").select("v", F.coalesce("later", "component").alias("component"))
+        alone = joined.join(found.select("v"), "v", "left_anti")  # vertices without an earlier link
+        found = written(found.unionByName(alone), "found")
     least_of = found.join(classes.select(F.col("id").alias("v"), "least_id"), "v").groupBy("component").agg(F.min("least_id").alias("component_id"))
     named = found.join(least_of, "component").select(F.col("v").alias("id"), "component_id")
     of_class = classes.select("digest", "id", "least_id").join(named, "id", "left").select("digest", F.coalesce("component_id", "least_id").alias("component_id"))
@@ -218,17 +263,25 @@ def near_dedup(docs: DataFrame, *, text: str = "text", key: str = "doc_id", word
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"), *carry)
 
 
-def _blocks(members: DataFrame, bins: DataFrame, block: int) -> DataFrame:
-    """digest, id, least_id, groups: the task groups that each class's set goes to."""
-    from pyspark.sql.window import Window
-
-    # rank of a size in its family, from counts of sizes: windows run over sizes, not over members
-    order = Window.partitionBy("family").orderBy("size")
-    ranked = bins.withColumn("before", F.sum("k").over(order) - F.col("k"))
-    spread = F.floor((F.col("before") + F.pmod(F.xxhash64("id"), F.col("k"))) / block)
-    count = F.ceil(F.col("n") / block)
-    cut = members.join(ranked, ["family", "size"], "left")
-    own = F.coalesce(spread, F.lit(0)).cast("int")
-    cut = cut.withColumn("own", own).withColumn("count", F.coalesce(count, F.lit(1)).cast("int"))
-    pairs = F.expr("transform(sequence(0, count - 1), x -> concat_ws(':', cast(family as string), cast(least(own, x) as string), cast(greatest(own, x) as string)))")
-    return cut.select("digest", "id", "least_id", pairs.alias("groups"))
+def _numbered(members: DataFrame, block: int) -> DataFrame:
+    """Adds ``at``, the block of each class of (hub, id, size): blocks follow
+    size. Windows run over the sizes of a hub, not over its classes."""
+    bins = members.groupBy("hub", "size").agg(F.count("*").alias("k"))
+    before = F.sum("k").over(Window.partitionBy("hub").orderBy("size")) - F.col("k")
+    place = F.col("before") + F.pmod(F.xxhash64("id"), F.col("k"))
+    return joined_back(members, written(bins.withColumn("before", before), "bins"), ["hub", "size"], "k").withColumn("at", F.floor(place / block)).drop("k", "before")
+
+
+def _across(met: DataFrame, found: DataFrame, percent: int, block: int) -> DataFrame:
+    """(id, groups): pairs of blocks that compare the classes of a hub which
+    links have not joined. None for a hub that is one component."""
+    named = written(met.join(found.withColumnRenamed("v", "id"), "id", "left").select("hub", "id", "size", F.coalesce("component", "id").alias("c")), "large")
+    parts = named.groupBy("hub", "c").agg(F.count("*").alias("k")).groupBy("hub").agg(F.max(F.struct("k", "c"))["c"].alias("most"), F.count("*").alias("m"), F.sum("k").alias("n")).where("m > 1")
+    open_ = joined_back(named, written(parts, "parts"), ["hub"], "n").where("most is not null").select("hub", "id", "size", "c", "most")
+    every, stray = _numbered(open_, block), _numbered(open_.where("c <> most"), block)
+    edges = lambda side, name: side.groupBy("hub", F.col("at").alias(name)).agg(F.min("size").alias(f"low_{name}"), F.max("size").alias(f"high_{name}"))
+    near = lambda low, high: F.col(low) * percent <= F.col(high) * 100
+    pairs = edges(stray, "x").join(edges(every, "y"), "hub").where(near("low_x", "high_y") & near("low_y", "high_x"))
+    pairs = pairs.select("hub", "x", "y", F.concat_ws(":", "hub", "x", "y").alias("g"))
+    groups = lambda side, name: side.join(pairs, (side["hub"] == pairs["hub"]) & (side["at"] == pairs[name])).select("id", "g")
+    return groups(stray, "x").unionByName(groups(every, "y")).groupBy("id").agg(F.collect_set("g").alias("groups"))

@@ -2,10 +2,11 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from galvanite.llm import substring_dedup as sub
 from galvanite.llm.components import components
-from galvanite.llm.near_dedup import linked, near_dedup, shingles
+from galvanite.llm.near_dedup import bands_for, linked, near_dedup, shingles, signatures
 
 SCHEMA = "doc_id long, text string"
 
@@ -101,6 +102,28 @@ def test_near_groups_against_brute_force(spark, words, percent, block):
     assert found == graph(rows, words, percent)
 
 
+def test_texts_that_share_bands_and_little_else(spark):
+    """Bands of one coordinate: everything meets at few hubs, and links across chunks must still be found."""
+    rng = np.random.default_rng(8)
+    common = [f"c{i}" for i in range(30)]
+    rows = [(i, " ".join([*common, *(f"w{k}" for k in rng.integers(0, 9000, 40 + i % 3))])) for i in range(30)]
+    rows += [(100 + i, t + f" y{i}") for i, t in rows[:12]]
+    rows += [(200 + i, t + f" z{i}") for i, t in rows[30:36]]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup(frame, words=2, percent=90, rows=1, miss=1e-30, block=4).collect()}
+    assert found == graph(rows, 2, 90)
+
+
+def test_bands_leave_few_pairs_unmet():
+    assert [bands_for(p, 6, 1e-5) for p in (80, 85, 100)] == [38, 25, 1]
+    assert (1 - 0.8**6) ** 38 <= 1e-5 < (1 - 0.8**6) ** 37
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 60, 400).astype(np.uint64)) for _ in range(2)]
+    both = np.unique(np.concatenate([sets[0][:350], sets[1][:50]]))
+    low = signatures([sets[0], both], 2000)
+    assert abs((low[0] == low[1]).mean() - 350 / 450) < 0.05
+
+
 def test_null_and_repeated_ids(spark):
     frame = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f")], SCHEMA)
     found = sorted(((r.doc_id or 0, r.component_id, r.kept) for r in near_dedup(frame).collect()), key=str)
@@ -133,6 +156,14 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_rounds_grow_with_the_logarithm(spark, monkeypatch):
+    from galvanite.llm import components as module
+
+    names = []
+    monkeypatch.setattr(module, "written", lambda df, name, write=module.written: (names.append(name), write(df, name))[1])
+    path = spark.range(2000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert components(path).agg(F.max("component"), F.count("*")).first()[:] == (0, 2001)
+    assert names.count("names") <= 20
 
 
 def test_different_texts_under_one_id(spark):
