@@ -21,15 +21,32 @@ from galvanite.llm.common import keyed, lists
 _PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+def plain_ranks(file: dict) -> bool:
+    """Whether a tokenizer file is one that the faster encoder repeats: a
+    byte-level BPE with the usual split, no normaliser, and merges in the
+    order of the ids that they make."""
+    model, split = file["model"], file.get("pre_tokenizer") or {}
+    if model.get("type") not in (None, "BPE") or file.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+        return False
+    if any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        return False
+    if any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized") for t in file["added_tokens"]):
+        return False
+    made = [model["vocab"].get("".join(m if isinstance(m, list) else m.split(" ")), -1) for m in model["merges"]]
+    return made == sorted(made) and made[0] == 256 if made else False
+
+
 @cache
-def encoder(path: str) -> tiktoken.Encoding:
+def encoder(path: str) -> tiktoken.Encoding | None:
     """The byte-level BPE of a tokenizer file, one for each Python worker.
 
-    In such a file a token's id is its rank, so its vocabulary serves as
-    ranks for the faster encoder; the ids are those of the file's own
-    tokenizer, which gives a special token's string in a text that token's
-    id (tests compare them)."""
+    In a file that ``plain_ranks`` accepts a token's id is its rank, so its
+    vocabulary serves as ranks for the faster encoder; the ids are those of
+    the file's own tokenizer, which gives a special token's string in a text
+    that token's id (tests compare them). None for any other file."""
     file = json.loads(Path(path).read_text(encoding="utf-8"))
+    if not plain_ranks(file):
+        return None
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = (b for b in range(256) if b not in plain)
     byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
@@ -45,12 +62,15 @@ def own_tokenizer(path: str) -> Tokenizer:
 
 def token_ids(path: str, text: str) -> list[int]:
     """The ids of the file's own tokenizer. The faster encoder gives up on
-    very long runs of white space (about a million characters); such a text
-    goes to the tokenizer itself."""
-    try:
-        return encoder(path).encode(text, allowed_special="all")
-    except ValueError:
-        return own_tokenizer(path).encode(text, add_special_tokens=False).ids
+    very long runs of white space (about a million characters); such a text,
+    and every text under a file of another kind, goes to the tokenizer."""
+    fast = encoder(path)
+    if fast is not None:
+        try:
+            return fast.encode(text, allowed_special="all")
+        except ValueError:
+            pass
+    return own_tokenizer(path).encode(text, add_special_tokens=False).ids
 
 
 def _sizes(path: str, window: int, end: int):
@@ -72,6 +92,12 @@ def _sizes(path: str, window: int, end: int):
     return size
 
 
+def padding(used: np.ndarray, window: int) -> np.ndarray:
+    """Padding of sequences of these lengths: up to ``window``, none at a
+    power of two."""
+    return np.where(used & (used - 1), window - used, 0)
+
+
 class Tightest:
     """A segment tree over remaining capacities 1 to ``window``: which open
     sequence has the least room that still fits."""
@@ -130,7 +156,10 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, text: str = "text", key:
 
     A document's tokens are its ids and then ``end``. Full windows are cut
     off first and fill a sequence each; what is left goes to the open
-    sequence with the least room that fits. Documents are dealt by row key to
+    sequence with the least room that fits. A sequence is padded to
+    ``window``, unless its length is a power of two, so one such needs none;
+    no document is cut a second time to save the little padding that is left
+    (see ``padding``). Documents are dealt by row key to
     groups of about ``group``, each packed by one task, so no task sees more
     than a group, whatever the table's size; a group leaves one sequence or
     so part-filled. A null or empty text has the one token ``end``. Equal

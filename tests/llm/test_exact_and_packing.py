@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from galvanite.llm.exact_dedup import exact_dedup
-from galvanite.llm.packing import best_fit, encoder, pack_documents
+from galvanite.llm.packing import best_fit, encoder, pack_documents, padding, token_ids
 
 ROWS = [(1, "same"), (2, "same"), (3, ""), (4, None), (5, "x" * 9000), (6, "x" * 9000), (7, "x" * 8999 + "y"), (None, "same"), (8, "é" * 3000), (2, "same"), (9, "x" * 4096), (10, "x" * 8192)]
 SCHEMA = "doc_id long, text string"
@@ -106,3 +106,31 @@ def test_more_than_a_million_spaces(spark):
         ids = [*own.encode(text, add_special_tokens=False).ids, 0]
         pieces = sorted((r.start, r.length, r.ids_crc32, r.doc_tokens) for r in found if r.doc_id == i)
         assert pieces == [(k, len(ids[k : k + 1024]), zlib.crc32(np.array(ids[k : k + 1024], dtype="<u4").tobytes()), len(ids)) for k in range(0, len(ids), 1024)]
+
+
+def test_padding_is_little(spark, sf_dir):
+    import public_tokenizers
+
+    assert padding(np.array([1, 2, 3, 512, 700, 1023, 1024]), 1024).tolist() == [0, 0, 1021, 0, 324, 1, 0]
+    docs = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/documents.parquet")
+    rows = pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json")).groupBy("sequence_id").sum("length").collect()
+    used = np.array([r[1] for r in rows])
+    assert padding(used, 1024).sum() <= 0.005 * used.sum()
+
+
+def test_other_files_go_to_their_own_tokenizer(tmp_path):
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    file = json.loads(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read())
+    assert encoder(public_tokenizers.path("byte_bpe_50k.json")) is not None
+    texts = ["Some words, some more  words", "it's <|endoftext|>", ""]
+    changes = {"prefix": {"pre_tokenizer": file["pre_tokenizer"] | {"add_prefix_space": True}}, "lower": {"normalizer": {"type": "Lowercase"}}, "order": {"model": file["model"] | {"merges": file["model"]["merges"][1:] + file["model"]["merges"][:1]}}}
+    for name, change in changes.items():
+        path = tmp_path / f"{name}.json"
+        path.write_text(json.dumps(file | change), encoding="utf-8")
+        assert encoder(str(path)) is None
+        own = Tokenizer.from_file(str(path))
+        assert [token_ids(str(path), t) for t in texts] == [own.encode(t, add_special_tokens=False).ids for t in texts]
