@@ -141,3 +141,18 @@ def test_pieces_are_the_models_own(spark, sf_dir):
         text = "" if r.doc_id is None else texts[r.doc_id]
         assert r.ids == own.encode(text)
         assert r.round_trip == ("▁" not in text)
+        if r.doc_id is None or r.doc_id > 195:
+            assert r.score == pytest.approx(sum(own.get_score(i) for i in own.encode(text) if not own.is_byte(i)))
+    assert sentence_pieces.encode_documents(frame.limit(0), path).count() == 0
+    twice = spark.createDataFrame([(1, "a word", 5, "x"), (1, "a word", 6, "y")], SCHEMA + ", n_tokens long, ids string")
+    assert [(r.doc_id, r.ids) for r in sentence_pieces.encode_documents(twice, path).collect()] == [(1, own.encode("a word"))] * 2
+
+
+def test_runs_of_marks_take_the_same_path():
+    import public_tokenizers
+
+    model = sentence_pieces.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    units = sorted({"▁" * n + w for n in range(1, 40) for w in ("", "a", "word", "Über", "。", "zzzq")})
+    for unit, pieces, score in model.walk(units):
+        assert pieces == model.merged(unit)
+        assert score == pytest.approx(sum(model.score.get(p, 0.0) for p in pieces))
