@@ -78,6 +78,33 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+_WORDS = r"list_filter(string_split_regex({text}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: Each window's text is compared as it is; of equal ones all but the first are repeats.
+OP3_SQL = f"""
+WITH t AS (SELECT doc_id, {_WORDS.format(text="coalesce(text, '')")} AS w FROM documents),
+s AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS i, unnest(list_transform(range(1, len(w) - 18), lambda i: array_to_string(w[i:i + 19], ' '))) AS x FROM t WHERE len(w) >= 20),
+k AS (SELECT doc_id, i, row_number() OVER (PARTITION BY x ORDER BY doc_id, i) AS n FROM s),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS pos FROM k WHERE n > 1),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM t),
+left_ AS (SELECT words.doc_id, string_agg(word, ' ' ORDER BY pos) AS kept FROM words ANTI JOIN gone ON gone.doc_id = words.doc_id AND gone.pos = words.pos GROUP BY words.doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM t LEFT JOIN n ON n.doc_id = t.doc_id LEFT JOIN left_ ON left_.doc_id = t.doc_id
+"""
+
+OP6_SQL = f"""
+WITH RECURSIVE t AS (SELECT doc_id, {_WORDS.format(text=_LOWER)} AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS g FROM t),
+f AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) + any_value(b.n) AS n, count(*) AS k FROM f a JOIN f b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+p AS (SELECT a, b FROM c WHERE 100 * k >= 85 * (n - k)),
+l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT doc_id AS v, doc_id AS c FROM s UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.v WHERE r.c < l.b)
+SELECT s.doc_id, CAST(any_value(len(g)) AS BIGINT) AS n_shingles, min(least(r.c, s.doc_id)) AS component_id, s.doc_id = min(least(r.c, s.doc_id)) AS kept FROM s JOIN r ON r.v = s.doc_id GROUP BY s.doc_id
+"""
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -148,4 +175,4 @@ FROM v JOIN r ON r.v = v.vec_id GROUP BY v.vec_id
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_context_tree, op3_substring_dedup, op4_language_id, op5_exact_dedup, op6_minhash_dedup, op7_sentencepiece, op8_url_filter, op9_embedding_dedup, op10_packing)}
-SQL: dict[str, str] = {"op5_exact_dedup": OP5_SQL, "op8_url_filter": OP8_SQL, "op9_embedding_dedup": OP9_SQL}
+SQL: dict[str, str] = {"op3_substring_dedup": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op6_minhash_dedup": OP6_SQL, "op8_url_filter": OP8_SQL, "op9_embedding_dedup": OP9_SQL}
