@@ -8,14 +8,15 @@ block without looking at all directions. Vectors meet in the filters on their
 lists and are compared there exactly.
 
 A seeded random rotation before each code makes the lists independent of where
-a vector's energy lies, and a vector with few directions over the bound takes
-its best ones, so no list is empty. In few dimensions directions are no
-filters; there the filters are the cells of a grid that a ball around the
-vector touches, and every link is found.
+a vector's energy lies, and the bound is each vector's own: what its best few
+directions reach, so no list is empty or long. In few dimensions directions
+are no filters; there the filters are the cells of a grid that a ball around
+the vector touches, and every link is found.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galvanite.llm.common import lists, mix64, written
+from galvanite.llm.common import joined_back, lists, mix64, written
 from galvanite.llm.components import components
 from galvanite.llm.near_dedup import spanning
 
@@ -95,7 +96,7 @@ def list_decode(unit: np.ndarray, codes: list[np.ndarray], bound: float | np.nda
     return vector, name
 
 
-def filters(unit: np.ndarray, made: dict[int, list], *, least: float, blocks: int, words: int, bound: float, seeds: int, fewest: int, low: int) -> tuple[np.ndarray, np.ndarray]:
+def filters(unit: np.ndarray, made: dict[int, list], *, least: float, blocks: int, words: int, seeds: int, directions: int, low: int) -> tuple[np.ndarray, np.ndarray]:
     """(vector, filter) for unit vectors of one length; ``made`` holds the
     rotations and codes of each length."""
     d = unit.shape[1]
@@ -106,12 +107,21 @@ def filters(unit: np.ndarray, made: dict[int, list], *, least: float, blocks: in
     out_at, out_name = [], []
     for k, (turn, codes) in enumerate(made[d]):
         turned = unit @ turn
-        at, name = list_decode(turned, codes, np.minimum(bound * np.sqrt(len(codes) / d), reached(turned, codes, fewest)))
+        at, name = list_decode(turned, codes, reached(turned, codes, directions))
         out_at.append(at)
         out_name.append(name * seeds + k)
     return np.concatenate(out_at), np.concatenate(out_name)
 
 
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        vector = batch["vector"]
+        flat, ends = vector.flatten().to_numpy(zero_copy_only=False), np.cumsum(pa.compute.list_value_length(vector).to_numpy(zero_copy_only=False))
+        parts = np.split(flat, ends[:-1]) if len(ends) else []
+        named = [hashlib.blake2b(label.encode() + b"\0" + x.tobytes(), digest_size=16).digest() for label, x in zip(batch["label"].to_pylist(), parts, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch["id"], batch["label"], pa.array(named, pa.binary()), vector], names=["id", "label", "digest", "vector"])
+
+
 def _listed(**more):
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[int, list] = {}
@@ -129,51 +139,62 @@ def _listed(**more):
                 at, name = np.concatenate(out_at), np.concatenate(out_name)
                 order = np.lexsort((name, at))
                 counts = np.bincount(at, minlength=part.num_rows)
-                yield pa.RecordBatch.from_arrays([part["id"], part["label"], part["copies"], part["vector"], lists(name[order].astype(np.int32), counts, pa.int32())], names=["id", "label", "copies", "vector", "filters"])
+                yield pa.RecordBatch.from_arrays([*part.columns, lists(name[order].astype(np.int32), counts, pa.int32())], names=[*part.schema.names, "filters"])
 
     return listed
 
 
-def _compare(least: float, block: int):
-    """Links of one filter's (block of) vectors. A pair that shares several
-    filters counts only in the least of them."""
-
-    def compare(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by("id")
-        side = table["side"].to_numpy()
-        filter_at = table["f"][0].as_py()
-        ids, copies = table["id"].to_numpy(), table["copies"].to_numpy()
-        n = len(ids)
-        v = table["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, -1).astype(np.float64)
-        unit = units(v)
-        close = np.triu(unit @ unit.T >= least, 1)
-        first, second = key[1].as_py(), key[2].as_py()
-        if first != second:
-            close &= side[:, None] != side[None, :]
-        if close.any():
-            size = np.array([len(x) for x in table["filters"].to_pylist()])
-            flat = table["filters"].combine_chunks().flatten().to_numpy()
-            owner = np.repeat(np.arange(n), size)
-            earlier = flat < filter_at
-            flat, owner = flat[earlier], owner[earlier]
-            _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
+def _compare(least: float):
+    """Links inside each place of a table. A pair that shares several filters
+    counts only in the least of them."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("place", "ascending"), ("first", "ascending"), ("second", "ascending"), ("no", "ascending")])
+        no, copies, f, side = (table[c].to_numpy() for c in ("no", "copies", "f", "side"))
+        label = table["label"].combine_chunks().dictionary_encode().indices.to_numpy()
+        size = pa.compute.list_value_length(table["vector"].combine_chunks()).to_numpy()
+        unit = np.zeros((len(no), size.max()))
+        flat, starts = table["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.cumsum(size) - size
+        for d in np.unique(size).tolist():
+            rows = np.flatnonzero(size == d)
+            unit[rows, :d] = units(flat[starts[rows][:, None] + np.arange(d)])
+        many = pa.compute.list_value_length(table["filters"].combine_chunks()).to_numpy()
+        listed, begins = table["filters"].combine_chunks().flatten().to_numpy(), np.cumsum(many) - many
+        key = np.stack([table[c].to_numpy() for c in ("place", "first", "second")])
+        edges = np.flatnonzero(np.append(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0)), True))
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            here = slice(low, high)
+            close = np.triu(unit[here] @ unit[here].T >= least, 1)
+            close &= (label[here, None] == label[None, here]) & (f[here, None] == f[None, here])
+            if key[1, low] != key[2, low]:
+                close &= side[here, None] != side[None, here]
+            if not close.any():
+                continue
+            n = high - low
+            earlier = listed[begins[low] : begins[high - 1] + many[high - 1]]
+            owner = np.repeat(np.arange(n), many[here])
+            keep = earlier < f[low:high][owner]
+            earlier, owner = earlier[keep], owner[keep]
+            _, column, count = np.unique(earlier, return_inverse=True, return_counts=True)
             shared = count[column] > 1
             kept, column = np.unique(column[shared], return_inverse=True)
             grid = np.zeros((n, len(kept)), np.float32)
             grid[owner[shared], column] = 1
             close &= (grid @ grid.T) == 0
-        # a forest of all close pairs of this filter, and each vector's count of links
-        links = close @ copies + close.T @ copies
-        forest = spanning(n, map(tuple, np.argwhere(close).tolist()))
-        parent = np.arange(n)
-        a, b = np.array([x for x, _ in forest], int), np.array([y for _, y in forest], int)
-        some = np.flatnonzero(links)
-        return pa.table({"id": pa.array(np.concatenate([ids[some], ids[a]]), pa.int64()), "n": pa.array(np.concatenate([links[some], np.zeros(len(a), np.int64)]).astype(np.int64), pa.int64()), "b": pa.array([None] * len(some) + ids[b].tolist(), pa.int64())})
+            # a forest of all close pairs of this place, and each vector's count of links
+            links = close @ copies[here] + close.T @ copies[here]
+            forest = np.array(spanning(n, map(tuple, np.argwhere(close).tolist())), np.int64).reshape(-1, 2)
+            some = np.flatnonzero(links)
+            out.append((no[low + some], links[some], np.full(len(some), -1)))
+            out.append((no[low + forest[:, 0]], np.zeros(len(forest), np.int64), no[low + forest[:, 1]]))
+        a, n, b = (np.concatenate([np.zeros(0, np.int64), *(x[i] for x in out)]).astype(np.int64) for i in range(3))
+        return pa.table({"no": a, "n": n, "b": b})
 
     return compare
 
 
-def embedding_dedup(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = 0.98, blocks: int = 2, words: int = 1024, bound: float = 4.05, seeds: int = 3, block: int = 1024, fewest: int = 16, low: int = 8) -> DataFrame:
+def embedding_dedup(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = 0.98, blocks: int = 2, words: int = 1024, seeds: int = 3, directions: int = 8, low: int = 8, block: int = 512, together: int = 4096) -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id, kept.
 
     Vectors of one label are linked if their cosine, in double precision, is
@@ -184,33 +205,51 @@ def embedding_dedup(vectors: DataFrame, *, key: str = "vec_id", vector: str = "e
     equal ids, vectors and labels count one by one as links of each other;
     an empty table gives an empty result; other columns are not read.
 
-    ``bound`` is the cap's bound in standard deviations of an inner product
-    with a random direction; a vector with fewer than ``fewest`` directions
-    over it takes its ``fewest`` best of each of the ``seeds`` codes. Vectors
-    of at most ``low`` components use grid cells, which miss no link. Recall
-    against brute force is measured in the tests, with these defaults too, on
-    low-dimensional, sparse and concentrated vectors. Spread: equal vectors of a label are one class before any
-    pairing; a filter with more than ``block`` classes is cut into blocks
-    and each pair of blocks is a task's group; no pair becomes a row."""
+    A vector's filters are the ``directions`` best of ``words`` ** ``blocks``
+    in each of ``seeds`` codes: all that reach its own bound. At cosine 0.98
+    two vectors share one of them with probability 0.99 or more, from 9 to
+    384 components (a lower ``least`` takes more of them). Vectors of
+    at most ``low`` components use grid cells, which miss no link. The tests
+    measure recall with the defaults against brute force, on low-dimensional,
+    sparse and concentrated vectors too.
+
+    Spread: equal vectors of a label are one class before any pairing, and
+    are known by a digest afterwards. Ids and filters are counted first; a
+    vector moves only to filters that another one has. A filter with more
+    than ``block`` classes is cut into blocks and each pair of blocks is a
+    task's group; smaller filters are dealt about ``together`` rows to a
+    group. No pair becomes a row. As n_links counts every link, the work
+    inside one filter of n different vectors is n squared, spread over
+    groups."""
     source = vectors.select(F.col(key).cast("long").alias("id"), F.col(label).cast("string").alias("label"), F.col(vector).alias("vector"))
     kind = dict(source.dtypes)["vector"]
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("vector", lambda x: x != 0)
-    fit = source.where(F.col("id").isNotNull() & F.col("label").isNotNull() & F.coalesce(finite, F.lit(False)))
-    fit = fit.withColumn("label", F.concat_ws(":", F.size("vector").cast("string"), "label"))  # vectors of other lengths don't meet
-    classes = fit.groupBy("label", "vector").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
-    listed = written(classes.mapInArrow(_listed(least=least, blocks=blocks, words=words, bound=bound, seeds=seeds, fewest=fewest, low=low), f"id long, label string, copies long, vector {kind}, filters array<int>"), "listed")
-    places = listed.select("id", "label", F.explode("filters").alias("f"))
-    shared = places.groupBy("label", "f").agg(F.count("*").alias("n")).where("n > 1")
-    spread = listed.withColumn("f", F.explode("filters")).join(shared, ["label", "f"])
-    count = F.ceil(F.col("n") / block).cast("int")
-    spread = spread.withColumn("side", F.pmod(F.xxhash64("id"), count).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
-    spread = spread.withColumn("first", F.least("side", "other")).withColumn("second", F.greatest("side", "other"))
-    spread = spread.withColumn("place", F.concat_ws(":", F.col("label"), F.col("f").cast("string")))
-    found = written(spread.select("place", "first", "second", "f", "id", "copies", "vector", "filters", "side").groupBy("place", "first", "second").applyInArrow(_compare(least, block), "id long, n long, b long"), "links")
-    component = components(found.where("b is not null").select(F.col("id").alias("a"), "b"))
-    counts = found.where("b is null").groupBy("id").agg(F.sum("n").alias("n"))
-    per_class = classes.select("label", "vector", "id", "copies").join(counts, "id", "left").join(component.withColumnRenamed("v", "id"), "id", "left")
-    per_class = per_class.select("label", "vector", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    out = fit.join(per_class, ["label", "vector"]).select(F.col("id").alias("vec_id"), "n_links", "component_id")
-    unfit = source.where(~(F.col("id").isNotNull() & F.col("label").isNotNull() & F.coalesce(finite, F.lit(False)))).select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    usable = F.col("id").isNotNull() & F.col("label").isNotNull() & F.coalesce(finite, F.lit(False))
+    fit = source.where(usable).withColumn("label", F.concat_ws(":", F.size("vector").cast("string"), "label"))  # vectors of other lengths don't meet
+    named = fit.mapInArrow(_digested, f"id long, label string, digest binary, vector {kind}")
+    classes = named.groupBy("digest").agg(F.min("id").alias("least_id"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("vector").alias("vector"))
+    classes = classes.withColumn("no", F.monotonically_increasing_id())
+    made = f"digest binary, least_id long, copies long, label string, vector {kind}, no long, filters array<int>"
+    listed = written(classes.mapInArrow(_listed(least=least, blocks=blocks, words=words, seeds=seeds, directions=directions, low=low), made), "listed")
+    places = listed.select("no", "label", F.explode("filters").alias("f")).select("no", "f", F.xxhash64("label", "f").alias("place"))
+    shared = places.groupBy("place").agg(F.count("*").alias("n")).where("n > 1")
+    met = written(places.join(shared, "place"), "met")
+    small = max(1, -(-met.where(F.col("n") <= block).count() // together))
+    cut = F.ceil(F.col("n") / block).cast("int")
+    side = F.pmod(F.xxhash64("no"), cut).cast("int")
+    pair = lambda x: F.struct(F.least("side", x).alias("first"), F.greatest("side", x).alias("second"))
+    deal = lambda p: F.when(F.col("cut") > 1, F.xxhash64("place", p["first"], p["second"])).otherwise(F.pmod("place", F.lit(small)))
+    wanted = met.withColumn("cut", cut).withColumn("side", side).withColumn("pairs", F.transform(F.sequence(F.lit(0), F.col("cut") - 1), pair))
+    wanted = wanted.select("no", F.transform("pairs", lambda p: F.struct(deal(p).alias("deal"), "place", "f", "side", p["first"].alias("first"), p["second"].alias("second"))).alias("g"))
+    wanted = wanted.groupBy("no").agg(F.flatten(F.collect_list("g")).alias("g"))
+    sent = listed.select("no", "label", "copies", "vector", "filters").join(wanted, "no").select("no", "label", "copies", "vector", "filters", F.explode("g").alias("g")).select("no", "label", "copies", "vector", "filters", "g.*")
+    found = written(sent.groupBy("deal").applyInArrow(_compare(least), "no long, n long, b long"), "links")
+    component = components(found.where("b >= 0").select(F.col("no").alias("a"), "b"))
+    least_of = component.join(listed.select(F.col("no").alias("v"), "least_id"), "v").groupBy("component").agg(F.min("least_id").alias("component_id"))
+    component = component.join(least_of, "component").select(F.col("v").alias("no"), "component_id")
+    counts = found.where("b < 0").groupBy("no").agg(F.sum("n").alias("n"))
+    per_class = listed.select("no", "digest", "least_id", "copies").join(counts, "no", "left").join(component, "no", "left")
+    per_class = written(per_class.select("digest", "copies", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "least_id").alias("component_id")), "classes")
+    out = joined_back(named.select("id", "digest"), per_class, ["digest"], "copies").select(F.col("id").alias("vec_id"), "n_links", "component_id")
+    unfit = source.where(~usable).select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return out.unionByName(unfit).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -71,8 +71,8 @@ def test_vectors_against_brute_force(spark):
     rows += [(5000 + k, rows[0][1], 0) for k in range(5)] + [(6000, [2 * x for x in rows[0][1]], 0), (6001, rows[0][1], None), (6002, None, 0), (6003, [0.0] * 16, 0), (6004, [float("nan")] * 16, 0), (6005, [None] * 16, 0), (6006, [1.0, 2.0], 0), (6007, [1.0, 2.0], 0), (6008, [], 0)]
     frame = spark.createDataFrame([(i, v, x, "c") for i, v, x in rows], "vec_id long, embedding array<double>, label int, place string")
     wanted = brute(rows)
-    for block in (1024, 8):
-        found = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup(frame, bound=2.6, words=256, block=block).collect()}
+    for block in (512, 8):
+        found = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup(frame, block=block, together=64).collect()}
         assert found.keys() == wanted.keys()
         have, want = sum(x for x, _ in found.values()), sum(x for x, _ in wanted.values())
         assert 0.9 * want <= have <= want
