@@ -2,8 +2,11 @@
 
 Row keys. Operators that read a table twice give each row a key with
 ``keyed``; the key is Spark's ``monotonically_increasing_id`` over a plain
-scan, which is the same for both scans of one table. Pass a written table
-(not an unordered shuffle result) to such operators.
+scan. It is the same for both scans of one table if both are split alike,
+which would follow the cores that are registered when a scan is planned;
+``keyed`` fixes that number for the session, so executors lost or gained
+between two scans change nothing. Pass a written table (not an unordered
+shuffle result) to such operators.
 """
 
 from __future__ import annotations
@@ -17,8 +20,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ASCII white space, which separates words: bytes 0x20 and 0x09 to 0x0D. bytes.split() splits on exactly these.
-MASK64 = (1 << 64) - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,7 +48,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def keyed(df: DataFrame, **cols: Column) -> DataFrame:
-    """The named columns and a key for each row, _row."""
+    """The named columns and a key for each row, _row.
+
+    Sets spark.sql.files.minPartitionNum, where it is unset, to the cores
+    there are now: later scans are split as this one is."""
+    spark, split = df.sparkSession, "spark.sql.files.minPartitionNum"
+    if spark.conf.get(split, None) is None:
+        spark.conf.set(split, str(spark.sparkContext.defaultParallelism))
     return df.select(F.monotonically_increasing_id().alias("_row"), *(c.alias(k) for k, c in cols.items()))
 
 
