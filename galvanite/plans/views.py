@@ -262,3 +262,48 @@ def dangling_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_custkey, count(DISTINCT o_orderpriority) AS units FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderpriority) > 1")
 def mixed_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return budget.mixed_units(table(spark, sf_dir, "orders"), "o_custkey", "o_orderpriority")
+
+
+_LEDGER = """SELECT event_id AS entry_id, user_id AS campaign_id, user_id * 10 AS work_item_id, CASE WHEN event_id % 9 = 0 THEN NULL ELSE user_id * 10 + event_id % 3 END AS job_id, CASE WHEN event_type = 'view' THEN NULL ELSE event_id % 4 END AS attempt_id, event_id % 5 AS lease_generation,
+ CASE WHEN event_type IN ('view', 'error') THEN NULL ELSE event_id - 7 END AS reservation_entry_id, CASE event_type WHEN 'view' THEN 'reserved' WHEN 'click' THEN 'consumed' WHEN 'signup' THEN 'adjusted_up' WHEN 'purchase' THEN 'released' ELSE 'spent' END AS kind, CAST(round(value) AS BIGINT) AS amount, CASE WHEN event_id % 11 = 0 THEN '  ' ELSE 'h' END AS unit FROM {events}"""
+_HELD = "SELECT o_orderkey AS job_id, o_custkey AS work_item_id, concat('k', o_custkey % 1000) AS idempotency_key, o_custkey % 7 - 1 AS attempt_count, 1 AS lease_generation, CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END AS lease_owner, CASE WHEN o_orderstatus <> 'O' THEN o_orderdate END AS lease_expires_at, CASE WHEN o_orderstatus = 'F' THEN 't' END AS lease_token FROM {orders}"
+
+
+@query(f"""WITH l AS ({_LEDGER.format(events="events")}), j AS ({_HELD.format(orders="orders")}), s AS (SELECT coalesce(CAST(entry_id AS VARCHAR), '') AS s, * FROM l)
+SELECT 'budget_ledger.known_ledger_kind' AS rule, s AS subject FROM s WHERE kind = 'spent' UNION ALL SELECT 'budget_ledger.ledger_amount_positive', s FROM s WHERE amount <= 0 UNION ALL SELECT 'budget_ledger.ledger_unit_present', s FROM s WHERE trim(unit) = ''
+UNION ALL SELECT 'budget_ledger.ledger_generation_positive', s FROM s WHERE lease_generation < 1
+UNION ALL SELECT 'budget_ledger.ledger_entry_shape', s FROM s WHERE CASE WHEN kind = 'reserved' THEN job_id IS NULL ELSE reservation_entry_id IS NULL OR job_id IS NULL END
+UNION ALL SELECT 'budget_ledger.reservation_execution', job_id || '|' || lease_generation FROM l WHERE kind = 'reserved' AND job_id IS NOT NULL GROUP BY job_id, lease_generation HAVING count(*) > 1
+UNION ALL SELECT 'budget_ledger.settlement_reservation_identity', reservation_entry_id || '|' || campaign_id || '|' || work_item_id || '|' || job_id || '|' || lease_generation FROM l a WHERE reservation_entry_id IS NOT NULL AND job_id IS NOT NULL
+  AND NOT EXISTS (SELECT 1 FROM l b WHERE b.entry_id = a.reservation_entry_id AND b.campaign_id = a.campaign_id AND b.work_item_id = a.work_item_id AND b.job_id = a.job_id AND b.lease_generation = a.lease_generation)
+UNION ALL SELECT 'budget_ledger.job_work_item', l.job_id || '|' || l.work_item_id FROM l WHERE l.job_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM j WHERE j.job_id = l.job_id AND j.work_item_id = l.work_item_id)
+UNION ALL SELECT 'jobs.attempt_count_non_negative', CAST(job_id AS VARCHAR) FROM j WHERE attempt_count < 0 UNION ALL SELECT 'jobs.lease_owner_and_expiry_together', CAST(job_id AS VARCHAR) FROM j WHERE (lease_owner IS NULL) <> (lease_expires_at IS NULL)
+UNION ALL SELECT 'jobs.idempotency_key', idempotency_key FROM j GROUP BY idempotency_key HAVING count(*) > 1""")
+def catalogue_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from galvanite.operators.catalogue import audit
+
+    ledger = spark.sql(_LEDGER, events=table(spark, sf_dir, "events"))
+    held = spark.sql(_HELD, orders=table(spark, sf_dir, "orders"))
+    return audit({"budget_ledger": ledger, "jobs": held}, {"budget_ledger": "entry_id", "jobs": "job_id"})
+
+
+@query("SELECT p_partkey, p_name, CAST(p_size AS VARCHAR) AS size_cell, '[\"' || p_brand || '\",\"' || p_type || '\"]' AS tags FROM part")
+def result_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_name", F.col("p_size").cast("string").alias("size_cell"), F.array("p_brand", "p_type").alias("tags"))
+    return campaigns.wide_cells(rows)
+
+
+@query("""SELECT DISTINCT 'L' || (l_orderkey % 5) AS library_id, CAST(l_linenumber AS VARCHAR) AS area_id FROM lineitem""")
+def known_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from galvanite.sources.listings import locations
+
+    return locations(table(spark, sf_dir, "lineitem").select(F.concat(F.lit("L"), F.col("l_orderkey") % 5).alias("library_id"), F.col("l_linenumber").cast("string").alias("area_id")))
+
+
+@query("""SELECT l_orderkey, CASE WHEN count(*) > 4 AND max(l_linenumber) > 6 THEN 'crlf' WHEN count(*) > 4 THEN 'lf' ELSE 'none' END AS ending FROM lineitem GROUP BY 1""")
+def line_endings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from galvanite.operators.profile import line_ending
+
+    sums = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.max("l_linenumber").alias("m"))
+    text = F.when((F.col("n") > 4) & (F.col("m") > 6), "a\r\nb").when(F.col("n") > 4, "a\nb\nc").otherwise("a")
+    return sums.select("l_orderkey", line_ending(text).alias("ending"))
