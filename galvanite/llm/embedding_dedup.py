@@ -194,7 +194,7 @@ def _compare(least: float):
     return compare
 
 
-def embedding_dedup(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = 0.98, blocks: int = 2, words: int = 1024, seeds: int = 3, directions: int = 8, low: int = 8, block: int = 512, together: int = 4096) -> DataFrame:
+def embedding_dedup(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = 0.98, blocks: int = 2, words: int = 1024, seeds: int = 3, directions: int = 8, low: int = 8, block: int = 512, together: int = 1024) -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id, kept.
 
     Vectors of one label are linked if their cosine, in double precision, is
