@@ -97,7 +97,8 @@ def _super_kmers(window: int, group: int, buckets: int, held: int):
     """Sends super-k-mers, one block for each bucket and ``held`` words.
 
     Equal super-k-mers of one such part are sent once: all but the earliest
-    are repeats already, and only their places travel."""
+    are repeats already, so their places pass their bucket by and are dealt
+    evenly, under numbers from ``buckets`` up."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, codes, rows, ids = _Numbers(), [], [], []
@@ -143,16 +144,21 @@ def _super_kmers(window: int, group: int, buckets: int, held: int):
                 same[places + 1] = np.minimum.reduceat(equal, np.cumsum(span) - span)
             repeat = np.zeros(len(at), bool)
             repeat[order[same]] = True
-            order = np.argsort(bucket, kind="stable")
+            again, first = np.flatnonzero(repeat), np.flatnonzero(~repeat)
+            for low in range(0, len(again), 100_000):
+                mine = again[low : low + 100_000]
+                block = pack_arrays([], row[mine], start[mine].astype(np.uint32), count[mine].astype(np.uint32))
+                k = buckets + int(mix64(row[mine[:1]] + low)[0] % np.uint64(buckets))
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([block], pa.binary())], names=["bucket", "block"])
+            order = first[np.argsort(bucket[first], kind="stable")]
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
             for k in np.flatnonzero(np.diff(edges)).tolist():
                 mine = order[edges[k] : edges[k + 1]]
-                keep = mine[~repeat[mine]]
-                text = flat[ranges(begin[keep], count[keep] + window - 1)]
+                text = flat[ranges(begin[mine], count[mine] + window - 1)]
                 used, local = np.unique(text, return_inverse=True)
                 small = np.uint16 if len(used) <= 65536 else np.uint32
                 docs, doc_at = np.unique(owner[mine], return_inverse=True)
-                block = pack_arrays([words[i] for i in used], np.array(rows, np.int64)[docs], np.array(ids, np.int64)[docs], doc_at.astype(np.uint32), start[mine].astype(np.uint32), count[mine].astype(np.uint32), repeat[mine].astype(np.uint8), local.astype(small))
+                block = pack_arrays([words[i] for i in used], np.array(rows, np.int64)[docs], np.array(ids, np.int64)[docs], doc_at.astype(np.uint32), start[mine].astype(np.uint32), count[mine].astype(np.uint32), local.astype(small))
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([block], pa.binary())], names=["bucket", "block"])
 
         for batch in batches:
@@ -193,23 +199,25 @@ def equal_to_previous(codes: np.ndarray, at: np.ndarray, window: int) -> tuple[n
     return order, same
 
 
-def _repeats(window: int):
-    def find(table: pa.Table) -> pa.Table:
+def _repeats(window: int, buckets: int):
+    def find(bucket: tuple, table: pa.Table) -> pa.Table:
+        if bucket[0].as_py() >= buckets:  # places that are repeats already
+            known = [unpack_arrays(block)[1] for block in table["block"].to_pylist()]
+            return pa.table({name: np.concatenate([x[i] for x in known]).astype(np.int64) for i, name in enumerate(("_row", "start", "windows"))})
         numbers = _Numbers()
         parts = []
         for block in table["block"].to_pylist():
-            words, (rows, ids, doc, start, count, repeat, local) = unpack_arrays(block)
+            words, (rows, ids, doc, start, count, local) = unpack_arrays(block)
             code = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)).astype(np.int32)
-            parts.append((rows[doc], ids[doc], start.astype(np.int64), count.astype(np.int64), repeat.astype(bool), code[local]))
-        row, key, start, count, repeat = (np.concatenate([p[i] for p in parts]) for i in range(5))
-        codes = np.concatenate([p[5] for p in parts])
-        sent = np.flatnonzero(~repeat)
-        span = count[sent] + window - 1
+            parts.append((rows[doc], ids[doc], start.astype(np.int64), count.astype(np.int64), code[local]))
+        row, key, start, count = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        codes = np.concatenate([p[4] for p in parts])
+        span = count + window - 1
         begin = np.cumsum(span) - span
-        order = np.lexsort((start[sent], row[sent], key[sent]))
-        sent, begin = sent[order], begin[order]
-        at = ranges(begin, count[sent])
-        owner = np.repeat(np.arange(len(sent)), count[sent])
+        order = np.lexsort((start, row, key))
+        begin, row, start, count = begin[order], row[order], start[order], count[order]
+        at = ranges(begin, count)
+        owner = np.repeat(np.arange(len(row)), count)
         place, same = equal_to_previous(codes, at, window)
         found = np.zeros(len(at), bool)
         found[place[1:][same]] = True
@@ -219,9 +227,8 @@ def _repeats(window: int):
         first = np.flatnonzero(edge)
         length = np.diff(np.append(first, len(at)))
         first, length = first[found[first]], length[found[first]]
-        own = sent[owner[first]]
-        begins = start[own] + at[first] - begin[owner[first]]
-        return pa.table({"_row": np.concatenate([row[own], row[repeat]]), "start": np.concatenate([begins, start[repeat]]), "windows": np.concatenate([length, count[repeat]])})
+        own = owner[first]
+        return pa.table({"_row": row[own], "start": start[own] + at[first] - begin[own], "windows": length})
 
     return find
 
@@ -255,7 +262,7 @@ def _cut(window: int, more: list[str]):
 def repeated_windows(source: DataFrame, window: int, group: int, buckets: int, held: int) -> DataFrame:
     """(_row, start, windows): runs of windows that also start earlier."""
     sent = source.mapInArrow(_super_kmers(window, group, buckets, held), "bucket long, block binary")
-    return sent.groupBy("bucket").applyInArrow(_repeats(window), "_row long, start long, windows long")
+    return sent.groupBy("bucket").applyInArrow(_repeats(window, buckets), "_row long, start long, windows long")
 
 
 def substring_dedup(docs: DataFrame, *, text: str | Column = "text", key: str = "doc_id", window: int = 20, group: int = 4, held: int = 3_000_000, bucket_bytes: int = 8 << 20, carry: Sequence[str] = ()) -> DataFrame:
@@ -272,8 +279,8 @@ def substring_dedup(docs: DataFrame, *, text: str | Column = "text", key: str =
 
     Spread: buckets follow the table's size, ``bucket_bytes`` of text each;
     a passage that recurs in one part of ``held`` words is sent once from it,
-    so a passage shared by a third of all documents reaches its bucket once
-    for each part. ``docs`` is read twice and must be a table scan."""
+    and the places of its repeats pass its bucket by, so a passage shared by
+    a third of all documents reaches its bucket once for each part. ``docs`` is read twice and must be a table scan."""
     source = keyed(docs, doc_id=F.col(key).cast("long"), text=F.col(text) if isinstance(text, str) else text)
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(2 * partitions(docs.sparkSession), -(-size // bucket_bytes))
