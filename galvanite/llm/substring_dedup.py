@@ -1,8 +1,9 @@
 """Repeated passages by super-k-mer partitioning.
 
 A window is ``window`` consecutive words. Its minimiser is the least hash
-among the word groups of ``group`` words in it. Consecutive windows with the
-same minimiser travel as one packed string of words, a super-k-mer, to the
+among the word groups of ``group`` words in it, where groups that are common
+in the table rank after all others. Consecutive windows with the same
+minimiser travel as one packed string of words, a super-k-mer, to the
 minimiser's bucket, so equal windows meet in one bucket. There all windows are
 sorted, and equal neighbours, compared word by word, are repeats.
 """
@@ -93,7 +94,59 @@ def unpack_arrays(block: bytes) -> tuple[list[bytes], list[np.ndarray]]:
     return text.split(b" ") if text else [], out
 
 
-def _super_kmers(window: int, group: int, buckets: int, held: int):
+#: Word groups are counted in this many slots; a slot is common in a task from such a share of its groups on.
+SLOTS, SHARE = 1 << 22, 1e-6
+
+
+def group_hashes(flat: np.ndarray, words: list[bytes], group: int) -> np.ndarray:
+    """A hash of every ``group`` neighbours of numbered words."""
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))[flat]
+    n = len(flat)
+    grams = np.zeros(n - group + 1, np.uint64)
+    for j in range(group):
+        grams *= np.uint64(0x9E3779B97F4A7C15)
+        grams += hashes[j : n - group + 1 + j]
+    return mix64(grams)
+
+
+def slots(values: np.ndarray) -> np.ndarray:
+    return (values & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
+def _common_slots(window: int, group: int, held: int, common: int):
+    """The slots of word groups that are common in a task: ``common`` of them
+    at least. A group with a
+    share of the whole table has that share in some task at least."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(SLOTS, np.int64)
+        numbers, codes, size, total = _Numbers(), [], 0, 0
+
+        def add() -> None:
+            ends = np.cumsum([len(c) for c in codes])
+            inside = np.ones(ends[-1] - group + 1, bool)
+            inside[(ends[:-1, None] - np.arange(1, group)).ravel()] = False
+            np.add(counts, np.bincount(slots(group_hashes(np.concatenate(codes), list(numbers), group)[inside]), minlength=SLOTS), out=counts)
+            numbers.clear(), codes.clear()
+
+        for batch in batches:
+            for text in as_bytes(batch["text"]):
+                words = text.split()
+                if len(words) < window:
+                    continue
+                codes.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
+                size, total = size + len(words), total + len(words)
+                if size >= held:
+                    add()
+                    size = 0
+        if codes:
+            add()
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(counts >= max(common, SHARE * total)), pa.int64())], names=["slot"])
+
+    return count
+
+
+def _super_kmers(window: int, group: int, buckets: int, held: int, common):
     """Sends super-k-mers, one block for each bucket and ``held`` words.
 
     Equal super-k-mers of one such part are sent once: all but the earliest
@@ -110,15 +163,13 @@ def _super_kmers(window: int, group: int, buckets: int, held: int):
             lengths = np.array([len(c) for c in codes])
             flat, words = np.concatenate(codes), list(numbers)
             codes.clear()
-            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))[flat]
-            n, firsts = len(flat), np.cumsum(lengths) - lengths
-            grams = np.zeros(n - group + 1, np.uint64)
-            for j in range(group):
-                grams *= np.uint64(0x9E3779B97F4A7C15)
-                grams += hashes[j : n - group + 1 + j]
-            del hashes
-            least = sliding_min(mix64(grams), window - group + 1)
-            del grams
+            firsts = np.cumsum(lengths) - lengths
+            value = group_hashes(flat, words, group)
+            late = common.value[slots(value)]
+            value >>= np.uint64(1)
+            value[late] |= np.uint64(1 << 63)
+            least = sliding_min(value, window - group + 1)
+            del value, late
             begins = ranges(firsts, lengths - window + 1)
             doc = np.repeat(np.arange(len(lengths)), lengths - window + 1)
             value = least[begins]
@@ -259,13 +310,21 @@ def _cut(window: int, more: list[str]):
     return cut
 
 
-def repeated_windows(source: DataFrame, window: int, group: int, buckets: int, held: int) -> DataFrame:
-    """(_row, start, windows): runs of windows that also start earlier."""
-    sent = source.mapInArrow(_super_kmers(window, group, buckets, held), "bucket long, block binary")
+def repeated_windows(source: DataFrame, window: int, group: int, buckets: int, held: int, common: int) -> DataFrame:
+    """(_row, start, windows): runs of windows that also start earlier.
+
+    Common word groups are found first, over the whole table: 4 million flags
+    at most, which go to every executor. They only decide to which bucket a
+    window goes, so that windows at the edges of a common passage go where
+    their rarer words send them."""
+    found = source.select("text").mapInArrow(_common_slots(window, group, held, common), "slot long").distinct().toArrow()["slot"].to_numpy()
+    flags = np.zeros(SLOTS, bool)
+    flags[found] = True
+    sent = source.mapInArrow(_super_kmers(window, group, buckets, held, source.sparkSession.sparkContext.broadcast(flags)), "bucket long, block binary")
     return sent.groupBy("bucket").applyInArrow(_repeats(window, buckets), "_row long, start long, windows long")
 
 
-def substring_dedup(docs: DataFrame, *, text: str | Column = "text", key: str = "doc_id", window: int = 20, group: int = 4, held: int = 3_000_000, bucket_bytes: int = 8 << 20, carry: Sequence[str] = ()) -> DataFrame:
+def substring_dedup(docs: DataFrame, *, text: str | Column = "text", key: str = "doc_id", window: int = 20, group: int = 4, held: int = 3_000_000, bucket_bytes: int = 8 << 20, common: int = 64, carry: Sequence[str] = ()) -> DataFrame:
     """One row per row of ``docs``: _row, doc_id, text, n_words, n_removed,
     and the columns ``carry``.
 
@@ -280,11 +339,12 @@ def substring_dedup(docs: DataFrame, *, text: str | Column = "text", key: str =
     Spread: buckets follow the table's size, ``bucket_bytes`` of text each;
     a passage that recurs in one part of ``held`` words is sent once from it,
     and the places of its repeats pass its bucket by, so a passage shared by
-    a third of all documents reaches its bucket once for each part. ``docs`` is read twice and must be a table scan."""
+    a third of all documents reaches its bucket once for each part. ``docs``
+    is read three times and must be a table scan."""
     source = keyed(docs, doc_id=F.col(key).cast("long"), text=F.col(text) if isinstance(text, str) else text)
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(2 * partitions(docs.sparkSession), -(-size // bucket_bytes))
-    found = repeated_windows(source, window, group, buckets, held)
+    found = repeated_windows(source, window, group, buckets, held, common)
     spans = found.groupBy("_row").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
     whole = keyed(docs, doc_id=F.col(key).cast("long"), text=F.col(text) if isinstance(text, str) else text, **{f"_of_{c}": F.col(c) for c in carry})
     more = [whole.schema[f"_of_{c}"] for c in carry]

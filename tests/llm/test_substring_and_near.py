@@ -43,6 +43,7 @@ def test_windows_against_brute_force(spark, held):
     rows = [(int(i), " ".join([*rng.choice(words, rng.integers(0, 40)), *([passage] if i % 3 == 0 else []), *rng.choice(words, 5)])) for i in range(60)]
     rows += [(100, None), (101, ""), (102, "a " * 300), (103, "a\tb\nc\x0bd"), (None, passage), (104, passage), (105, "é " + passage)]
     checked(spark, rows, window=6, held=held)
+    checked(spark, rows, window=6, held=held, common=2)  # most word groups are common
     checked(spark, rows, held=held)
 
 
