@@ -321,7 +321,8 @@ def repeated_windows(source: DataFrame, window: int, group: int, buckets: int, h
     flags = np.zeros(SLOTS, bool)
     flags[found] = True
     sent = source.mapInArrow(_super_kmers(window, group, buckets, held, source.sparkSession.sparkContext.broadcast(flags)), "bucket long, block binary")
-    return sent.groupBy("bucket").applyInArrow(_repeats(window, buckets), "_row long, start long, windows long")
+    tasks = max(partitions(source.sparkSession), buckets // 2)  # the tasks grow with the buckets, and so with the table
+    return sent.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_repeats(window, buckets), "_row long, start long, windows long")
 
 
 def substring_dedup(docs: DataFrame, *, text: str | Column = "text", key: str = "doc_id", window: int = 20, group: int = 4, held: int = 3_000_000, bucket_bytes: int = 8 << 20, common: int = 64, carry: Sequence[str] = ()) -> DataFrame:
