@@ -2,7 +2,11 @@
 one before it wrote.
 
 Every stage works on all rows that its predecessor kept. All but the last
-return the columns of ``documents``; n_chars follows the text."""
+return the columns of ``documents``, and any others that came with them;
+n_chars follows the text. Rows with a null text, or one without a letter, go in the
+first stage. Of rows that repeat id and text one stays, whatever their other
+columns hold; a null id is smaller than any other and stands for itself. An
+empty table gives an empty result."""
 
 from __future__ import annotations
 
