@@ -17,7 +17,6 @@ FACTORS = (
     ("mV", "V", "0.001"),
     ("A", "A", "1"),
     ("mA", "A", "0.001"),
-    ("1", "1", "1"),
     ("uA", "A", "0.000001"),
     ("µA", "A", "0.000001"),
     ("nA", "A", "0.000000001"),
@@ -29,6 +28,7 @@ FACTORS = (
     ("s", "s", "1"),
     ("ms", "s", "0.001"),
     ("min", "s", "60"),
+    ("1", "1", "1"),
     ("#", "1", "1"),
 )
 FACTOR = {(source, target): Decimal(factor) for source, target, factor in FACTORS}

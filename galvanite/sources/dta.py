@@ -65,10 +65,10 @@ def table(data: bytes, profile: Profile) -> tuple[Sequence[str], Rows]:
     count = int(declared[2])
 
     _demand(len(lines) >= at + 2, "table_truncated", at)
-    for line, wanted in ((at + 1, HEADER), (at + 2, UNITS)):
-        _demand(lines[line - 1][0] == "", "unsupported_table_schema", line)
-    for line, wanted in ((at + 1, HEADER), (at + 2, UNITS)):
-        _demand(tuple(lines[line - 1][1:]) == wanted, "unsupported_table_schema", line)
+    heads = {at + 1: ("", *HEADER), at + 2: ("", *UNITS)}  # line -> its cells
+    for width in (1, None):  # both lines are indented, then both are as they must be
+        for line, cells in heads.items():
+            _demand(tuple(lines[line - 1][:width]) == cells[:width], "unsupported_table_schema", line)
     _demand(_suits(profile, at + 1), "profile_mismatch", at + 1)
 
     body = lines[at + 2 :]
