@@ -119,7 +119,7 @@ RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's outcome is bad if the document that its path numbers is
-    labelled as toxic or of low quality."""
+    labelled as toxic or of low quality; a label that says neither is none."""
     from galvanite.llm.url_filter import host_of, judge_urls, path_of
 
     pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
@@ -127,7 +127,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = pages.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).select("host", number.alias("doc_id"))
     counted = named.where("doc_id is not null and host <> ''").groupBy("host", "doc_id").agg(F.count("*").alias("n"))
     bad = F.when((F.col("toxic") == 1) | (F.col("quality") == 0), 1).otherwise(0)
-    outcomes = counted.join(labels.select("doc_id", bad.alias("bad")), "doc_id").groupBy("host").agg(F.sum(F.col("bad") * F.col("n")).alias("bad"), F.sum("n").alias("n"))
+    outcomes = counted.join(labels.where("toxic is not null or quality is not null").select("doc_id", bad.alias("bad")), "doc_id").groupBy("host").agg(F.sum(F.col("bad") * F.col("n")).alias("bad"), F.sum("n").alias("n"))
     return judge_urls(pages, outcomes, RULES)
 
 
@@ -136,8 +136,8 @@ WITH p AS (SELECT page_id, coalesce(translate(regexp_extract(url, '://([^/?#]*)'
   coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 r AS (SELECT * FROM (VALUES ('block', 'net', '/', 'net/'), ('allow', 'example.net', '/en/', 'example.net/en/'), ('block', 'example.com', '/de/', 'example.com/de/'), ('allow', 'org', '/fr/', 'org/fr/')) AS t(verdict, name, prefix, rule)),
 hosts0 AS (SELECT p.host, CAST(sum(CASE WHEN l.toxic = 1 OR l.quality = 0 THEN 1 ELSE 0 END) AS DOUBLE) AS bad, CAST(count(*) AS DOUBLE) AS n
-  FROM p JOIN labels l ON l.doc_id = try_cast(regexp_extract(p.path, '([0-9]+)', 1) AS BIGINT) WHERE p.host <> '' GROUP BY p.host),
-hosts AS (SELECT *, string_split(host, '.')[-1] AS suffix, array_to_string(list_concat([''], string_split(host, '.'))[-2:], '.') AS domain FROM hosts0),
+  FROM p JOIN labels l ON l.doc_id = try_cast(regexp_extract(p.path, '([0-9]+)', 1) AS BIGINT) WHERE p.host <> '' AND (l.toxic IS NOT NULL OR l.quality IS NOT NULL) GROUP BY p.host),
+hosts AS (SELECT *, labels[-1] AS suffix, array_to_string(list_concat([''], labels)[-2:], '.') AS domain FROM (SELECT *, string_split(regexp_replace(host, ':[0-9]*$', ''), '.') AS labels FROM hosts0)),
 domains AS (SELECT domain, suffix, sum(bad) AS bad, sum(n) AS n FROM hosts GROUP BY domain, suffix),
 suffixes AS (SELECT suffix, sum(bad) AS bad, sum(n) AS n FROM domains GROUP BY suffix),
 g AS (SELECT 3 AS lv, bad, n FROM hosts UNION ALL SELECT 2, bad, n FROM domains UNION ALL SELECT 1, bad, n FROM suffixes),

@@ -49,11 +49,26 @@ def _strength(groups: DataFrame) -> DataFrame:
     return sums.select(F.coalesce(m, F.lit(0.5)).alias("m"), F.coalesce(F.when(F.col("t") > F.col("nn") / F.col("t"), k), F.lit(1000.0)).alias("k"))
 
 
-def reputation(outcomes: DataFrame, *, z: float = 1.645) -> DataFrame:
+def suffix_of(name: Column, known: Sequence[str]) -> Column:
+    """The longest of the ``known`` suffixes of a host, or its last label."""
+    out = F.substring_index(name, ".", -1)
+    for s in sorted(known, key=lambda s: (len(s), s)):
+        out = F.when((name == s) | name.endswith("." + s), s).otherwise(out)
+    return out
+
+
+def reputation(outcomes: DataFrame, *, z: float = 1.645, suffixes: Sequence[str] = ()) -> DataFrame:
     """(host, rate, low): posterior mean and lower bound of a host's share of
-    bad pages, from (host, bad, n) with one row for each host."""
-    labels = F.split("host", r"\.")
-    hosts = outcomes.select("host", F.element_at(F.slice(labels, -1, 1), 1).alias("suffix"), F.array_join(F.slice(F.concat(F.array(F.lit("")), labels), -2, 2), ".").alias("domain"), F.col("bad").cast("double").alias("bad"), F.col("n").cast("double").alias("n"))
+    bad pages, from (host, bad, n) with one row for each host.
+
+    A port is no part of a host's name. The registered domain is the suffix
+    and the label before it; ``suffixes`` lists those of several labels, such
+    as co.uk, and any other suffix is one label."""
+    name = F.regexp_replace("host", ":[0-9]*$", "")
+    rest = F.expr("substring(_name, 1, greatest(0, length(_name) - length(suffix) - 1))")
+    domain = F.concat(F.substring_index(rest, ".", -1), F.lit("."), F.col("suffix"))
+    named = outcomes.withColumn("_name", name).withColumn("suffix", suffix_of(F.col("_name"), suffixes))
+    hosts = named.select("host", "suffix", domain.alias("domain"), F.col("bad").cast("double").alias("bad"), F.col("n").cast("double").alias("n"))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
     suffixes = domains.groupBy("suffix").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
     shrunk = lambda m: (F.col("bad") + F.col("k") * m) / (F.col("n") + F.col("k"))
@@ -65,7 +80,7 @@ def reputation(outcomes: DataFrame, *, z: float = 1.645) -> DataFrame:
     return h.select("host", rate.alias("rate"), (rate - z * F.sqrt(rate * (1 - rate) / (F.col("n") + F.col("k") + 1))).alias("low"))
 
 
-def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]], *, url: str = "url", key: str = "page_id", most: float = 0.5) -> DataFrame:
+def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]], *, url: str = "url", key: str = "page_id", most: float = 0.5, suffixes: Sequence[str] = ()) -> DataFrame:
     """page_id, host, path, rule, verdict for each row of ``pages``.
 
     A fitting rule decides; else the host's reputation: ``block`` if its lower
@@ -77,6 +92,6 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str,
     outcomes are sums by host, and the blocked hosts are joined back."""
     judged = pages.select(F.col(key).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     judged = judged.withColumn("best", best_rule(F.col("host"), F.col("path"), rules))
-    blocked = reputation(outcomes).where(F.col("low") > most).select("host", F.lit("block").alias("own"))
+    blocked = reputation(outcomes, suffixes=suffixes).where(F.col("low") > most).select("host", F.lit("block").alias("own"))
     out = judged.join(blocked, "host", "left")
     return out.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", "own", F.lit("allow")).alias("verdict"))

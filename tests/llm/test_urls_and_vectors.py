@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from galvanite.llm.embedding_dedup import code_words, embedding_dedup, list_decode
 from galvanite.llm.queries import RULES
-from galvanite.llm.url_filter import judge_urls, reputation
+from galvanite.llm.url_filter import judge_urls, reputation, suffix_of
 
 
 def test_rules_hosts_and_paths(spark):
@@ -36,6 +36,16 @@ def test_reputation_blocks_only_what_is_sure(spark):
     assert judge_urls(pages.limit(0), outcomes, RULES).count() == 0
 
 
+def test_registered_domains(spark):
+    hosts = [("a.b.co.uk", 9, 10), ("b.co.uk", 1, 10), ("c.co.uk:8080", 5, 10), ("co.uk", 1, 2), ("x.org:80", 1, 1), ("x.org", 0, 9)]
+    frame = spark.createDataFrame(hosts, "host string, bad long, n long")
+    names = frame.select("host", suffix_of(F.regexp_replace("host", ":[0-9]*$", ""), ["co.uk"]).alias("s")).collect()
+    assert {r.host: r.s for r in names} == {"a.b.co.uk": "co.uk", "b.co.uk": "co.uk", "c.co.uk:8080": "co.uk", "co.uk": "co.uk", "x.org:80": "org", "x.org": "org"}
+    far, near = ({r.host: r.rate for r in reputation(frame, suffixes=s).collect()} for s in ((), ("co.uk",)))
+    assert far.keys() == near.keys() == {h for h, _, _ in hosts}
+    assert near["a.b.co.uk"] != far["a.b.co.uk"]  # b.co.uk and c.co.uk no longer share a domain
+
+
 def test_lists_are_all_exceeding_directions():
     rng = np.random.default_rng(0)
     unit = rng.standard_normal((30, 8))
