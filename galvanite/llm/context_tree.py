@@ -405,14 +405,15 @@ def _token_sums(common: dict[bytes, int], total: int, distinct: int):
     return score
 
 
-def score_documents(docs: DataFrame, learn: Column, *, text: str = "text", key: str = "doc_id", depth: int = DEPTH, words: int = 100_000, common: int = 3_000_000) -> DataFrame:
+def score_documents(docs: DataFrame, learn: Column, *, text: str = "text", key: str = "doc_id", depth: int = DEPTH, words: int = 100_000, common: int = 3_000_000, bucket_bytes: int = 16 << 20) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte per row.
 
     Tokens are runs of other than ASCII white space with A-Z lower-cased, and
     one end. score is the model's log10 probability of the tokens, base_score
     that of single-token counts with one added: log10((c + 1) / (N + V + 1))
     for a token with count c, N tokens and V distinct ones in training.
-    bits_per_byte is the code length over the text's bytes (null if none).
+    bits_per_byte is the code length of the text as spelled here, with its
+    end, over the bytes of the text as given (null if none).
     A null text is empty and has the end token only; rows with a null id are
     scored and, if ``learn`` is null for them, not learnt from. Repeated rows
     count each. An empty table gives an empty result.
@@ -421,11 +422,13 @@ def score_documents(docs: DataFrame, learn: Column, *, text: str = "text", key:
     ``words`` commonest tokens and ``common`` commonest grams go to all
     executors (bounds of a few and of some 50 MB); only the others, rare by
     choice, are joined by key, so no key is hot. Every token and gram has its
-    own count either way. ``docs`` is read several times and must be a table
-    scan."""
+    own count either way. Buckets of grams follow the table's size,
+    ``bucket_bytes`` of text each. ``docs`` is read several times and must be a
+    table scan."""
     spark = docs.sparkSession
     source = keyed(docs, doc_id=F.col(key).cast("long"), text=F.col(text), learn=F.coalesce(learn, F.lit(False)))
-    buckets = 4 * partitions(spark)
+    size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(4 * partitions(spark), -(-size // bucket_bytes))
     model = gram_model(source.select("text", "learn"), depth, buckets)
     shared = spark.sparkContext.broadcast(common_grams(model, common))
     asked = source.select("_row", "text").mapInArrow(_row_sums(depth, buckets, shared, 2_000_000), "bucket long, block binary")
