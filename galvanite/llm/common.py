@@ -44,7 +44,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def removed(*tables: DataFrame) -> None:
+    """Deletes tables made by ``written`` that nothing will read again: what
+    was made of them must be written itself by then."""
+    for table in tables:
+        spark, path = table.sparkSession, table.written_to
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def keyed(df: DataFrame, **cols: Column) -> DataFrame:
@@ -71,32 +82,39 @@ def joined_back(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     return marked.where("_large").drop("_large").unionByName(others)
 
 
-def possible(rows: DataFrame, key: str, wanted: DataFrame, bits: int = 27) -> DataFrame:
-    """Rows whose ``key`` may be in the one column of ``wanted``, by a Bloom
-    filter of 2^``bits`` bits: a fixed size (16 MB), so it can go to every
-    executor however many keys there are. It loses no row; with very many keys
-    it merely keeps more, so join the result to ``wanted`` as well. Put it
-    before such a join, and large rows that can't match aren't shuffled."""
-    spark, places, names = rows.sparkSession, ("_p0", "_p1"), rows.columns
-    place = lambda c, j: F.pmod(F.xxhash64(c, F.lit(j)), F.lit(1 << bits))
-    own = wanted.columns[0]
-    set_ = wanted.select(F.explode(F.array(*(place(F.col(own).cast("long"), j) for j in range(2)))).alias("p"))
-    word = set_.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b")).toArrow()
-    filled = np.zeros(1 << (bits - 6), np.uint64)
-    filled[word["w"].to_numpy()] = word["b"].to_numpy().view(np.uint64)
-    shared = spark.sparkContext.broadcast(filled)
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        full = shared.value
-        for batch in batches:
-            found = np.ones(batch.num_rows, bool)
-            for name in places:
-                at = batch[name].to_numpy().astype(np.uint64)
-                found &= (full[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-            yield batch.filter(pa.array(found)).select(names)
-
-    marked = rows.select("*", *(place(F.col(key).cast("long"), j).alias(name) for j, name in enumerate(places)))
-    return marked.mapInArrow(keep, rows.schema)
+class Possible:
+    """A Bloom filter of the one column of ``wanted``, of 2^``bits`` bits: a
+    fixed size (16 MB), so it can go to every executor however many keys there
+    are. It loses no row; with very many keys it merely keeps more, so join
+    what it keeps to ``wanted`` as well. Used before such a join, large rows
+    that can't match aren't shuffled."""
+
+    PLACES = ("_p0", "_p1")
+
+    def __init__(self, wanted: DataFrame, bits: int = 27):
+        self.bits = bits
+        key = F.col(wanted.columns[0])
+        set_ = wanted.select(F.explode(F.array(*self._places(key))).alias("p"))
+        word = set_.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b")).toArrow()
+        filled = np.zeros(1 << (bits - 6), np.uint64)
+        filled[word["w"].to_numpy()] = word["b"].to_numpy().view(np.uint64)
+        self.shared = wanted.sparkSession.sparkContext.broadcast(filled)
+
+    def _places(self, key: Column) -> list[Column]:
+        return [F.pmod(F.xxhash64(key.cast("long"), F.lit(j)), F.lit(1 << self.bits)) for j in range(2)]
+
+    def marked(self, rows: DataFrame, key: str) -> DataFrame:
+        """Rows with the columns that ``kept`` needs."""
+        return rows.select("*", *(c.alias(name) for c, name in zip(self._places(F.col(key)), self.PLACES, strict=True)))
+
+    @staticmethod
+    def kept(batch: pa.RecordBatch, filled: np.ndarray) -> pa.RecordBatch:
+        """The rows of a marked batch whose key may be wanted; in a task."""
+        found = np.ones(batch.num_rows, bool)
+        for name in Possible.PLACES:
+            at = batch[name].to_numpy().astype(np.uint64)
+            found &= (filled[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+        return batch.filter(pa.array(found))
 
 
 def partitions(spark: SparkSession) -> int:

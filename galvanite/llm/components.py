@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galvanite.llm.common import written
+from galvanite.llm.common import removed, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -29,6 +29,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = edges.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     edges = written(edges, "edges")
     rounds: list[DataFrame] = []
+    used: list[DataFrame] = []
     while not edges.isEmpty():
         rank = lambda v: F.struct(F.xxhash64(v, F.lit(len(rounds))).alias("h"), F.col(v).alias("m"))  # noqa: B023, E731
         both = edges.union(edges.select("b", "a"))
@@ -36,6 +37,7 @@ def components(edges: DataFrame) -> DataFrame:
         names = written(first.select("v", F.least("n", rank("v"))["m"].alias("m")), "names")
         rounds.append(names)
         of_a, of_b = (names.select(F.col("v").alias(x), F.col("m").alias(f"m{x}")) for x in "ab")
+        used += [edges, names]
         edges = edges.join(of_a, "a").join(of_b, "b").where("ma <> mb").select(F.least("ma", "mb").alias("a"), F.greatest("ma", "mb").alias("b")).distinct()
         edges = written(edges, "edges")
     if not rounds:
@@ -45,5 +47,6 @@ def components(edges: DataFrame) -> DataFrame:
         after = labels.select(F.col("v").alias("m"), F.col("m").alias("later"))
         labels = rounds.pop().join(after, "m", "left").select("v", F.coalesce("later", "m").alias("m"))
     labels = written(labels, "labels")
+    removed(*used)
     least = labels.groupBy("m").agg(F.min("v").alias("component"))
     return written(labels.join(least, "m").select("v", "component"), "components")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from galvanite.llm.common import as_bytes, joined_back, keyed, written
+from galvanite.llm.common import as_bytes, joined_back, keyed, removed, written
 
 _LOCAL = "part long, local int, first_row long, first_at int, block binary, uses array<struct<row:long,at:int,blocks:int>>, docs array<struct<row:long,blocks:int,doc_id:long,sha:binary>>"
 
@@ -106,6 +106,7 @@ def exact_dedup(docs: DataFrame, *, text: str = "text", key: str = "doc_id", blo
     named = local.select("part", "local", "first_row", "first_at", "uses", "docs").join(other, ["part", "local"], "left")
     named = named.select(F.coalesce("name.first_row", "first_row").alias("name_row"), F.coalesce("name.first_at", "first_at").alias("name_at"), "uses", "docs")
     named = written(named, "named")
+    removed(local)
 
     heads = named.select(F.explode("docs").alias("d"), "name_row", "name_at").select("d.*", "name_row", "name_at")
     names = named.select(F.explode(F.filter("uses", lambda u: u["blocks"] > 1)).alias("u"), "name_row", "name_at").select("u.row", "u.at", F.col("u.blocks").alias("width"), "name_row", "name_at")
@@ -120,6 +121,7 @@ def exact_dedup(docs: DataFrame, *, text: str = "text", key: str = "doc_id", blo
         equal = written(pairs.groupBy("left", "right").agg(F.min(F.struct("row", "at")).alias("name"), F.count("*").alias("n")).where("n > 1"), "equal")
         done = joined_back(pairs, equal, ["left", "right"], "n")
         done = written(done.select("row", "at", "width", F.coalesce("name.row", "row").alias("name_row"), F.coalesce("name.at", "at").alias("name_at")), "names")
+        removed(pairs, equal)
         ended = done.where("width = 1").select("row", "name_row", "name_at")
         whole = ended if whole is None else whole.unionByName(ended)
         names = done.where("width > 1")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from galvanite.llm.common import as_bytes, joined_back, lists, mix64, possible, written
+from galvanite.llm.common import Possible, as_bytes, joined_back, lists, mix64, removed, written
 from galvanite.llm.components import components
 
 
@@ -28,7 +28,7 @@ class _Hashes(dict):
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 400_000:
+        if len(self) < 200_000:
             self[word] = value
         return value
 
@@ -76,15 +76,17 @@ def bands_for(percent: int, rows: int, miss: float) -> int:
     return 1 if percent >= 100 else ceil(log(miss) / log(1 - (percent / 100) ** rows))
 
 
-def _parts(batch: pa.RecordBatch, size: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of a batch of about ``size`` bytes of text."""
-    texts = as_bytes(batch["text"])
-    low, total = 0, 0
-    for i, text in enumerate(texts):
-        total += len(text)
-        if total >= size or i == len(texts) - 1:
-            yield batch.slice(low, i + 1 - low), texts[low : i + 1]
-            low, total = i + 1, 0
+def _parts(batch: pa.RecordBatch, size: int = 2 << 20, rows: int = 256) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of a batch of at most ``rows`` rows and about ``size`` bytes of text."""
+    for begin in range(0, batch.num_rows, rows):
+        some = batch.slice(begin, rows)
+        texts = as_bytes(some["text"])
+        low, total = 0, 0
+        for i, text in enumerate(texts):
+            total += len(text)
+            if total >= size or i == len(texts) - 1:
+                yield some.slice(low, i + 1 - low), texts[low : i + 1]
+                low, total = i + 1, 0
 
 
 def _signed(words: int, bands: int, rows: int, carry: Sequence[str]):
@@ -108,29 +110,25 @@ def _signed(words: int, bands: int, rows: int, carry: Sequence[str]):
     return sign
 
 
-def _shipped(words: int):
-    """The full set of each class for each of its groups. A class is named by
-    an id and a digest; a task sends a class once, however often it repeats."""
+def _full_sets(words: int, wanted):
+    """The full set of each row that may be wanted, named by id and digest;
+    a task gives a set once for an id, however often the row repeats."""
 
-    def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, sent = _Hashes(), set()
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, given = _Hashes(), set()
         for batch in batches:
-            for part, texts in _parts(batch):
-                for i, text in enumerate(texts):
-                    own, digest = part["id"][i].as_py(), part["digest"][i].as_py()
-                    if own in sent:
-                        continue
+            for part, texts in _parts(Possible.kept(batch, wanted.value)):
+                ids, digests, sets = [], [], []
+                for own, text in zip(part["doc_id"].to_pylist(), texts, strict=True):
                     found = shingles(text, words, hashes).tobytes()
-                    if hashlib.blake2b(found, digest_size=16).digest() != digest:
-                        continue
-                    sent.add(own)
-                    groups = part["groups"][i].as_py()
-                    step = max(1, (16 << 20) // (len(found) + 1))
-                    for low in range(0, len(groups), step):
-                        some = groups[low : low + step]
-                        yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([own] * len(some), pa.int64()), pa.array([found] * len(some), pa.binary())], names=["g", "id", "shingles"])
+                    digest = hashlib.blake2b(found, digest_size=16).digest()
+                    if found and (own, digest) not in given:
+                        given.add((own, digest))
+                        ids.append(own), digests.append(digest), sets.append(found)
+                if ids:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], names=["doc_id", "digest", "shingles"])
 
-    return ship
+    return build
 
 
 def linked(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
@@ -201,8 +199,12 @@ def _verify(percent: int):
 def _confirmed(source: DataFrame, classes: DataFrame, groups: DataFrame, words: int, percent: int) -> DataFrame:
     """(a, b): a forest of the links inside each group of ``groups`` (id, groups)."""
     plan = written(groups.join(classes.select("id", "digest", "least_id"), "id").select("id", "digest", F.col("least_id").alias("doc_id"), "groups"), "plan")
-    sets = possible(source.select("doc_id", "text"), "doc_id", plan.select("doc_id")).join(plan, "doc_id").select("text", "id", "digest", "groups").mapInArrow(_shipped(words), "g string, id long, shingles binary")
-    return written(sets.groupBy("g").applyInArrow(_verify(percent), "a long, b long"), "links")
+    wanted = Possible(plan.select("doc_id"))
+    sets = wanted.marked(source.select("doc_id", "text"), "doc_id").mapInArrow(_full_sets(words, wanted.shared), "doc_id long, digest binary, shingles binary")
+    sets = sets.join(plan, ["doc_id", "digest"]).select(F.explode("groups").alias("g"), "id", "shingles")
+    links = written(sets.groupBy("g").applyInArrow(_verify(percent), "a long, b long"), "links")
+    removed(plan)
+    return links
 
 
 def near_dedup(docs: DataFrame, *, text: str = "text", key: str = "doc_id", words: int = 5, percent: int = 80, rows: int = 6, miss: float = 1e-5, block: int = 256, carry: Sequence[str] = ()) -> DataFrame:
