@@ -84,14 +84,14 @@ def joined_back(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
 
 class Possible:
     """A Bloom filter of the one column of ``wanted``, of 2^``bits`` bits: a
-    fixed size (16 MB), so it can go to every executor however many keys there
+    fixed size (4 MB), so it can go to every executor however many keys there
     are. It loses no row; with very many keys it merely keeps more, so join
     what it keeps to ``wanted`` as well. Used before such a join, large rows
     that can't match aren't shuffled."""
 
     PLACES = ("_p0", "_p1")
 
-    def __init__(self, wanted: DataFrame, bits: int = 27):
+    def __init__(self, wanted: DataFrame, bits: int = 25):
         self.bits = bits
         key = F.col(wanted.columns[0])
         set_ = wanted.select(F.explode(F.array(*self._places(key))).alias("p"))

@@ -28,7 +28,7 @@ class _Hashes(dict):
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 200_000:
+        if len(self) < 100_000:
             self[word] = value
         return value
 
