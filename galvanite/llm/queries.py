@@ -194,5 +194,33 @@ QUALIFY rank <= 5
 """
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_context_tree, op3_substring_dedup, op4_language_id, op5_exact_dedup, op6_minhash_dedup, op7_sentencepiece, op8_url_filter, op9_embedding_dedup, op10_packing, op11_hard_negatives)}
-SQL: dict[str, str] = {"op3_substring_dedup": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op6_minhash_dedup": OP6_SQL, "op8_url_filter": OP8_SQL, "op9_embedding_dedup": OP9_SQL, "op11_hard_negatives": OP11_SQL}
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conversation begins with the first crc32(id) % 6 turns of the one
+    whose id is its own, rounded to hundreds."""
+    from galvanite.llm.conversation_trie import encoded, prefix_trie, with_heads
+    from galvanite.llm.common import written
+
+    own = written(encoded(table(spark, sf_dir, "conversations")), "conversations")
+    return prefix_trie(written(with_heads(own, remainder(F.col("conv_id"), 6), 100, 5), "rebuilt"))
+
+
+#: crc32 is computed bit by bit. Nodes are grouped by their whole prefix, subtrees by all prefixes of it.
+OP12_SQL = """
+WITH t AS (SELECT conv_id, {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS x, turn, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS name FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list(x ORDER BY turn NULLS FIRST, name) AS s, CAST(conv_id AS VARCHAR) AS digits FROM t GROUP BY conv_id),
+heads AS (SELECT conv_id, s, xor(4294967295, list_reduce(range(8 * length(digits)), lambda c, i: xor((CASE WHEN i % 8 = 0 THEN xor(c, ascii(substr(digits, i // 8 + 1, 1))) ELSE c END) >> 1,
+  3988292384 * ((CASE WHEN i % 8 = 0 THEN xor(c, ascii(substr(digits, i // 8 + 1, 1))) ELSE c END) & 1)), 4294967295)) % 6 AS h FROM own),
+rebuilt AS (SELECT o.conv_id, list_concat(CASE WHEN b.s IS NULL THEN [] ELSE b.s[1:o.h] END, o.s[o.h + 1:]) AS s FROM heads o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 100),
+pre AS (SELECT conv_id, len(s) AS l, unnest(range(0, len(s) + 1)) AS d, s FROM rebuilt),
+node AS (SELECT s[1:d] AS p, d, min(conv_id) AS conv_id, count(*) AS n, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (l = d), '') AS ends FROM pre GROUP BY p, d),
+kids AS (SELECT p[1:d - 1] AS p, count(*) AS k FROM node WHERE d > 0 GROUP BY 1),
+own_sums AS (SELECT node.p, node.d, CASE WHEN k IS NULL THEN 1 ELSE 0 END AS leaf, CASE WHEN d > 0 THEN (n - 1) * length(node.p[d].text) ELSE 0 END AS saved FROM node LEFT JOIN kids ON kids.p = node.p),
+up AS (SELECT p, d, leaf, saved, unnest(range(0, d + 1)) AS a FROM own_sums),
+sums AS (SELECT p[1:a] AS p, sum(leaf) AS n_leaves, sum(saved) AS saved FROM up GROUP BY 1)
+SELECT node.conv_id, CAST(node.d AS BIGINT) AS depth, parent.conv_id AS parent_conv_id, CAST(node.n AS BIGINT) AS n_convs, CAST(coalesce(k, 0) AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(sums.saved AS BIGINT) AS saved_tokens, sha256(node.ends) AS ends_sha256
+FROM node JOIN sums ON sums.p = node.p LEFT JOIN kids ON kids.p = node.p LEFT JOIN node parent ON node.d > 0 AND parent.d = node.d - 1 AND parent.p = node.p[1:node.d - 1]
+"""
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_context_tree, op3_substring_dedup, op4_language_id, op5_exact_dedup, op6_minhash_dedup, op7_sentencepiece, op8_url_filter, op9_embedding_dedup, op10_packing, op11_hard_negatives, op12_conversation_trie)}
+SQL: dict[str, str] = {"op3_substring_dedup": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op6_minhash_dedup": OP6_SQL, "op8_url_filter": OP8_SQL, "op9_embedding_dedup": OP9_SQL, "op11_hard_negatives": OP11_SQL, "op12_conversation_trie": OP12_SQL}
