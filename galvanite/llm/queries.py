@@ -222,5 +222,11 @@ FROM node JOIN sums ON sums.p = node.p LEFT JOIN kids ON kids.p = node.p LEFT JO
 """
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_context_tree, op3_substring_dedup, op4_language_id, op5_exact_dedup, op6_minhash_dedup, op7_sentencepiece, op8_url_filter, op9_embedding_dedup, op10_packing, op11_hard_negatives, op12_conversation_trie)}
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from galvanite.llm.html_extraction import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_context_tree, op3_substring_dedup, op4_language_id, op5_exact_dedup, op6_minhash_dedup, op7_sentencepiece, op8_url_filter, op9_embedding_dedup, op10_packing, op11_hard_negatives, op12_conversation_trie, op13_html_extraction)}
 SQL: dict[str, str] = {"op3_substring_dedup": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op6_minhash_dedup": OP6_SQL, "op8_url_filter": OP8_SQL, "op9_embedding_dedup": OP9_SQL, "op11_hard_negatives": OP11_SQL, "op12_conversation_trie": OP12_SQL}
