@@ -11,7 +11,7 @@ from galvanite.operators import jobs, mapping, payloads
 from galvanite.sources import packages
 from galvanite.sources.archives import members, unsafe
 from galvanite.sources.delimited import profile_problems
-from galvanite.streaming import leases
+from galvanite.streaming import campaigns, leases
 
 
 def zipped(**names):
@@ -109,6 +109,7 @@ def test_payload_rules(spark):
 def run_stream(spark, tmp_path, frame, name, build):
     frame.coalesce(1).write.parquet(str(tmp_path / "in"))
     source = spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in"))
+    campaigns.with_rocksdb(spark)
     query = build(source).writeStream.outputMode("append").format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "cp")).start()
     query.processAllAvailable()
     query.stop()
@@ -124,7 +125,7 @@ def test_leases_run_out_on_a_stream(spark, tmp_path):
 
 
 def test_late_results_are_kept_and_never_accepted(spark, tmp_path):
-    rows = [("a", "1", 1, "lease"), ("a", "2", 2, "lease"), ("a", "3", 1, "result"), ("a", "4", 2, "result"), ("a", "5", 2, "result"), ("b", "6", 0, "result")]
-    frame = spark.createDataFrame(rows, "job_id string, event_id string, lease_generation long, kind string")
-    found = run_stream(spark, tmp_path, frame, "judged", leases.judged_results)
+    rows = [("a", "1", 1, "lease"), ("a", "2", 2, "lease"), ("a", "3", 1, "result"), ("a", "4", 2, "result"), ("a", "5", 2, "result"), ("b", "6", 0, "result"), ("z", "99", 1, "lease")]
+    frame = spark.createDataFrame(rows, "job_id string, event_id string, lease_generation long, kind string").withColumn("at", F.timestamp_seconds(F.col("event_id").cast("long") * 60))
+    found = run_stream(spark, tmp_path, frame, "judged", lambda s: leases.judged_results(s, "at", "1 minute"))
     assert sorted((r.event_id, r.status) for r in found) == [("3", "received"), ("4", "accepted"), ("5", "duplicate_suppressed"), ("6", "accepted")]
