@@ -117,7 +117,7 @@ def run_stream(spark, tmp_path, frame, name, build):
 
 
 def test_leases_run_out_on_a_stream(spark, tmp_path):
-    rows = [("a", 1, "00:10", False, "00:00"), ("a", 1, "00:20", False, "00:05"), ("b", 1, "00:10", False, "00:00"), ("b", 1, "00:10", True, "00:08"), ("c", 2, "09:00", False, "00:00"), ("d", 1, "01:00", False, "02:00")]
+    rows = [("a", 1, "00:10", False, "00:00"), ("a", 1, "00:20", False, "00:05"), ("b", 1, "00:10", False, "00:00"), ("b", 1, "00:10", True, "00:08"), ("c", 2, "09:00", False, "00:00"), ("d", 1, "01:00", False, "02:00"), ("z", 1, "23:00", True, "02:05")]
     time = lambda c: F.to_timestamp(F.concat(F.lit("2024-01-01 "), c))
     frame = spark.createDataFrame(rows, "job_id string, lease_generation long, e string, ended boolean, s string").select("job_id", "lease_generation", time("e").alias("lease_expires_at"), "ended", time("s").alias("seen_at"))
     found = run_stream(spark, tmp_path, frame, "ran_out", lambda s: leases.expirations(s, "seen_at", "1 minute"))
