@@ -24,12 +24,12 @@ SCOPE, LONGEST_KEY = "execute_work_item", 255
 
 
 def checksum_parts(text: Column) -> Column:
-    """struct<algorithm, digest, problem> of ``algorithm:digest``; a digest
-    without an algorithm is no digest of any."""
-    named = F.instr(text, ":") > 1
-    algorithm = F.lower(F.trim(F.substring_index(text, ":", 1)))
-    digest = F.lower(F.trim(F.substring(text, F.instr(text, ":") + 1, F.length(text))))
-    problem = F.when(~named | (digest == "") | text.isNull(), "no_algorithm").when(~algorithm.isin(*CHECKSUMS), "unsupported_algorithm")
+    """struct<algorithm, digest, problem> of ``algorithm:digest``. Without a
+    colon, or with nothing behind it, there is no algorithm; what stands
+    before it must be a known one, and the digest may be blank."""
+    said = F.substring(text, F.instr(text, ":") + 1, F.length(text))
+    algorithm, digest = F.lower(F.trim(F.substring_index(text, ":", 1))), F.lower(F.trim(said))
+    problem = F.when(text.isNull() | (F.instr(text, ":") == 0) | (said == ""), "no_algorithm").when(~algorithm.isin(*CHECKSUMS), "unsupported_algorithm")
     ok = problem.isNull()
     return F.struct(F.when(ok, algorithm).alias("algorithm"), F.when(ok, digest).alias("digest"), problem.alias("problem"))
 

@@ -57,7 +57,7 @@ def release_decision(subjects: DataFrame, found: DataFrame, key: str) -> DataFra
     blocking finding blocks it."""
     one = lambda s: F.coalesce(F.count_if(F.col("severity") == s), F.lit(0)).alias(f"{s}_count")
     counts = subjects.select(key).distinct().join(found, key, "left").groupBy(key).agg(one("blocking"), one("unknown"), one("warning"))
-    return counts.withColumn("decision", F.when(F.col("blocking_count") > 0, "blocked").otherwise("releasable"))
+    return counts.withColumn("decision", F.when(F.col("blocking_count") > 0, "blocked").otherwise("eligible"))
 
 
 def broken_versions(versions: DataFrame, key: str, version: str, supersedes: str) -> DataFrame:

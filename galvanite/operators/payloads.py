@@ -69,28 +69,26 @@ def registry(events: DataFrame) -> DataFrame:
     """Events beside what their type asks for (a few dozen rows, broadcast)."""
     rows = [(t, a, k, FIELDS[k][0].split(), [*FIELDS[k][0].split(), *FIELDS[k][1].split()], SAYS.get(k, "state"), v.split()) for t, (a, k, v) in TYPES.items()]
     known = events.sparkSession.createDataFrame(rows, "event_type string, _aggregate string, _kind string, _required array<string>, _allowed array<string>, _says string, _values array<string>")
-    return events.join(F.broadcast(known), "event_type", "left").withColumn("_p", F.from_json("payload", "map<string,string>"))
+    return events.join(F.broadcast(known), "event_type", "left")
 
 
-def _says(field: str) -> Column:
-    return F.col("_p")[field]
+def payload_detail(payload: Column) -> Column:
+    """What is wrong with a registered event's payload (a map), first rule
+    first, or null."""
+    _says = payload.getItem
 
+    def _integer(field: str, least: int) -> Column:
+        """False for a field that is there and no integer of at least ``least``."""
+        return _says(field).isNull() | F.coalesce(_says(field).try_cast("bigint") >= least, F.lit(False))
 
-def _integer(field: str, least: int) -> Column:
-    """False for a field that is there and no integer of at least ``least``."""
-    return _says(field).isNull() | F.coalesce(_says(field).try_cast("bigint") >= least, F.lit(False))
-
-
-def payload_detail() -> Column:
-    """What is wrong with a registered event's payload, first rule first, or null."""
-    missing = F.array_sort(F.filter("_required", lambda k: F.col("_p")[k].isNull()))
-    unknown = F.array_sort(F.array_except(F.map_keys("_p"), "_allowed"))
-    says = F.col("_p")[F.col("_says")]
+    missing = F.array_sort(F.filter("_required", lambda k: payload[k].isNull()))
+    unknown = F.array_sort(F.array_except(F.map_keys(payload), "_allowed"))
+    says = payload[F.col("_says")]
     reserved = _says("kind") == "reserved"
     settles, attempt = _says("reservation_entry_id").isNotNull(), _says("attempt_id").isNotNull()
     kind = F.col("_kind")
     return (
-        F.when(F.col("_p").isNull(), "not_an_object")
+        F.when(payload.isNull(), "not_an_object")
         .when(F.size(missing) > 0, F.concat(F.lit("missing:"), F.element_at(missing, 1)))
         .when(F.size(unknown) > 0, F.concat(F.lit("unknown:"), F.element_at(unknown, 1)))
         .when(~F.array_contains("_values", says), F.concat(F.col("_says"), F.lit(":"), says))
@@ -117,20 +115,27 @@ def problems(events: DataFrame) -> DataFrame:
     aggregate_type, aggregate_id, causation_id and payload. A narrow
     transformation: nothing is shuffled."""
     known = registry(events)
-    detail = payload_detail()
     own = (F.col("aggregate_type") == "campaign") & (F.col("aggregate_id").cast("string") != F.col("campaign_id").cast("string"))
-    elsewhere = F.col("_p")["campaign_id"] != F.col("campaign_id").cast("string")
-    other = F.col("event_type").isin("observation.accepted", "observation.retained") & (F.col("_p")["attempt_id"] != F.col("aggregate_id").cast("string"))
-    code = (
-        F.when(F.col("_aggregate").isNull(), "unknown_event_type")
-        .when(F.col("schema_version") != 1, "unsupported_event_version")
-        .when(F.col("aggregate_type") != F.col("_aggregate"), "event_aggregate_type_mismatch")
-        .when((F.col("event_type") != "campaign.created") & F.col("causation_id").isNull(), "event_causation_required")
-        .when(F.col("_detail").isNotNull(), "invalid_event_payload")
-        .when(own | F.coalesce(elsewhere, F.lit(False)) | F.coalesce(other, F.lit(False)), "event_identity_mismatch")
-    )
-    found = known.withColumn("_detail", detail).withColumn("code", code).where("code is not null")
-    return found.select("campaign_id", "campaign_position", "event_id", "code", F.when(F.col("code") == "invalid_event_payload", F.col("_detail")).alias("detail"))
+
+    def judged(x: Column) -> Column:
+        payload, detail = x["payload"], x["detail"]
+        elsewhere = payload["campaign_id"] != F.col("campaign_id").cast("string")
+        other = F.col("event_type").isin("observation.accepted", "observation.retained") & (payload["attempt_id"] != F.col("aggregate_id").cast("string"))
+        code = (
+            F.when(F.col("_aggregate").isNull(), "unknown_event_type")
+            .when(F.col("schema_version") != 1, "unsupported_event_version")
+            .when(F.col("aggregate_type") != F.col("_aggregate"), "event_aggregate_type_mismatch")
+            .when((F.col("event_type") != "campaign.created") & F.col("causation_id").isNull(), "event_causation_required")
+            .when(detail.isNotNull(), "invalid_event_payload")
+            .when(own | F.coalesce(elsewhere, F.lit(False)) | F.coalesce(other, F.lit(False)), "event_identity_mismatch")
+        )
+        return F.struct(code.alias("code"), detail.alias("detail"))
+
+    # the parsed payload is bound once, as a lambda's variable; the explosion keeps the filter from being pushed into copies of it
+    parsed = F.array(F.from_json("payload", "map<string,string>"))
+    detailed = F.transform(parsed, lambda p: F.struct(p.alias("payload"), payload_detail(p).alias("detail")))
+    found = known.withColumn("f", F.explode(F.filter(F.transform(detailed, judged), lambda f: f["code"].isNotNull())))
+    return found.select("campaign_id", "campaign_position", "event_id", "f.code", F.when(F.col("f.code") == "invalid_event_payload", F.col("f.detail")).alias("detail"))
 
 
 def contract_gate(version: Column) -> Column:

@@ -32,11 +32,13 @@ def _state() -> Column:
     """The state an event sets: what its type says, or the payload's status
     (an attempt's completion) or state (a campaign's creation); null if none."""
     kind = F.col("event_type")
-    says = F.when(kind == "attempt.completed", _field("status")).when(kind == "campaign.created", F.coalesce(_field("state"), F.lit("draft")))
-    for name, (_, _, values) in payloads.TYPES.items():
-        if name not in (*_STATELESS, "attempt.completed", "campaign.created"):
-            says = says.when(kind == name, values)
-    return says
+    said = {name: values for name, (_, _, values) in payloads.TYPES.items() if name not in (*_STATELESS, "attempt.completed", "campaign.created")}
+    return F.when(kind == "attempt.completed", _field("status")).when(kind == "campaign.created", F.coalesce(_field("state"), F.lit("draft"))).otherwise(_looked_up(said, kind))
+
+
+def _looked_up(table: dict[str, str], key: Column) -> Column:
+    """The value of a small table that stands in the plan as one constant."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), key)
 
 
 def state_events(events: DataFrame) -> DataFrame:
@@ -75,9 +77,7 @@ def violations(events: DataFrame) -> DataFrame:
     is_job = F.col("aggregate_type") == "job"
     job = lambda name: F.when(is_job, _field(name))
     fixed = F.when(is_job & _field("work_item_id").isNotNull(), F.concat_ws("|", *(_field(x) for x in ("work_item_id", "max_attempts", "command_version", "idempotency_key"))))
-    aggregate = F.lit(None).cast("string")
-    for name, (kind, _, _) in payloads.TYPES.items():
-        aggregate = F.when(F.col("event_type") == name, kind).otherwise(aggregate)
+    aggregate = _looked_up({name: kind for name, (kind, _, _) in payloads.TYPES.items()}, F.col("event_type"))
     budgeted = F.col("event_type").startswith("budget.")
     rows = events.withColumns({"_state": _state(), "_generation": job("lease_generation").try_cast("long"), "_fixed": fixed, "_aggregate": aggregate, "_settles": F.when(budgeted, _field("reservation_entry_id")), "_kind": F.when(budgeted, _field("kind"))})
     rows = rows.withColumn("_position", F.row_number().over(stream).cast("long"))

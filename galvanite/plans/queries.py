@@ -238,7 +238,7 @@ q(field_name) AS (VALUES {", ".join(f"('{f}')" for f in _FIELDS)}), s AS (SELECT
 e AS (SELECT coalesce(w.user_id, a.user_id) AS user_id, w.field_name IS NOT NULL AS required, a.state FROM (SELECT * FROM s CROSS JOIN q) w FULL JOIN a ON a.user_id = w.user_id AND a.field_name = w.field_name),
 v AS (SELECT user_id, CASE WHEN required AND (state IS NULL OR state <> 'known') THEN 'blocking' WHEN state = 'known' THEN NULL WHEN state = 'unknown' THEN 'unknown' WHEN state = 'unavailable' THEN 'warning' END AS severity FROM e)
 SELECT user_id, count(*) FILTER (severity = 'blocking') AS blocking_count, count(*) FILTER (severity = 'unknown') AS unknown_count, count(*) FILTER (severity = 'warning') AS warning_count,
- CASE WHEN count(*) FILTER (severity = 'blocking') > 0 THEN 'blocked' ELSE 'releasable' END AS decision FROM v GROUP BY user_id""")
+ CASE WHEN count(*) FILTER (severity = 'blocking') > 0 THEN 'blocked' ELSE 'eligible' END AS decision FROM v GROUP BY user_id""")
 def release_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("user_id", F.concat(F.lit("f"), F.col("event_id") % 6).alias("field_name"), "event_id", F.expr(_STATE).alias("state"))
     active = experiments.resolve_fields(rows, ["user_id", "field_name"], F.lit(0), "event_id").withColumn("requirement_class", F.lit("recommended"))
@@ -347,3 +347,4 @@ def constraint_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 from galvanite.plans import campaigns, scalars, views  # noqa: E402, F401 - each registers its queries
 from galvanite.plans import evidence as _evidence  # noqa: E402, F401
+from galvanite.plans import orders as _orders  # noqa: E402, F401

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from galvanite.functions import naming
 from galvanite.plans.registry import query, table
 
-_CHECKSUM = "CASE p_size % 5 WHEN 0 THEN concat(' MD5:', upper(p_brand)) WHEN 1 THEN concat('sha256: ', p_name) WHEN 2 THEN concat('sha1:', p_name) WHEN 3 THEN p_name ELSE 'md5:' END"
+_CHECKSUM = "CASE p_size % 7 WHEN 0 THEN concat(' MD5:', upper(p_brand)) WHEN 1 THEN concat('sha256: ', p_name) WHEN 2 THEN concat('sha1:', p_name) WHEN 3 THEN p_name WHEN 4 THEN concat(':', p_name) WHEN 5 THEN 'md5: ' ELSE 'md5:' END"
 
 
 @query(rf"""WITH c AS (SELECT p_partkey, {_CHECKSUM} AS t FROM part),
-d AS (SELECT p_partkey, lower(trim(split_part(t, ':', 1))) AS a, lower(trim(substr(t, instr(t, ':') + 1))) AS h, instr(t, ':') > 1 AS named FROM c),
-e AS (SELECT *, CASE WHEN NOT named OR h = '' THEN 'no_algorithm' WHEN a NOT IN ('md5', 'sha256') THEN 'unsupported_algorithm' END AS problem FROM d)
+d AS (SELECT p_partkey, lower(trim(split_part(t, ':', 1))) AS a, lower(trim(substr(t, instr(t, ':') + 1))) AS h, instr(t, ':') > 0 AND substr(t, instr(t, ':') + 1) <> '' AS named FROM c),
+e AS (SELECT *, CASE WHEN NOT named THEN 'no_algorithm' WHEN a NOT IN ('md5', 'sha256') THEN 'unsupported_algorithm' END AS problem FROM d)
 SELECT p_partkey, CASE WHEN problem IS NULL THEN a END AS algorithm, CASE WHEN problem IS NULL THEN h END AS digest, problem FROM e""")
 def checksum_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", naming.checksum_parts(F.expr(_CHECKSUM)).alias("c")).select("p_partkey", "c.*")

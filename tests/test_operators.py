@@ -48,7 +48,7 @@ def test_severities(spark):
     found = {(r.k, r.field_name): r.severity for r in experiments.findings(frame, ("a",), "k").collect()}
     assert found == {("x", "b"): "unknown", ("x", "c"): "warning", ("y", "a"): "blocking"}
     decided = {r.k: r.decision for r in experiments.release_decision(frame, experiments.findings(frame, ("a",), "k"), "k").collect()}
-    assert decided == {"x": "releasable", "y": "blocked"}
+    assert decided == {"x": "eligible", "y": "blocked"}
 
 
 def test_line_endings_and_headers(spark):
