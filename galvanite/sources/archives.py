@@ -9,6 +9,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+from pyarrow import fs as filesystems
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,6 +76,75 @@ def members(archives: DataFrame, content: bool = True, *, most_members: int = 10
     return archives.select("path", "content").mapInPandas(run, MEMBERS)
 
 
+def opened(path: str) -> io.BufferedReader:
+    """A file of any store that ``pyarrow.fs`` knows, for reading at places."""
+    if "://" in path or path.startswith("file:"):
+        fs, path = filesystems.FileSystem.from_uri(path)
+    else:
+        fs = filesystems.LocalFileSystem()
+    return io.BufferedReader(fs.open_input_file(path))
+
+
+LISTED = "path string, at int, member string, size long, packed long, fine boolean, range long, problem string"
+
+
+def listed(paths: DataFrame, *, range_bytes: int = 64 << 20, most_members: int = 1000, most_bytes: int = 1 << 30, most_ratio: int = 200) -> DataFrame:
+    """The directory of each archive (one column, path), read from its end:
+    LISTED. ``range`` numbers runs of members of about ``range_bytes`` packed
+    bytes, ``fine`` is false for archives that the limits refuse."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path in batch["path"]:
+                try:
+                    with opened(path) as file, zipfile.ZipFile(file) as box:
+                        infos = [(at, i) for at, i in enumerate(box.infolist()) if not i.is_dir()]
+                except _UNREADABLE:
+                    yield pd.DataFrame([(path, None, None, None, None, False, 0, "unreadable")], columns=names)
+                    continue
+                fine = refusal([i for _, i in infos], most_members, most_bytes, most_ratio) is None
+                rows, before = [], 0
+                for at, i in infos:
+                    rows.append((path, at, i.filename, i.file_size, i.compress_size, fine, before // range_bytes, None))
+                    before += i.compress_size
+                if rows:
+                    yield pd.DataFrame(rows, columns=names)
+
+    names = [c.split()[0] for c in LISTED.split(", ")]
+    return paths.select("path").mapInPandas(run, LISTED)
+
+
+def members_at(paths: DataFrame, *, range_bytes: int = 64 << 20, **limits: int) -> DataFrame:
+    """As ``members``, for archives that lie at ``path`` instead of in a row.
+
+    Directories are read first, and then each task reads the members of its
+    ranges where they lie, so an archive of any size is neither a row nor a
+    task; a member is a row, and so limited by ``most_bytes``."""
+    found = listed(paths, range_bytes=range_bytes, **limits)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, file, box = None, None, None
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                data, problem = None, row.problem
+                if row.fine:
+                    try:
+                        if row.path != now:
+                            if file is not None:
+                                file.close()
+                            now, file = row.path, opened(row.path)
+                            box = zipfile.ZipFile(file)
+                        data = box.read(box.infolist()[int(row.at)])
+                    except _UNREADABLE:
+                        problem = "unreadable_member"
+                whole = lambda x: None if pd.isna(x) else int(x)
+                yield pd.DataFrame([(row.path, whole(row.at), row.member, whole(row.size), whole(row.packed), data, problem)], columns=names)
+
+    names = [c.split()[0] for c in MEMBERS.split(", ")]
+    dealt = found.repartition("path", "range").sortWithinPartitions("path", "at")
+    return dealt.mapInPandas(read, MEMBERS)
+
+
 def sweep_index(found: DataFrame) -> DataFrame:
     """(path, library_id, area_id, member, grid_x, grid_y); of several
     members for a place the last counts."""

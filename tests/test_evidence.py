@@ -1,5 +1,6 @@
 import io
 import json
+import random
 import struct
 import zipfile
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from galvanite.functions import naming
 from galvanite.operators import jobs, mapping, payloads
 from galvanite.sources import packages
-from galvanite.sources.archives import members, unsafe
+from galvanite.sources.archives import listed, members, members_at, unsafe
 from galvanite.sources.delimited import profile_problems
 from galvanite.streaming import campaigns, leases
 
@@ -43,6 +44,23 @@ def test_packages_that_cannot_be_read_are_rows(spark):
     assert [r.problem for r in unsafe(members(frame.where("path = 'good'"), content=False), most_members=1).collect()] == ["too_many_members"]
 
 
+def test_archives_are_read_member_by_member_where_they_lie(spark, tmp_path):
+    rng = random.Random(3)
+    large = zipped(**{f"m{i:03d}": rng.randbytes(2000) for i in range(200)}, empty=b"")
+    bad = bytearray(zipped(a=b"one" * 9, b=b"two"))
+    bad[bad.index(b"a", 20) + 3] ^= 0xFF
+    files = {"large": large, "bad": bytes(bad), "bomb": zipped(zeros=b"\0" * 50_000_000), "text": b"no zip", "folder": zipped(**{"d/": b"", "d/x": b"1"}), "climbs": zipped(**{"../x": b"1"})}
+    for name, data in files.items():
+        (tmp_path / f"{name}.zip").write_bytes(data)
+    paths = [str(tmp_path / f"{n}.zip") for n in files] + [str(tmp_path / "absent.zip"), f"file://{tmp_path}/large.zip"]
+    frame = spark.createDataFrame([(p,) for p in paths], "path string")
+    held = spark.createDataFrame([(p, files.get(p.rsplit("/", 1)[1][:-4])) for p in paths], "path string, content binary")
+    rows = lambda f: sorted((tuple(r) for r in f.collect()), key=str)
+    assert rows(members_at(frame, range_bytes=10_000)) == rows(members(held))
+    ranges = listed(frame.where(F.col("path").endswith("/large.zip") & ~F.col("path").startswith("file:")), range_bytes=10_000).groupBy("range").agg(F.sum("packed").alias("b")).collect()
+    assert len(ranges) > 30 and max(r.b for r in ranges) < 13_000  # no task needs more of one archive
+
+
 def test_bundles_are_the_same_bytes_each_time(spark):
     events = spark.createDataFrame([(2, "b"), (1, "a")], "campaign_position long, event_id string")
     seen, made = spark.createDataFrame([("o", "a")], "observation_id string, attempt_id string"), spark.createDataFrame([("m",)], "metric_id string")
