@@ -16,12 +16,16 @@ import json
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
+import pandas as pd
 from pyarrow import fs as filesystems
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, EqualTo, In, InputPartition, WriterCommitMessage
 
+from galvanite.functions.naming import admissible
+from galvanite.sources.archives import opened
 from galvanite.sources.packages import MANIFEST, file_bytes
 
 EVENTS, OBSERVATIONS, METRICS = "events.jsonl", "observations.json", "metrics.json"
@@ -200,12 +204,18 @@ class BundleSink(DataSource):
         return _BundleWriter(self.options["path"], stamp)
 
 
+def folders_in(path: str) -> list[str]:
+    """The campaigns that have a folder under a path."""
+    fs, root = _where(path)
+    return [f.base_name for f in fs.get_file_info(filesystems.FileSelector(root)) if f.type == filesystems.FileType.Directory and not f.base_name.startswith(("_", "."))]
+
+
 def campaigns_in(path: str) -> dict[str, int]:
     """The campaigns with a bundle under a path, with the bytes of their events."""
     fs, root = _where(path)
-    folders = [f for f in fs.get_file_info(filesystems.FileSelector(root)) if f.type == filesystems.FileType.Directory and not f.base_name.startswith(("_", "."))]
-    files = fs.get_file_info([f"{f.path}/{EVENTS}" for f in folders])
-    return {f.base_name: e.size for f, e in zip(folders, files, strict=True) if e.type == filesystems.FileType.File}
+    named = folders_in(path)
+    files = fs.get_file_info([f"{root}/{c}/{EVENTS}" for c in named])
+    return {c: e.size for c, e in zip(named, files, strict=True) if e.type == filesystems.FileType.File}
 
 
 @dataclass
@@ -331,3 +341,87 @@ def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(BundleSink)
     spark.dataSource.register(CampaignEvents)
+
+
+#: What can be wrong with a bundle, in the order of its checks.
+FAULTS = (
+    "manifest_missing", "manifest_invalid", "manifest_unsupported", "files_digest_mismatch", "member_missing", "member_size_mismatch", "member_sha256_mismatch", "unexpected_member",
+    "manifest_digest_mismatch", "identity_invalid", "objects_digest_mismatch", "object_reference_mismatch",
+)
+_FILES = "array<struct<name:string,sha256:string,byte_size:long>>"
+_MANIFEST = f"schema_version int, campaign_id string, environment_id string, data_origin string, execution_mode string, event_stream_contract_version int, event_stream_completeness string, generated_at string, files {_FILES}, objects array<struct<observation_id:string,attempt_id:string,object_uri:string>>, files_digest string, objects_digest string, manifest_digest string"
+
+
+def _listed(path: str):
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, root = _where(path)
+        for batch in batches:
+            found = [(c, f"{path.rstrip('/')}/{c}/{f.base_name}", f.base_name, f.size) for c in batch["campaign_id"] for f in fs.get_file_info(filesystems.FileSelector(f"{root}/{c}")) if f.type == filesystems.FileType.File]
+            yield pd.DataFrame(found, columns=["campaign_id", "path", "name", "byte_size"])
+
+    return work
+
+
+def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The digest of each file, a piece at a time."""
+    for batch in batches:
+        digests = []
+        for path in batch["path"]:
+            own = hashlib.sha256()
+            with opened(path) as file:
+                while piece := file.read(1 << 20):
+                    own.update(piece)
+            digests.append(own.hexdigest())
+        yield batch.assign(sha256=digests)
+
+
+def _redigested(texts: pd.Series) -> pd.DataFrame:
+    """The digests that a manifest should name, or nulls if it is no object."""
+    rows = []
+    for text in texts:
+        try:
+            said = json.loads(text)
+            rows.append((digest(said["files"]), digest(said["objects"]), digest({k: v for k, v in said.items() if k != "manifest_digest"})))
+        except (ValueError, TypeError, KeyError):
+            rows.append((None, None, None))
+    return pd.DataFrame(rows, columns=["files", "objects", "whole"])
+
+
+def faults(spark: SparkSession, root: str) -> DataFrame:
+    """(campaign_id, rank, code, subject) of everything that is wrong with the
+    bundles under ``root``; sound ones give no row. The first fault of a
+    bundle is its least rank.
+
+    The driver lists the folders' names; files are listed and digests computed,
+    a piece at a time, in the tasks; only manifests and the identities of observations
+    become rows."""
+    folders = spark.createDataFrame([(c,) for c in folders_in(root)], "campaign_id string")
+    files = folders.repartition("campaign_id").mapInPandas(_listed(root), "campaign_id string, path string, name string, byte_size long")
+    members = files.where(F.col("name") != MANIFEST).repartition("path").mapInPandas(_hashed, "campaign_id string, path string, name string, byte_size long, sha256 string").drop("path")
+    held = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/[!_.]*/{MANIFEST}").select(F.element_at(F.split("path", "/"), -2).alias("campaign_id"), F.decode("content", "utf-8").alias("text"))
+    texts = files.where(F.col("name") == MANIFEST).select("campaign_id").join(held, "campaign_id", "left").na.fill({"text": ""})
+    manifests = texts.select("campaign_id", F.from_json("text", _MANIFEST).alias("m"), F.pandas_udf(_redigested, "files string, objects string, whole string")("text").alias("d"))
+    valid = manifests.where("d.whole is not null and m.files is not null")
+    fault = lambda rows, code, subject=None: rows.select("campaign_id", F.lit(FAULTS.index(code)).alias("rank"), F.lit(code).alias("code"), (F.col(subject) if subject else F.lit(None)).cast("string").alias("subject"))
+    known = valid.where(F.col("m.schema_version") == BUNDLE_VERSION)
+    declared = known.select("campaign_id", F.explode("m.files").alias("f")).select("campaign_id", F.col("f.name").alias("name"), F.col("f.sha256").alias("_sha"), F.col("f.byte_size").alias("_size"), F.lit(True).alias("_declared"))
+    both = declared.join(members.join(known.select("campaign_id"), "campaign_id", "left_semi"), ["campaign_id", "name"], "full_outer")
+    said = F.col("m")
+    version, complete = said["event_stream_contract_version"], said["event_stream_completeness"]
+    marker = (version.isNull() & complete.isNull()) | (version.isin(0, 1, 2) & (complete == F.when(version.isin(1, 2), "complete").otherwise("legacy_incomplete")))
+    identity = (said["campaign_id"] == F.col("campaign_id")) & (said["environment_id"] != "") & admissible(said["data_origin"], said["execution_mode"]) & marker & said["generated_at"].rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:\d\d)$")
+    pair = ["campaign_id", "observation_id", "attempt_id"]
+    kept = known.select("campaign_id", F.explode("m.objects").alias("o")).select("campaign_id", "o.observation_id", "o.attempt_id").distinct().withColumn("_kept", F.lit(True))
+    rows = spark.read.option("multiLine", True).schema("observation_id string, attempt_id string").json(f"{root.rstrip('/')}/[!_.]*/{OBSERVATIONS}").withColumn("campaign_id", F.element_at(F.split(F.input_file_name(), "/"), -2))
+    seen = rows.join(known.select("campaign_id"), "campaign_id", "left_semi").groupBy(*pair).agg(F.count("*").alias("_n"))
+    refers = seen.join(kept, pair, "full_outer").where("_n is null or _kept is null or _n > 1 or observation_id is null").withColumn("_who", F.concat_ws("|", "observation_id", "attempt_id"))
+    missing = folders.join(texts.select("campaign_id"), "campaign_id", "left_anti")
+    out = (
+        fault(missing, "manifest_missing"), fault(manifests.where("d.whole is null or m.files is null"), "manifest_invalid"), fault(valid.where(~said["schema_version"].eqNullSafe(BUNDLE_VERSION)), "manifest_unsupported"),
+        fault(known.where(~F.col("d.files").eqNullSafe(said["files_digest"])), "files_digest_mismatch"), fault(both.where("sha256 is null"), "member_missing", "name"),
+        fault(both.where("_declared and sha256 is not null and not (byte_size <=> _size)"), "member_size_mismatch", "name"), fault(both.where("_declared and byte_size <=> _size and not (sha256 <=> _sha)"), "member_sha256_mismatch", "name"),
+        fault(both.where("_declared is null"), "unexpected_member", "name"), fault(known.where(~F.col("d.whole").eqNullSafe(said["manifest_digest"])), "manifest_digest_mismatch"),
+        fault(known.where(~F.coalesce(identity, F.lit(False))), "identity_invalid"), fault(known.where(~F.col("d.objects").eqNullSafe(said["objects_digest"])), "objects_digest_mismatch"),
+        fault(refers, "object_reference_mismatch", "_who"),
+    )
+    return reduce(DataFrame.unionByName, out)

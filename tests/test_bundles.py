@@ -111,3 +111,40 @@ def test_a_stream_reads_what_was_appended(spark, tmp_path):
     shutil.copytree(tmp_path / "all" / "c3", grown / "c3")
     assert run() == sorted([f"c1{k}" for k in range(1, 13)] + [f"c3{k}" for k in range(1, 11)])
     assert run() == run()
+
+
+def test_every_fault_of_a_bundle_is_named(spark, tmp_path):
+    names = [f"c{i:02d}" for i in range(14)]
+    campaigns, events, observations, metrics, objects = tables(spark, names, [2] * 14)
+    more = lambda f: f.where("campaign_id = 'c00'").drop("campaign_id").crossJoin(spark.createDataFrame([(n,) for n in names[2:]], "campaign_id string")).unionByName(f)
+    write(spark, tmp_path, campaigns, events, more(observations), metrics, more(objects))
+    assert bundles.faults(spark, str(tmp_path)).collect() == []
+
+    def manifest(name, redigest=True, **changes):
+        path = tmp_path / name / "manifest.json"
+        said = json.loads(path.read_bytes()) | changes
+        if redigest:
+            said["manifest_digest"] = bundles.digest({k: v for k, v in said.items() if k != "manifest_digest"})
+        path.write_bytes(bundles.file_bytes(said))
+
+    (tmp_path / "c01" / "manifest.json").unlink()
+    (tmp_path / "c02" / "manifest.json").write_text("[1]")
+    manifest("c03", schema_version=9)
+    manifest("c04", files_digest="0")
+    (tmp_path / "c05" / "metrics.json").unlink()
+    with (tmp_path / "c06" / "events.jsonl").open("ab") as file:
+        file.write(b"\n")
+    data = (tmp_path / "c07" / "events.jsonl").read_bytes()
+    (tmp_path / "c07" / "events.jsonl").write_bytes(b"X" + data[1:])
+    (tmp_path / "c08" / "notes.txt").write_text("x")
+    manifest("c09", redigest=False, campaign_name="other")
+    manifest("c10", event_stream_completeness="legacy_incomplete")
+    manifest("c11", objects_digest="0")
+    said = json.loads((tmp_path / "c12" / "manifest.json").read_bytes())["objects"][:1]
+    manifest("c12", objects=said, objects_digest=bundles.digest(said))
+    found = {(r.campaign_id, r.code, r.subject) for r in bundles.faults(spark, str(tmp_path)).collect()}
+    assert found == {
+        ("c01", "manifest_missing", None), ("c02", "manifest_invalid", None), ("c03", "manifest_unsupported", None), ("c04", "files_digest_mismatch", None), ("c05", "member_missing", "metrics.json"), ("c06", "member_size_mismatch", "events.jsonl"),
+        ("c07", "member_sha256_mismatch", "events.jsonl"), ("c08", "unexpected_member", "notes.txt"), ("c09", "manifest_digest_mismatch", None), ("c10", "identity_invalid", None), ("c11", "objects_digest_mismatch", None), ("c12", "object_reference_mismatch", "o2|a2"),
+    }
+    assert [c for _, c, _ in sorted(found, key=str)] == list(bundles.FAULTS)
