@@ -14,6 +14,13 @@ def closed_set(declared: DataFrame, found: DataFrame, key: str) -> DataFrame:
     return a.join(b, key, "left_anti").withColumn("problem", F.lit("missing")).unionByName(b.join(a, key, "left_anti").withColumn("problem", F.lit("unexpected")))
 
 
+def multiset_difference(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
+    """The keys that two tables don't hold equally often, with n_left and
+    n_right: one counting aggregate over both, so nulls are keys too."""
+    marked = left.select(*key, F.lit(1).alias("_l"), F.lit(0).alias("_r")).unionByName(right.select(*key, F.lit(0).alias("_l"), F.lit(1).alias("_r")))
+    return marked.groupBy(*key).agg(F.sum("_l").alias("n_left"), F.sum("_r").alias("n_right")).where("n_left <> n_right")
+
+
 def checksum_audit(recorded: DataFrame, observed: DataFrame, key: str = "path") -> DataFrame:
     """Every recorded or observed object whose presence, size or SHA-256
     disagree. Both have (key, size, sha256); repeats count once."""

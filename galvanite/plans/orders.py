@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galvanite.operators import experiments, lineage, ordinals, settlement
+from galvanite.functions import canonical
+from galvanite.operators import evidence, experiments, lineage, ordinals, settlement
 from galvanite.operators.tables import kept, shared_folder
 from galvanite.plans import campaigns as log
 from galvanite.plans import queries as plans
@@ -86,6 +87,20 @@ def settled_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settlement.settled(steps, F.lit(200), F.lit(10)).withColumn("amount", F.col("amount").cast("double"))
 
 
+@query("""SELECT p_partkey, 'part:' || substr(sha256('{"a":["' || p_name || '",null,' || p_size || '],"z":{"brand":"' || p_brand || '","deep":{"type":"' || p_type || '"}}}'), 1, 32) AS content_id FROM part""")
+def nested_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identities of nested documents whose keys come in another order."""
+    document = F.concat(F.lit('{"z": {"deep": {"type": "'), "p_type", F.lit('"}, "brand": "'), "p_brand", F.lit('"}, "a": ["'), "p_name", F.lit('", null, '), F.col("p_size").cast("string"), F.lit("]}"))
+    return canonical.with_content_id(table(spark, sf_dir, "part").select("p_partkey", document.alias("t")), "t", "part").drop("t")
+
+
+@query("""WITH a AS (SELECT l_suppkey % 50 AS k, count(*) AS n FROM lineitem WHERE l_linenumber < 4 GROUP BY 1), b AS (SELECT l_suppkey % 50 AS k, count(*) AS n FROM lineitem WHERE l_linenumber > 1 AND l_suppkey % 50 <> 7 GROUP BY 1)
+SELECT coalesce(a.k, b.k) AS key, CAST(coalesce(a.n, 0) AS BIGINT) AS n_left, CAST(coalesce(b.n, 0) AS BIGINT) AS n_right FROM a FULL JOIN b ON a.k = b.k WHERE coalesce(a.n, 0) <> coalesce(b.n, 0)""")
+def multiset_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").withColumn("key", F.col("l_suppkey") % 50)
+    return evidence.multiset_difference(rows.where("l_linenumber < 4"), rows.where("l_linenumber > 1 and l_suppkey % 50 <> 7"), ["key"])
+
+
 _ITEM = {"campaigns": "''", "work_items": "CAST(work_item_id AS VARCHAR)", "jobs": "CAST(job_id AS VARCHAR)", "attempts": "CAST(attempt_id AS VARCHAR)", "observations": "concat_ws('|', attempt_id, observation_id)"}
 _FIELD = {
     "campaigns": "name, environment_id, epoch_us(created_at), state, epoch_us(updated_at)", "work_items": "candidate_id, epoch_us(created_at), state, quarantine_reason, epoch_us(updated_at)",
