@@ -54,7 +54,8 @@ def initial_assertions(observations: DataFrame, series: DataFrame, metadata: Dat
     experiment_id, observation_id, field_name, requirement_class, origin,
     transformation, state, value, unit.
 
-    ``observations`` has (observation_id, source_artifact_id, technique),
+    ``observations`` has (observation_id, source_artifact_id, technique) and
+    parser_record_id where a parser left a record of what it read (or null),
     ``series`` (observation_id, role, source_column, source_unit, unit),
     ``metadata`` (observation_id, field_name, state, value, unit). A metadata
     field that isn't declared is unknown; no value is inferred."""
@@ -65,6 +66,8 @@ def initial_assertions(observations: DataFrame, series: DataFrame, metadata: Dat
     known, none, null = F.lit("known"), F.lit("none"), F.lit(None)
     source = say(observations, F.lit("source_artifact"), "required", "source_file", none, known, F.col("source_artifact_id"), null)
     whole = say(observations, F.lit("observation"), "required", "source_file", F.lit("derived"), known, F.col("observation_id"), null)
+    record = F.col("parser_record_id") if "parser_record_id" in observations.columns else F.lit(None).cast("string")
+    parsed = say(observations.where(record.isNotNull()), F.lit("parser_record"), "required", "source_file", F.lit("parsed"), known, record, null)
     typed = series.join(observations.select("observation_id", "technique"), "observation_id")
     electrolysis, current = F.col("technique") == "galvanostatic_electrolysis", F.col("role").isin("current", "current_density")
     axis = F.when(current, "current_axis").otherwise(F.concat("role", F.lit("_axis")))
@@ -75,7 +78,7 @@ def initial_assertions(observations: DataFrame, series: DataFrame, metadata: Dat
     wanted = observations.join(F.broadcast(observations.sparkSession.createDataFrame(fields, "technique string, field_name string, _class string, _state string")), "technique")
     declared = wanted.join(metadata, ["observation_id", "field_name"], "left")
     context = say(declared, F.col("field_name"), F.col("_class"), "user_supplied", none, F.coalesce("_state", "state", F.lit("unknown")), F.when(F.col("_state").isNull(), F.col("value")), F.when(F.col("_state").isNull(), F.col("unit")))
-    rows = reduce(DataFrame.unionByName, (source, whole, axes, kinds, context))
+    rows = reduce(DataFrame.unionByName, (source, whole, parsed, axes, kinds, context))
     return rows.select(experiment_id(F.col("observation_id")).alias("experiment_id"), *rows.columns)
 
 

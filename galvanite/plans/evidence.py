@@ -20,6 +20,7 @@ q(technique, field_name, class, st) AS (VALUES {_FIELD_ROWS}),
 m AS (SELECT 'o' || l_orderkey AS observation_id, CASE l_linenumber WHEN 5 THEN 'current_basis' WHEN 6 THEN 'reference_scale' ELSE 'scan_rate' END AS field_name, CASE WHEN min(l_returnflag) = 'N' THEN 'unavailable' ELSE 'known' END AS state, CAST(min(l_suppkey) AS VARCHAR) AS value FROM lineitem WHERE l_linenumber >= 5 GROUP BY l_orderkey, l_linenumber),
 r AS (SELECT observation_id, 'source_artifact' AS field_name, 'required' AS requirement_class, 'source_file' AS origin, 'none' AS transformation, 'known' AS state, source_artifact_id AS value, NULL AS unit FROM o
 UNION ALL SELECT observation_id, 'observation', 'required', 'source_file', 'derived', 'known', observation_id, NULL FROM o
+UNION ALL SELECT observation_id, 'parser_record', 'required', 'source_file', 'parsed', 'known', 'p' || substr(observation_id, 2), NULL FROM o WHERE CAST(substr(observation_id, 2) AS BIGINT) % 3 = 0
 UNION ALL SELECT observation_id, CASE WHEN role LIKE 'current%' THEN 'current_axis' ELSE role || '_axis' END, 'required', 'user_supplied', CASE WHEN source_unit = unit THEN 'parsed' ELSE 'unit_converted' END, 'known', source_column, unit FROM s WHERE role <> 'time' OR technique LIKE 'galv%'
 UNION ALL SELECT observation_id, 'current_quantity_kind', 'required', 'user_supplied', 'none', 'known', role, NULL FROM s WHERE role LIKE 'current%' AND technique LIKE 'galv%'
 UNION ALL SELECT o.observation_id, q.field_name, q.class, 'user_supplied', 'none', coalesce(q.st, m.state, 'unknown'), CASE WHEN q.st IS NULL THEN m.value END, NULL FROM o JOIN q ON q.technique = o.technique LEFT JOIN m ON m.observation_id = o.observation_id AND m.field_name = q.field_name)
@@ -29,7 +30,7 @@ def initial_assertions(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = lambda p, c: F.concat(F.lit(p), F.col(c))
     at = F.col("l_linenumber")
     role = F.when(at == 1, "potential").when(at == 2, "current").when(at == 3, "time").otherwise("current_density")
-    observations = orders.select(name("o", "o_orderkey").alias("observation_id"), name("s", "o_custkey").alias("source_artifact_id"), F.expr(_TECHNIQUE).alias("technique"))
+    observations = orders.select(name("o", "o_orderkey").alias("observation_id"), name("s", "o_custkey").alias("source_artifact_id"), F.expr(_TECHNIQUE).alias("technique"), F.when(F.col("o_orderkey") % 3 == 0, name("p", "o_orderkey")).alias("parser_record_id"))
     kinds = lines.where("l_linenumber < 5").select(name("o", "l_orderkey").alias("observation_id"), role.alias("role"), name("c", "l_partkey").alias("source_column"), F.col("l_returnflag").alias("source_unit"), F.lit("A").alias("unit"))
     field = F.when(at == 5, "current_basis").when(at == 6, "reference_scale").otherwise("scan_rate")
     declared = lines.where("l_linenumber >= 5").groupBy(name("o", "l_orderkey").alias("observation_id"), field.alias("field_name")).agg(F.when(F.min("l_returnflag") == "N", "unavailable").otherwise("known").alias("state"), F.min("l_suppkey").cast("string").alias("value"), F.lit(None).cast("string").alias("unit"))

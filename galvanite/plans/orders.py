@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galvanite.functions import canonical
-from galvanite.operators import evidence, experiments, lineage, ordinals, settlement
+from galvanite.functions import canonical, lifecycle
+from galvanite.operators import evidence, experiments, lineage, ordinals, replay, settlement
 from galvanite.operators.tables import kept, shared_folder
 from galvanite.plans import campaigns as log
 from galvanite.plans import queries as plans
@@ -101,6 +101,39 @@ def multiset_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.multiset_difference(rows.where("l_linenumber < 4"), rows.where("l_linenumber > 1 and l_suppkey % 50 <> 7"), ["key"])
 
 
+_MOVES = "(VALUES " + ", ".join(f"('{m}', '{s}', '{t}')" for m, states in lifecycle.TRANSITIONS.items() for s, targets in states.items() for t in targets) + ") AS t(machine, source, target)"
+
+
+@query(f"""WITH log AS ({log.LOG.format(events='events')}), last AS (SELECT aggregate_type AS machine, arg_max(state, event_id) AS state FROM log WHERE state IS NOT NULL GROUP BY campaign_id, aggregate_type, aggregate_id)
+SELECT last.machine, last.state, count(*) AS n_aggregates FROM last WHERE EXISTS (SELECT 1 FROM {_MOVES} WHERE t.machine = last.machine AND t.target = last.state) AND NOT EXISTS (SELECT 1 FROM {_MOVES} WHERE t.machine = last.machine AND t.source = last.state) GROUP BY ALL""")
+def terminal_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many aggregates of the log have come to an end, by their state."""
+    last = replay.projections(log.log(spark, sf_dir).withColumns({"payload": log._payload(), "sequence": F.col("event_id")})).withColumnRenamed("aggregate_type", "machine")  # noqa: SLF001
+    return last.join(F.broadcast(lifecycle.terminal_states(lifecycle.transition_table(spark))), ["machine", "state"], "left_semi").groupBy("machine", "state").agg(F.count("*").alias("n_aggregates"))
+
+
+_PACKAGES = """SELECT o_orderkey AS package_id, o_custkey + CASE WHEN o_orderkey % 50 = 0 THEN 100000000 ELSE 0 END AS passport_id, o_custkey % 300 AS experiment_id, o_orderkey % 40 AS experiment_version, CAST(o_orderkey % 5 AS {text}) AS schema_version,
+ CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey - 1 END AS supersedes_package_id, concat('u', o_orderkey % 997) AS object_uri, CAST(floor(o_totalprice) AS BIGINT) % 20 AS archive_byte_size FROM {orders}"""
+_PASSPORTS = "SELECT c_custkey AS passport_id, c_custkey % 300 AS experiment_id, c_custkey % 7 AS experiment_version, CAST(c_custkey % 2 AS {text}) AS schema_version, CASE WHEN c_custkey % 11 = 0 THEN c_custkey + 500 END AS supersedes_passport_id FROM {customer}"
+_OBJECTS = "SELECT concat('u', p_partkey) AS object_uri, 'pending' AS state, NULL AS sha256, NULL AS byte_size, NULL AS committed_at, NULL AS classification, NULL AS reconciled_at, NULL AS classification_reason FROM {part} WHERE p_partkey < 900"
+
+
+@query(f"""WITH k AS ({_PACKAGES.format(text='VARCHAR', orders='orders')}), p AS ({_PASSPORTS.format(text='VARCHAR', customer='customer')}), o AS ({_OBJECTS.format(part='part')})
+SELECT 'experiment_packages.known_experiment_package_schema' AS rule, CAST(package_id AS VARCHAR) AS subject FROM k WHERE schema_version NOT IN ('1', '2', '3') UNION ALL SELECT 'experiment_packages.experiment_package_not_empty', CAST(package_id AS VARCHAR) FROM k WHERE archive_byte_size < 1
+UNION ALL SELECT 'experiment_passports.known_passport_schema', CAST(passport_id AS VARCHAR) FROM p WHERE schema_version <> '1'
+UNION ALL SELECT 'experiment_packages.experiment_version', experiment_id || '|' || experiment_version FROM k GROUP BY experiment_id, experiment_version HAVING count(*) > 1 UNION ALL SELECT 'experiment_passports.experiment_version', experiment_id || '|' || experiment_version FROM p GROUP BY experiment_id, experiment_version HAVING count(*) > 1
+UNION ALL SELECT 'experiment_passports.supersedes_passport', CAST(supersedes_passport_id AS VARCHAR) FROM p WHERE supersedes_passport_id IS NOT NULL AND supersedes_passport_id NOT IN (SELECT passport_id FROM p)
+UNION ALL SELECT 'experiment_packages.supersedes_package', CAST(supersedes_package_id AS VARCHAR) FROM k WHERE supersedes_package_id IS NOT NULL AND supersedes_package_id NOT IN (SELECT package_id FROM k)
+UNION ALL SELECT 'experiment_packages.passport', CAST(passport_id AS VARCHAR) FROM k WHERE passport_id NOT IN (SELECT passport_id FROM p) UNION ALL SELECT 'experiment_packages.object', object_uri FROM k WHERE object_uri NOT IN (SELECT object_uri FROM o)""")
+def package_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from galvanite.operators.catalogue import audit
+
+    packages = spark.sql(_PACKAGES.replace("{text}", "STRING"), orders=table(spark, sf_dir, "orders"))
+    passports = spark.sql(_PASSPORTS.replace("{text}", "STRING"), customer=table(spark, sf_dir, "customer"))
+    stored = spark.sql(_OBJECTS, part=table(spark, sf_dir, "part"))
+    return audit({"experiment_packages": packages, "experiment_passports": passports, "storage_objects": stored}, {"experiment_packages": "package_id", "experiment_passports": "passport_id", "storage_objects": "object_uri"})
+
+
 _ITEM = {"campaigns": "''", "work_items": "CAST(work_item_id AS VARCHAR)", "jobs": "CAST(job_id AS VARCHAR)", "attempts": "CAST(attempt_id AS VARCHAR)", "observations": "concat_ws('|', attempt_id, observation_id)"}
 _FIELD = {
     "campaigns": "name, environment_id, epoch_us(created_at), state, epoch_us(updated_at)", "work_items": "candidate_id, epoch_us(created_at), state, quarantine_reason, epoch_us(updated_at)",

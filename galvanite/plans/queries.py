@@ -100,11 +100,6 @@ def illegal_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.illegal(moved.withColumn("machine", F.lit("events")), rules).select("event_id", "user_id", "source", "target")
 
 
-@query("WITH t(machine, source, target) AS (VALUES " + ", ".join(f"('{m}', '{s}', '{t}')" for m, ss in lifecycle.TRANSITIONS.items() for s, ts in ss.items() for t in ts) + ") SELECT DISTINCT machine, target AS state FROM t a WHERE NOT EXISTS (SELECT 1 FROM t b WHERE b.machine = a.machine AND b.source = a.target)")
-def terminal_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lifecycle.terminal_states(lifecycle.transition_table(spark))
-
-
 _CAUSE = "CASE WHEN event_id % 7 = 0 THEN event_id + 3 WHEN event_id % 11 = 0 THEN event_id + 100000000 WHEN event_id > 0 THEN event_id - 1 END"
 
 
