@@ -6,9 +6,10 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from galvanite.functions import canonical, lifecycle
-from galvanite.operators import evidence, experiments, lineage, ordinals, replay, settlement
+from galvanite.operators import evidence, exchange, experiments, lineage, ordinals, replay, settlement
 from galvanite.operators.tables import kept, shared_folder
 from galvanite.plans import campaigns as log
 from galvanite.plans import queries as plans
@@ -134,6 +135,26 @@ def package_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit({"experiment_packages": packages, "experiment_passports": passports, "storage_objects": stored}, {"experiment_packages": "package_id", "experiment_passports": "passport_id", "storage_objects": "object_uri"})
 
 
+@query(f"""SELECT o_orderkey AS observation_id, 'untraced' AS problem, '{exchange.ASSERTED["exchange.source.url"]}' AS path FROM orders WHERE o_orderkey % 17 = 0 UNION ALL SELECT o_orderkey, 'not_exported', '/nowhere' FROM orders WHERE o_orderkey % 19 = 0
+UNION ALL SELECT l_orderkey, 'traced_twice', '/resources/0/data/rows/0/c1' FROM lineitem WHERE l_orderkey % 23 = 0 AND l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY l_orderkey HAVING count(*) > 1""")
+def exchange_proof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of all orders and the sources of their paths, some of which are lost, invented or named twice."""
+    orders = table(spark, sf_dir, "orders")
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")) - 1
+    lines = table(spark, sf_dir, "lineitem").withColumn("at", place.cast("int")).join(orders.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
+    observations = orders.select(F.col("o_orderkey").alias("observation_id"), F.concat(F.lit("f"), "o_custkey").alias("filename"))
+    name = F.concat_ws("-", "l_orderkey", "at")
+    series = lines.select(F.col("l_orderkey").alias("observation_id"), name.alias("series_id"), "at", F.concat(F.lit("c"), "at").alias("source_column"), F.col("l_returnflag").alias("unit"))
+    points = lines.select(F.col("l_orderkey").alias("observation_id"), name.alias("series_id"), F.lit(0).alias("row"))
+    said = lambda field, value: orders.select(F.col("o_orderkey").alias("observation_id"), F.lit(field).alias("field_name"), F.concat(F.lit("a"), "o_orderkey", F.lit(field)).alias("assertion_id"), value.alias("value"))
+    assertions = said("exchange.source.url", F.col("o_orderpriority")).unionByName(said("exchange.experimental", F.when(F.col("o_orderstatus") == "F", "yes")))
+    paths = exchange.exported(exchange.descriptors(observations, series, assertions), series, points)
+    traced = exchange.traces(observations, series, points, assertions).where("not (path like '%/url' and observation_id % 17 = 0)")
+    invented = orders.where("o_orderkey % 19 = 0").select(F.col("o_orderkey").alias("observation_id"), F.lit("/nowhere").alias("path"), F.lit("assertion").alias("source_kind"), F.lit("x").alias("source_id"))
+    second = lines.where("at = 1 and l_orderkey % 23 = 0").select(F.col("l_orderkey").alias("observation_id"), F.lit("/resources/0/data/rows/0/c1").alias("path"), F.lit("assertion").alias("source_kind"), F.lit("x").alias("source_id"))
+    return exchange.proof(paths, traced.unionByName(invented).unionByName(second))
+
+
 _ITEM = {"campaigns": "''", "work_items": "CAST(work_item_id AS VARCHAR)", "jobs": "CAST(job_id AS VARCHAR)", "attempts": "CAST(attempt_id AS VARCHAR)", "observations": "concat_ws('|', attempt_id, observation_id)"}
 _FIELD = {
     "campaigns": "name, environment_id, epoch_us(created_at), state, epoch_us(updated_at)", "work_items": "candidate_id, epoch_us(created_at), state, quarantine_reason, epoch_us(updated_at)",
