@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galvanite.operators import payloads, replay
+from galvanite.operators.tables import kept
 from galvanite.plans.registry import query, table
 
 LOG = """
@@ -95,6 +96,11 @@ def replayed(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return replay.sections(events_with_payload(spark, sf_dir))
 
 
+def replayed_once(events: DataFrame) -> dict[str, DataFrame]:
+    """The sections as tables, for queries that read each of them several times."""
+    return {name: kept(rows) for name, rows in replay.sections(events).items()}
+
+
 _ITEMS = "items AS (SELECT campaign_id, item AS work_item_id, arg_min(CASE WHEN t = 0 THEN 'c' || item END, event_id) FILTER (t = 0) AS any_id, arg_min(t, event_id) AS t0, min(occurred_at) AS x, arg_min(occurred_at, event_id) AS created_at, arg_max(state, event_id) AS state, arg_max(occurred_at, event_id) AS updated_at FROM log WHERE aggregate_type = 'work_item' GROUP BY ALL)"
 
 
@@ -159,20 +165,20 @@ n AS (SELECT section, campaign_id, subject, CASE WHEN difference = 'only_right'
 
 @query(f"{_SQL}, {_ITEMS}, {_JOBS} {_DRIFT} SELECT section, campaign_id, subject, difference FROM d WHERE difference <> ''")
 def projection_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = replayed(spark, sf_dir)
+    parts = replayed_once(kept(events_with_payload(spark, sf_dir)))
     return replay.compare_sections(parts, _stored(parts))
 
 
 @query(f"{_SQL}, {_ITEMS}, {_JOBS} {_DRIFT} SELECT section, campaign_id, subject, path FROM n WHERE path IS NOT NULL")
 def non_rebuildable_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = replayed(spark, sf_dir)
+    parts = replayed_once(kept(events_with_payload(spark, sf_dir)))
     return replay.non_rebuildable(parts, _stored(parts))
 
 
 @query(f"""{_SQL}, {_ITEMS}, {_JOBS} {_DRIFT}, x AS (SELECT DISTINCT campaign_id FROM n WHERE path IS NOT NULL)
 SELECT campaign_id, work_item_id, candidate_id, state FROM ri WHERE campaign_id NOT IN (SELECT campaign_id FROM x) UNION ALL SELECT campaign_id, work_item_id, candidate_id, state FROM si WHERE campaign_id IN (SELECT campaign_id FROM x)""")
 def rebuilt_work_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = replayed(spark, sf_dir)
+    parts = replayed_once(kept(events_with_payload(spark, sf_dir)))
     return replay.rebuilt(parts, _stored(parts))["work_items"].select("campaign_id", "work_item_id", "candidate_id", "state")
 
 
@@ -181,7 +187,7 @@ w AS (SELECT campaign_id, work_item_id, count(*) AS n FROM a WHERE status = 'suc
 SELECT campaign_id, CAST(attempt_id AS VARCHAR) AS subject, 'observation_not_recorded' AS rule FROM a WHERE o IS NOT NULL AND NOT EXISTS (SELECT 1 FROM seen WHERE seen.campaign_id = a.campaign_id AND seen.attempt = a.attempt_id)
 UNION ALL SELECT i.campaign_id, CAST(i.work_item_id AS VARCHAR), 'accepted_without_one_success' FROM items i LEFT JOIN w ON w.campaign_id = i.campaign_id AND w.work_item_id = CAST(i.work_item_id AS VARCHAR) WHERE i.state = 'accepted' AND coalesce(w.n, 0) <> 1""")
 def outcome_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replay.outcome_conflicts(replayed(spark, sf_dir))
+    return replay.outcome_conflicts(replay.sections(kept(events_with_payload(spark, sf_dir))))
 
 
 @query(f"""{_SQL}, s AS (SELECT campaign_id, aggregate_type, arg_max(state, (campaign_position, aggregate_id)) AS state, aggregate_id FROM log WHERE state IS NOT NULL GROUP BY campaign_id, aggregate_type, aggregate_id),
@@ -237,7 +243,7 @@ def campaign_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     from galvanite.operators import verification
 
     events, orders, lines, part = (table(spark, sf_dir, t) for t in ("events", "orders", "lineitem", "part"))
-    log_ = events_with_payload(spark, sf_dir).withColumns({"sequence": F.col("campaign_position"), "causation_id": F.col("event_id") - 1, "correlation_id": F.lit("k")})
+    log_ = kept(events_with_payload(spark, sf_dir)).withColumns({"sequence": F.col("campaign_position"), "causation_id": F.col("event_id") - 1, "correlation_id": F.lit("k")})
     members = events.select(F.col("user_id").alias("campaign_id"), F.when(F.col("event_type") != "error", F.col("user_id")).alias("row_campaign_id"), F.col("event_id").alias("member"))
     name = lambda p, c: F.concat(F.lit(p), F.col(c))
     relations = orders.select(name("o", "o_orderkey").alias("subject_id"), F.lit("derived_from").alias("predicate"), F.when(F.col("o_totalprice") > 200000, name("o", "o_orderkey")).otherwise(name("c", "o_custkey")).alias("object_id"))
@@ -247,7 +253,7 @@ def campaign_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     recorded = part.select(F.col("p_partkey").alias("path"), F.col("p_size").alias("size"), F.col("p_brand").alias("sha256"))
     observed = part.select(F.col("p_partkey").alias("path"), F.least("p_size", F.lit(25)).alias("size"), F.lit("Brand#11").alias("sha256"))
     bundle = verification.bundle_problems(observations, metrics, recorded, observed)
-    return verification.campaign_problems(log_, _stored(replay.sections(log_)), members, relations, universe, bundle)
+    return verification.campaign_problems(log_, _stored(replayed_once(log_)), members, relations, universe, bundle)
 
 
 @query("""WITH a AS (SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 0), b AS (SELECT c_custkey, CASE WHEN c_nationkey = 3 THEN 0 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_acctbal < 5000),
