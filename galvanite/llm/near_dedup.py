@@ -9,13 +9,13 @@ one that has the band; there full shingle sets are intersected.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -207,7 +207,7 @@ def _confirmed(source: DataFrame, classes: DataFrame, groups: DataFrame, words:
     return links
 
 
-def near_dedup(docs: DataFrame, *, text: str = "text", key: str = "doc_id", words: int = 5, percent: int = 80, rows: int = 6, miss: float = 1e-5, block: int = 256, carry: Sequence[str] = ()) -> DataFrame:
+def near_dedup(docs: DataFrame, *, text: str = "text", key: str = "doc_id", words: int = 5, percent: int = 80, rows: int = 6, miss: float = 1e-5, block: int = 256, most: int = 1 << 20, carry: Sequence[str] = ()) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept and
     the columns ``carry`` (of other names than these and ``text``).
 
@@ -225,12 +225,13 @@ def near_dedup(docs: DataFrame, *, text: str = "text", key: str = "doc_id", word
 
     Spread: documents with equal sets become one class before any pairing.
     Classes that share a band meet at the first class that has it, their hub.
-    A hub's classes are dealt to chunks of ``block``, the hub itself to all of
+    A hub's classes are dealt to chunks of about ``block`` classes, or fewer with ``most``
+    shingles together, the hub itself to all of
     them, and each chunk's full sets are compared in one task. Classes of one
     hub that no confirmed link has joined by then, which takes texts that share bands and
     are not similar, are compared across chunks: what is not in the hub's
     largest component, in blocks, with all of the hub, in blocks, where sizes
-    allow a link at all. So no group exceeds two blocks, every pair with a
+    allow a link at all. So no group exceeds two blocks of bounded count and size (or two documents), every pair with a
     common band is compared or joined already, and no pair is a row, only a
     forest of confirmed links. ``docs`` is read two or three times."""
     bands = bands_for(percent, rows, miss)
@@ -238,17 +239,18 @@ def near_dedup(docs: DataFrame, *, text: str = "text", key: str = "doc_id", word
     signed = written(source.mapInArrow(_signed(words, bands, rows, carry), ", ".join(["doc_id long, n_shingles long, digest binary, bands array<long>", *(f"{c} {source.schema[c].dataType.simpleString()}" for c in carry)])), "signed")
     classes = signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"))
     classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "classes")  # an id of its own: one doc_id may be the least of several classes
-    keys = classes.select("id", F.explode("bands").alias("band"))
+    keys = classes.select("id", "size", F.explode("bands").alias("band"))
     hubs = written(keys.groupBy("band").agg(F.min("id").alias("hub"), F.count("*").alias("k")).where("k > 1"), "hubs")
-    met = written(joined_back(keys, hubs, ["band"], "k").where("hub is not null").select("hub", "id").distinct(), "met")
-    counts = written(met.groupBy("hub").agg(F.count("*").alias("n")), "counts")
+    met = written(joined_back(keys, hubs, ["band"], "k").where("hub is not null").select("hub", "id", "size").distinct(), "met")
+    load = lambda size: F.lit(1.0) / block + size / F.lit(most)
+    counts = written(met.groupBy("hub").agg(F.count("*").alias("n"), F.sum(load(F.col("size"))).alias("load")), "counts")
     met = joined_back(met, counts, ["hub"], "n")
-    chunks = F.ceil(F.col("n") / block).cast("int")
+    chunks = F.ceil("load").cast("int")
     own = F.when(F.col("hub") == F.col("id"), F.sequence(F.lit(0), chunks - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), chunks).cast("int")))
     first = met.select("id", F.transform(own, lambda x: F.concat_ws(":", "hub", x)).alias("own")).groupBy("id").agg(F.flatten(F.collect_list("own")).alias("groups"))
     found = components(_confirmed(source, classes, first, words, percent))
-    large = met.where(F.col("n") > block).join(classes.select("id", "size"), "id")
-    second = written(_across(large, found, percent, block), "across")
+    large = met.where(chunks > 1).select("hub", "id", "size")
+    second = written(_across(large, found, percent, load), "across")
     if not second.isEmpty():
         more = _confirmed(source, classes, second, words, percent)
         for x in "ab":  # links between components
@@ -265,22 +267,24 @@ def near_dedup(docs: DataFrame, *, text: str = "text", key: str = "doc_id", word
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"), *carry)
 
 
-def _numbered(members: DataFrame, block: int) -> DataFrame:
+def _numbered(members: DataFrame, load: Callable[[Column], Column]) -> DataFrame:
     """Adds ``at``, the block of each class of (hub, id, size): blocks follow
-    size. Windows run over the sizes of a hub, not over its classes."""
+    size, and each takes classes of a load of 1 together. Windows run over the
+    sizes of a hub, not over its classes."""
     bins = members.groupBy("hub", "size").agg(F.count("*").alias("k"))
-    before = F.sum("k").over(Window.partitionBy("hub").orderBy("size")) - F.col("k")
-    place = F.col("before") + F.pmod(F.xxhash64("id"), F.col("k"))
-    return joined_back(members, written(bins.withColumn("before", before), "bins"), ["hub", "size"], "k").withColumn("at", F.floor(place / block)).drop("k", "before")
+    own = F.col("k") * load(F.col("size"))
+    before = F.sum(own).over(Window.partitionBy("hub").orderBy("size")) - own
+    place = F.col("before") + F.pmod(F.xxhash64("id"), F.col("k")) * load(F.col("size"))
+    return joined_back(members, written(bins.withColumn("before", before), "bins"), ["hub", "size"], "k").withColumn("at", F.floor(place)).drop("k", "before")
 
 
-def _across(met: DataFrame, found: DataFrame, percent: int, block: int) -> DataFrame:
+def _across(met: DataFrame, found: DataFrame, percent: int, load: Callable[[Column], Column]) -> DataFrame:
     """(id, groups): pairs of blocks that compare the classes of a hub which
     links have not joined. None for a hub that is one component."""
     named = written(met.join(found.withColumnRenamed("v", "id"), "id", "left").select("hub", "id", "size", F.coalesce("component", "id").alias("c")), "large")
     parts = named.groupBy("hub", "c").agg(F.count("*").alias("k")).groupBy("hub").agg(F.max(F.struct("k", "c"))["c"].alias("most"), F.count("*").alias("m"), F.sum("k").alias("n")).where("m > 1")
     open_ = joined_back(named, written(parts, "parts"), ["hub"], "n").where("most is not null").select("hub", "id", "size", "c", "most")
-    every, stray = _numbered(open_, block), _numbered(open_.where("c <> most"), block)
+    every, stray = _numbered(open_, load), _numbered(open_.where("c <> most"), load)
     edges = lambda side, name: side.groupBy("hub", F.col("at").alias(name)).agg(F.min("size").alias(f"low_{name}"), F.max("size").alias(f"high_{name}"))
     near = lambda low, high: F.col(low) * percent <= F.col(high) * 100
     pairs = edges(stray, "x").join(edges(every, "y"), "hub").where(near("low_x", "high_y") & near("low_y", "high_x"))

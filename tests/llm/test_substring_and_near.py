@@ -86,8 +86,8 @@ def graph(rows, words, percent):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize(("words", "percent", "block"), [(3, 85, 1024), (5, 80, 4)])
-def test_near_groups_against_brute_force(spark, words, percent, block):
+@pytest.mark.parametrize(("words", "percent", "block", "most"), [(3, 85, 1024, 1 << 20), (5, 80, 4, 1 << 20), (3, 85, 1024, 500)])
+def test_near_groups_against_brute_force(spark, words, percent, block, most):
     rng = np.random.default_rng(5)
     base = [f"w{i}" for i in rng.integers(0, 5000, 120)]
     rows = []
@@ -99,11 +99,12 @@ def test_near_groups_against_brute_force(spark, words, percent, block):
     rows += [(100 + i, " ".join(f"w{k}" for k in rng.integers(0, 5000, 60))) for i in range(40)]
     rows += [(200, None), (201, ""), (202, "One"), (203, "one"), (204, "one two"), (205, "THE the " * 400), (206, "the " * 700)]
     frame = spark.createDataFrame([(i, t, 1) for i, t in rows], SCHEMA + ", size int")
-    found = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup(frame, words=words, percent=percent, block=block).collect()}
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup(frame, words=words, percent=percent, block=block, most=most).collect()}
     assert found == graph(rows, words, percent)
 
 
-def test_texts_that_share_bands_and_little_else(spark):
+@pytest.mark.parametrize(("block", "most"), [(4, 1 << 20), (1000, 200)])
+def test_texts_that_share_bands_and_little_else(spark, block, most):
     """Bands of one coordinate: everything meets at few hubs, and links across chunks must still be found."""
     rng = np.random.default_rng(8)
     common = [f"c{i}" for i in range(30)]
@@ -111,7 +112,7 @@ def test_texts_that_share_bands_and_little_else(spark):
     rows += [(100 + i, t + f" y{i}") for i, t in rows[:12]]
     rows += [(200 + i, t + f" z{i}") for i, t in rows[30:36]]
     frame = spark.createDataFrame(rows, SCHEMA)
-    found = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup(frame, words=2, percent=90, rows=1, miss=1e-30, block=4).collect()}
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup(frame, words=2, percent=90, rows=1, miss=1e-30, block=block, most=most).collect()}
     assert found == graph(rows, 2, 90)
 
 
@@ -125,6 +126,13 @@ def test_bands_leave_few_pairs_unmet():
     assert abs((low[0] == low[1]).mean() - 350 / 450) < 0.05
 
 
+def test_very_long_texts_are_compared_in_small_groups(spark):
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(i, long + f" end{i}") for i in range(12)] + [(20 + i, "short text of a few words " + f"x{i}") for i in range(3)]
+    found = {r.doc_id: r.component_id for r in near_dedup(spark.createDataFrame(rows, SCHEMA), most=100_000).collect()}
+    assert found == {i: 0 if i < 20 else i for i, _ in rows}
+
+
 def test_null_and_repeated_ids(spark):
     frame = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f")], SCHEMA)
     found = sorted(((r.doc_id or 0, r.component_id, r.kept) for r in near_dedup(frame).collect()), key=str)
