@@ -108,13 +108,14 @@ class Possible:
         return rows.select("*", *(c.alias(name) for c, name in zip(self._places(F.col(key)), self.PLACES, strict=True)))
 
     @staticmethod
-    def kept(batch: pa.RecordBatch, filled: np.ndarray) -> pa.RecordBatch:
-        """The rows of a marked batch whose key may be wanted; in a task."""
+    def kept(batch: pa.RecordBatch, filled: np.ndarray, wanted: bool = True) -> pa.RecordBatch:
+        """The rows of a marked batch whose key may be wanted, or the others,
+        whose key surely isn't; in a task."""
         found = np.ones(batch.num_rows, bool)
         for name in Possible.PLACES:
             at = batch[name].to_numpy().astype(np.uint64)
             found &= (filled[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-        return batch.filter(pa.array(found))
+        return batch.filter(pa.array(found if wanted else ~found))
 
 
 def partitions(spark: SparkSession) -> int:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from galvanite.llm.common import as_bytes, keyed, mix64, partitions
+from galvanite.llm.common import Possible, as_bytes, keyed, mix64, partitions, written
 
 #: A null id sorts before all others.
 NULL_ID = -(2**63)
@@ -53,20 +53,31 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def rolling(codes: np.ndarray, width: int) -> np.ndarray:
     """A 64-bit polynomial hash of every ``width`` neighbours."""
     base, have, span = 0x9FB21C651E98DF25, None, 1
-    powers = {1: mix64(codes.astype(np.uint64) + np.uint64(1))}
-    while 2 * span <= width:
-        x, k = powers[span], pow(base, span, 1 << 64)
-        powers[2 * span] = x[:-span] * np.uint64(k) + x[span:] if len(x) > span else x[:0]
+    x, powers = mix64(codes.astype(np.uint64) + np.uint64(1)), {}  # only the spans that add up to the width are kept
+    while span <= width:
+        if width & span:
+            powers[span] = x
+        if 2 * span <= width:
+            x = x[:-span] * np.uint64(pow(base, span, 1 << 64)) + x[span:] if len(x) > span else x[:0]
         span *= 2
+    del x
     at = 0
     for span in sorted(powers, reverse=True):
-        if width & span:
-            part, n = powers[span][at:], len(codes) - width + 1
-            have = part[:n] if have is None else have[:n] * np.uint64(pow(base, span, 1 << 64)) + part[:n]
-            at += span
+        part, n = powers.pop(span)[at:], len(codes) - width + 1
+        have = part[:n] if have is None else have[:n] * np.uint64(pow(base, span, 1 << 64)) + part[:n]
+        at += span
     return have
 
 
+def read(batches: Iterator[pa.RecordBatch], *names: str, rows: int = 256) -> Iterator[tuple]:
+    """Rows of batches, a few at a time as Python values: the named columns
+    and the text's UTF-8."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, rows):
+            some = batch.slice(begin, rows)
+            yield from zip(*(some[c].to_pylist() for c in names), as_bytes(some["text"]), strict=True)
+
+
 def pack_arrays(words: list[bytes], *arrays: np.ndarray) -> bytes:
     """Words and integer arrays as one compressed block; integers are stored
     plane by plane of their bytes."""
@@ -96,6 +107,8 @@ def unpack_arrays(block: bytes) -> tuple[list[bytes], list[np.ndarray]]:
 
 #: Word groups are counted in this many slots; a slot is common in a task from such a share of its groups on.
 SLOTS, SHARE = 1 << 22, 1e-6
+#: So many words are counted together; the counts don't depend on it.
+COUNTED = 500_000
 
 
 def group_hashes(flat: np.ndarray, words: list[bytes], group: int) -> np.ndarray:
@@ -113,7 +126,7 @@ def slots(values: np.ndarray) -> np.ndarray:
     return (values & np.uint64(SLOTS - 1)).astype(np.int64)
 
 
-def _common_slots(window: int, group: int, held: int, common: int):
+def _common_slots(window: int, group: int, common: int):
     """The slots of word groups that are common in a task: ``common`` of them
     at least. A group with a
     share of the whole table has that share in some task at least."""
@@ -129,16 +142,15 @@ def _common_slots(window: int, group: int, held: int, common: int):
             np.add(counts, np.bincount(slots(group_hashes(np.concatenate(codes), list(numbers), group)[inside]), minlength=SLOTS), out=counts)
             numbers.clear(), codes.clear()
 
-        for batch in batches:
-            for text in as_bytes(batch["text"]):
-                words = text.split()
-                if len(words) < window:
-                    continue
-                codes.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
-                size, total = size + len(words), total + len(words)
-                if size >= held:
-                    add()
-                    size = 0
+        for (text,) in read(batches):
+            words = text.split()
+            if len(words) < window:
+                continue
+            codes.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
+            size, total = size + len(words), total + len(words)
+            if size >= COUNTED:
+                add()
+                size = 0
         if codes:
             add()
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(counts >= max(common, SHARE * total)), pa.int64())], names=["slot"])
@@ -161,7 +173,10 @@ def _super_kmers(window: int, group: int, buckets: int, held: int, common):
             if not codes:
                 return
             lengths = np.array([len(c) for c in codes])
-            flat, words = np.concatenate(codes), list(numbers)
+            words = sorted(numbers)  # blocks list their words in order, which packs better
+            place = np.empty(len(words), np.int32)
+            place[np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))] = np.arange(len(words), dtype=np.int32)
+            flat = place[np.concatenate(codes)]
             codes.clear()
             firsts = np.cumsum(lengths) - lengths
             value = group_hashes(flat, words, group)
@@ -212,19 +227,18 @@ def _super_kmers(window: int, group: int, buckets: int, held: int, common):
                 block = pack_arrays([words[i] for i in used], np.array(rows, np.int64)[docs], np.array(ids, np.int64)[docs], doc_at.astype(np.uint32), start[mine].astype(np.uint32), count[mine].astype(np.uint32), local.astype(small))
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([block], pa.binary())], names=["bucket", "block"])
 
-        for batch in batches:
-            for row, doc_id, text in zip(batch["_row"].to_pylist(), batch["doc_id"].to_pylist(), as_bytes(batch["text"]), strict=True):
-                words = text.split()
-                if len(words) < window:
-                    continue
-                codes.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
-                rows.append(row)
-                ids.append(NULL_ID if doc_id is None else doc_id)
-                size += len(words)
-                if size >= held:
-                    yield from flush()
-                    numbers.clear(), codes.clear(), rows.clear(), ids.clear()
-                    size = 0
+        for row, doc_id, text in read(batches, "_row", "doc_id"):
+            words = text.split()
+            if len(words) < window:
+                continue
+            codes.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
+            rows.append(row)
+            ids.append(NULL_ID if doc_id is None else doc_id)
+            size += len(words)
+            if size >= held:
+                yield from flush()
+                numbers.clear(), codes.clear(), rows.clear(), ids.clear()
+                size = 0
         yield from flush()
 
     return send
@@ -292,8 +306,7 @@ def _cut(window: int, more: list[str]):
         for batch in batches:
             texts, totals, gone = [], [], []
             for text, spans in zip(batch["text"].to_pylist(), batch["spans"].to_pylist(), strict=True):
-                raw = (text or "").encode()
-                words = raw.split()
+                words = (text or "").encode().split()
                 totals.append(len(words))
                 if not spans:
                     texts.append(text)
@@ -310,6 +323,23 @@ def _cut(window: int, more: list[str]):
     return cut
 
 
+def _parted(filled, wanted: bool, more: list[str]):
+    """Rows that may lose words, as they are, or those that surely don't, as ``_cut`` gives them."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = Possible.kept(batch, filled.value, wanted)
+            own = [some["_row"], some["doc_id"], some["text"]]
+            names = ["_row", "doc_id", "text"]
+            if not wanted:
+                totals = [len(text.split()) for (text,) in read([some])]
+                own += [pa.array(totals, pa.int64()), pa.array([0] * len(totals), pa.int64())]
+                names = _CUT.names
+            yield pa.RecordBatch.from_arrays([*own, *(some[c] for c in more)], names=[*names, *more])
+
+    return part
+
+
 def repeated_windows(source: DataFrame, window: int, group: int, buckets: int, held: int, common: int) -> DataFrame:
     """(_row, start, windows): runs of windows that also start earlier.
 
@@ -317,7 +347,7 @@ def repeated_windows(source: DataFrame, window: int, group: int, buckets: int, h
     at most, which go to every executor. They only decide to which bucket a
     window goes, so that windows at the edges of a common passage go where
     their rarer words send them."""
-    found = source.select("text").mapInArrow(_common_slots(window, group, held, common), "slot long").distinct().toArrow()["slot"].to_numpy()
+    found = source.select("text").mapInArrow(_common_slots(window, group, common), "slot long").distinct().toArrow()["slot"].to_numpy()
     flags = np.zeros(SLOTS, bool)
     flags[found] = True
     sent = source.mapInArrow(_super_kmers(window, group, buckets, held, source.sparkSession.sparkContext.broadcast(flags)), "bucket long, block binary")
@@ -325,7 +355,7 @@ def repeated_windows(source: DataFrame, window: int, group: int, buckets: int, h
     return sent.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_repeats(window, buckets), "_row long, start long, windows long")
 
 
-def substring_dedup(docs: DataFrame, *, text: str | Column = "text", key: str = "doc_id", window: int = 20, group: int = 4, held: int = 3_000_000, bucket_bytes: int = 8 << 20, common: int = 64, carry: Sequence[str] = ()) -> DataFrame:
+def substring_dedup(docs: DataFrame, *, text: str | Column = "text", key: str = "doc_id", window: int = 20, group: int = 4, held: int = 2_000_000, bucket_bytes: int = 12 << 20, common: int = 64, carry: Sequence[str] = ()) -> DataFrame:
     """One row per row of ``docs``: _row, doc_id, text, n_words, n_removed,
     and the columns ``carry``.
 
@@ -340,15 +370,18 @@ def substring_dedup(docs: DataFrame, *, text: str | Column = "text", key: str =
     Spread: buckets follow the table's size, ``bucket_bytes`` of text each;
     a passage that recurs in one part of ``held`` words is sent once from it,
     and the places of its repeats pass its bucket by, so a passage shared by
-    a third of all documents reaches its bucket once for each part. ``docs``
-    is read three times and must be a table scan."""
+    a third of all documents reaches its bucket once for each part. Only texts
+    that may lose words are shuffled, told by a Bloom filter of their keys. ``docs``
+    is read four times and must be a table scan."""
     source = keyed(docs, doc_id=F.col(key).cast("long"), text=F.col(text) if isinstance(text, str) else text)
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(2 * partitions(docs.sparkSession), -(-size // bucket_bytes))
     found = repeated_windows(source, window, group, buckets, held, common)
-    spans = found.groupBy("_row").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
+    spans = written(found.groupBy("_row").agg(F.collect_list(F.struct("start", "windows")).alias("spans")), "spans")
     whole = keyed(docs, doc_id=F.col(key).cast("long"), text=F.col(text) if isinstance(text, str) else text, **{f"_of_{c}": F.col(c) for c in carry})
-    more = [whole.schema[f"_of_{c}"] for c in carry]
-    schema = T.StructType([*_CUT.fields, *more])
-    out = whole.join(spans, "_row", "left").mapInArrow(_cut(window, [f.name for f in more]), schema)
+    wanted = Possible(spans.select("_row"))
+    marked, more = wanted.marked(whole, "_row"), [whole.schema[f"_of_{c}"] for c in carry]
+    names, schema = [f.name for f in more], T.StructType([*_CUT.fields, *more])
+    losing = marked.mapInArrow(_parted(wanted.shared, True, names), T.StructType([*_CUT.fields[:3], *more])).join(spans, "_row", "left")
+    out = losing.mapInArrow(_cut(window, names), schema).unionByName(marked.mapInArrow(_parted(wanted.shared, False, names), schema))
     return out.select(*_CUT.names, *(F.col(f"_of_{c}").alias(c) for c in carry))
