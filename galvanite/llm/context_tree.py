@@ -445,7 +445,8 @@ def score_documents(docs: DataFrame, learn: Column, *, text: str = "text", key:
 
     part = source.select("_row", "doc_id", "text").mapInArrow(run, "_row long, doc_id long, n_bytes long, n_tokens long, known long, base double, rest array<struct<word:binary,n:long>>")
     part = part.select("_row", "doc_id", "n_bytes", "n_tokens", "known", "base", F.explode_outer("rest").alias("r"))
-    part = part.select("*", F.col("r.word").alias("word"), F.col("r.n").alias("n")).drop("r").join(counts, "word", "left")
+    none = F.concat(F.lit(" "), F.col("_row").cast("string")).cast("binary")  # no token holds a blank: rows without a rare one match nothing, each by a key of its own
+    part = part.select("*", F.coalesce("r.word", none).alias("word"), F.col("r.n").alias("n")).drop("r").join(counts, "word", "left")
     own = F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(total + distinct + 1)))
     bases = part.groupBy("_row").agg(
         *(F.first(x).alias(x) for x in ("doc_id", "n_bytes", "n_tokens", "known", "base")),
