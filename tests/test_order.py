@@ -59,6 +59,38 @@ def test_rounds_grow_with_the_logarithm_of_the_depth(spark, monkeypatch):
     assert tuple(found) == (256, 256) and len(rounds) <= 11
 
 
+def test_depths_shuffle_fewer_rows_than_there_are_pairs(spark):
+    """Once each round shuffled all pairs and joined them to each other."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    records = spark.range(1, 6000).select(F.col("id").alias("record"))
+    halves = records.select(F.col("record").alias("child"), F.explode(F.array(F.floor(F.col("record") / 2), F.floor(F.col("record") / 3))).alias("parent")).where("parent > 0")
+    before = max((s.stageId() for s in stages(store)), default=-1)
+    found = lineage.depths(halves, records).agg(F.sum("n_ancestors"), F.max("depth")).first()
+    shuffled = sum(s.shuffleReadRecords() for s in stages(store) if s.stageId() > before)
+    parents = [(), ()] + [tuple({i // 2, i // 3} - {0}) for i in range(2, 6000)]
+    reach, depth = [set(), set()], [0, 0]
+    for ps in parents[2:]:
+        reach.append({*ps}.union(*(reach[q] for q in ps)))
+        depth.append(1 + max(depth[q] for q in ps))
+    assert tuple(found) == (sum(map(len, reach)), max(depth))
+    assert shuffled < found[0]
+
+
+def stages(store):
+    out, k = [], 0
+    found = store.stageList(None, False, False, doubles(), None)
+    while k < found.size():
+        out.append(found.apply(k))
+        k += 1
+    return out
+
+
+def doubles():
+    from pyspark import SparkContext
+
+    return SparkContext._gateway.new_array(SparkContext._jvm.double, 0)
+
+
 def test_lost_sources(spark):
     edges = spark.createDataFrame([("c", "b"), ("b", "a"), ("c", "x"), ("y", "x")], "child string, parent string")
     ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
