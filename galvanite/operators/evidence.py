@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 
 def closed_set(declared: DataFrame, found: DataFrame, key: str) -> DataFrame:
-    """(key, problem): members that are missing or unexpected."""
-    a, b = declared.select(key).distinct(), found.select(key).distinct()
-    return a.join(b, key, "left_anti").withColumn("problem", F.lit("missing")).unionByName(b.join(a, key, "left_anti").withColumn("problem", F.lit("unexpected")))
+    """(key, problem): members that are missing or unexpected, once each. One
+    aggregate over both tables reads each once, and a null is a member too."""
+    both = declared.select(key, F.lit(True).alias("_d")).unionByName(found.select(key, F.lit(False).alias("_d")))
+    sides = both.groupBy(key).agg(F.min("_d").alias("_all"), F.max("_d").alias("_any"))
+    return sides.where("_all = _any").select(key, F.when(F.col("_all"), "missing").otherwise("unexpected").alias("problem"))
 
 
 def multiset_difference(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
