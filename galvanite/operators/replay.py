@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from galvanite.functions import lifecycle
 from galvanite.operators import budget, payloads, streams
+from galvanite.operators.tables import parts_for
 
 #: Types whose last state isn't the one value that their payload may carry.
 _STATELESS = ("observation.invalidated", "observation.superseded", "job.heartbeat", "job.lease_expired", "observation.accepted", "observation.retained", "budget.reserved", "budget.consumed", "budget.released", "budget.adjusted")
@@ -67,49 +68,62 @@ RULES = (
 )
 
 
+#: The rule that needs another event, the cause.
+_CAUSE = RULES.index("invalid_event_causation")
+
+
 def violations(events: DataFrame) -> DataFrame:
     """(campaign_id, campaign_position, rank, rule, detail) of every rule that
     an event breaks. All rules are columns over three shared windows (the
     stream, the aggregate, the reservation) and one self-join on the cause."""
+    parts = parts_for(events)
     stream = Window.partitionBy("campaign_id").orderBy("campaign_position")
     own = Window.partitionBy(*_AGGREGATE).orderBy("sequence")
     before = own.rowsBetween(Window.unboundedPreceding, -1)
+    up_to = Window.partitionBy("campaign_id", "_settles").orderBy("campaign_position").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     is_job = F.col("aggregate_type") == "job"
     job = lambda name: F.when(is_job, _field(name))
     fixed = F.when(is_job & _field("work_item_id").isNotNull(), F.concat_ws("|", *(_field(x) for x in ("work_item_id", "max_attempts", "command_version", "idempotency_key"))))
     aggregate = _looked_up({name: kind for name, (kind, _, _) in payloads.TYPES.items()}, F.col("event_type"))
     budgeted = F.col("event_type").startswith("budget.")
-    rows = events.withColumns({"_state": _state(), "_generation": job("lease_generation").try_cast("long"), "_fixed": fixed, "_aggregate": aggregate, "_settles": F.when(budgeted, _field("reservation_entry_id")), "_kind": F.when(budgeted, _field("kind"))})
-    rows = rows.withColumn("_position", F.row_number().over(stream).cast("long"))
-    rows = rows.withColumns({"_sequence": F.row_number().over(own).cast("long"), "_source": F.last("_state", True).over(before), "_before": F.last("_generation", True).over(before), "_first": F.first("_fixed", True).over(own)})
-    spent, settled, adjusted = "_kind = 'consumed'", "_kind in ('consumed', 'released')", "_kind in ('adjusted_up', 'adjusted_down')"
-    money = rows.where("_settles is not null")
-    up_to = Window.partitionBy("campaign_id", "_settles").orderBy("campaign_position").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    money = money.withColumns({"_spent": F.count_if(F.expr(spent)).over(up_to), "_settled": F.count_if(F.expr(settled)).over(up_to), "_adjusted": F.count_if(F.expr(adjusted)).over(up_to)})
-    rows = money.unionByName(rows.where("_settles is null"), allowMissingColumns=True)
-    causes = events.select(F.col("event_id").alias("_event"), F.col("campaign_id").alias("_stream"), F.col("campaign_position").alias("_at"), F.col("correlation_id").alias("_correlation"))
-    rows = rows.join(causes, F.col("causation_id") == F.col("_event"), "left")
-    cause = F.when(F.col("causation_id").isNull(), F.lit(None)).when(F.col("_event").isNull(), "missing_cause").when(F.col("_stream") != F.col("campaign_id"), "other_stream").when(F.col("_at") >= F.col("campaign_position"), "not_prior").when(~F.col("correlation_id").eqNullSafe(F.col("_correlation")), "other_correlation")
+    when = lambda condition, detail: F.when(condition, detail.cast("string"))
+    made = F.col("event_type") == "campaign.created"
+    # rows go narrow through the windows: a rule's detail, null for nearly all, takes the place of what it was made from
+    alone = {
+        "_d2": when(made != (F.col("campaign_position") == 1), F.col("event_type")), "_d3": when(aggregate.isNull(), F.col("event_type")),
+        "_d4": when(aggregate != F.col("aggregate_type"), F.col("aggregate_type")), "_d5": when(~made & F.col("causation_id").isNull(), F.col("event_type")),
+    }
+    cause_of = ["causation_id", "correlation_id"]
+    rows = events.select(
+        "campaign_id", "campaign_position", *_AGGREGATE[1:], "sequence", *cause_of, *(c.alias(k) for k, c in alone.items()), _state().alias("_state"), job("lease_generation").try_cast("long").alias("_generation"),
+        fixed.alias("_fixed"), F.when(budgeted, _field("reservation_entry_id")).alias("_settles"), F.when(budgeted, _field("kind")).alias("_kind"),
+    ).repartition(parts, "campaign_id")
     moves = [f"{m}:{s} to {t}" for m, states in lifecycle.TRANSITIONS.items() for s, targets in states.items() for t in targets]
     move = F.concat(F.col("_source"), F.lit(" to "), F.col("_state"))
     legal = F.concat(F.col("aggregate_type"), F.lit(":"), move).isin(*moves)
-    when = lambda condition, detail: F.when(condition, detail.cast("string"))
-    found = (
-        when(F.col("campaign_position") != F.col("_position"), F.col("_position")),
-        when(F.col("sequence") != F.col("_sequence"), F.col("_sequence")),
-        when((F.col("event_type") == "campaign.created") != (F.col("campaign_position") == 1), F.col("event_type")),
-        when(F.col("_aggregate").isNull(), F.col("event_type")),
-        when(F.col("_aggregate") != F.col("aggregate_type"), F.col("aggregate_type")),
-        when((F.col("event_type") != "campaign.created") & F.col("causation_id").isNull(), F.col("event_type")),
-        cause,
-        when(F.col("_source").isNotNull() & F.col("_state").isNotNull() & ~legal, move),
-        when(F.col("_generation") < F.col("_before"), F.col("_generation")),
-        when(F.col("_fixed") != F.col("_first"), F.col("_fixed")),
-        when(F.expr(settled) & (F.col("_settled") > 1), F.col("_settles")),
-        when(F.expr(adjusted) & ((F.col("_spent") == 0) | (F.col("_adjusted") > 1)), F.col("_settles")),
-    )
-    flags = F.array_compact(F.array(*(F.when(d.isNotNull(), F.struct(F.lit(i).alias("rank"), F.lit(r).alias("rule"), d.alias("detail"))) for i, (r, d) in enumerate(zip(RULES, found, strict=True)))))
-    return rows.select("campaign_id", "campaign_position", F.explode(flags).alias("f")).select("campaign_id", "campaign_position", "f.*")
+    rows = rows.withColumns({"_sequence": F.row_number().over(own).cast("long"), "_source": F.last("_state", True).over(before), "_before": F.last("_generation", True).over(before), "_first": F.first("_fixed", True).over(own)})
+    of_aggregate = {
+        "_d1": when(F.col("sequence") != F.col("_sequence"), F.col("_sequence")), "_d7": when(F.col("_source").isNotNull() & F.col("_state").isNotNull() & ~legal, move),
+        "_d8": when(F.col("_generation") < F.col("_before"), F.col("_generation")), "_d9": when(F.col("_fixed") != F.col("_first"), F.col("_fixed")),
+    }
+    rows = rows.select("campaign_id", "campaign_position", *cause_of, "_settles", "_kind", *alone, *(c.alias(k) for k, c in of_aggregate.items()))
+    rows = rows.withColumn("_position", F.row_number().over(stream).cast("long"))
+    spent, settled, adjusted = F.col("_kind") == "consumed", F.col("_kind").isin("consumed", "released"), F.col("_kind").isin("adjusted_up", "adjusted_down")
+    count = lambda c: F.when(F.col("_settles").isNotNull(), F.count_if(c).over(up_to))
+    rows = rows.withColumns({"_spent": count(spent), "_settled": count(settled), "_adjusted": count(adjusted)})
+    of_stream = {
+        "_d0": when(F.col("campaign_position") != F.col("_position"), F.col("_position")), "_d10": when(settled & (F.col("_settled") > 1), F.col("_settles")),
+        "_d11": when(adjusted & ((F.col("_spent") == 0) | (F.col("_adjusted") > 1)), F.col("_settles")),
+    }
+    found = {**{k: F.col(k) for k in (*alone, *of_aggregate)}, **of_stream}
+    flag = lambda i, d: F.when(d.isNotNull(), F.struct(F.lit(i).alias("rank"), F.lit(RULES[i]).alias("rule"), d.alias("detail")))
+    flags = F.array_compact(F.array(*(flag(i, found[f"_d{i}"]) for i in range(len(RULES)) if i != _CAUSE)))
+    rows = rows.select("campaign_id", "campaign_position", *cause_of, flags.alias("_flags"))
+    causes = events.select(F.col("event_id").alias("_event"), F.col("campaign_id").alias("_stream"), F.col("campaign_position").alias("_at"), F.col("correlation_id").alias("_correlation"))
+    rows = rows.repartition(2 * parts, "causation_id").join(causes.repartition(2 * parts, "_event"), F.col("causation_id") == F.col("_event"), "left")
+    cause = F.when(F.col("causation_id").isNull(), F.lit(None)).when(F.col("_event").isNull(), "missing_cause").when(F.col("_stream") != F.col("campaign_id"), "other_stream").when(F.col("_at") >= F.col("campaign_position"), "not_prior").when(~F.col("correlation_id").eqNullSafe(F.col("_correlation")), "other_correlation")
+    every = F.concat("_flags", F.array_compact(F.array(flag(_CAUSE, cause))))
+    return rows.select("campaign_id", "campaign_position", F.explode(every).alias("f")).select("campaign_id", "campaign_position", "f.*")
 
 
 def first_violations(events: DataFrame) -> DataFrame:

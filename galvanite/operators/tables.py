@@ -27,3 +27,11 @@ def kept(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def parts_for(*tables: DataFrame, each: int = 1_000_000) -> int:
+    """Partitions for a shuffle of these tables together, so that a task's
+    rows stay as many however large the tables are; the session's number if
+    that is more. Counts the rows: for tables that are scanned or ``kept``."""
+    spark = tables[0].sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(t.count() for t in tables) // each))

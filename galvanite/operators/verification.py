@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from galvanite.operators import evidence, replay
+from galvanite.operators.tables import parts_for
 
 RULES = ("foreign_row", "event_stream", "projection", "relation_twice", "relation_to_itself", "relation_outside", "no_lineage_root", "metric_without_observation", "object")
 
@@ -27,7 +28,8 @@ def relation_problems(relations: DataFrame, universe: DataFrame) -> DataFrame:
     key = ["subject_id", "predicate", "object_id"]
     twice = relations.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
     ends = relations.select(*key, F.explode(F.array("subject_id", "object_id")).alias("id"))
-    outside = evidence.dangling(ends, universe, "id").select(*key).distinct()
+    parts = parts_for(relations, relations, universe)
+    outside = evidence.dangling(ends.repartition(parts, "id"), universe.repartition(parts, "id"), "id").select(*key).distinct()
     return reduce(DataFrame.unionByName, (_rows("relation_twice", twice, None, *key), _rows("relation_to_itself", relations.where("subject_id = object_id"), None, *key), _rows("relation_outside", outside, None, *key)))
 
 
@@ -38,7 +40,8 @@ def bundle_problems(observations: DataFrame, metrics: DataFrame, recorded: DataF
     observation_id, attempt_id, root), ``metrics`` (campaign_id, metric_id,
     observation_id, attempt_id); objects as in ``evidence.checksum_audit``."""
     pair = ["observation_id", "attempt_id"]
-    alone = metrics.join(observations.select(*pair), pair, "left_anti")
+    parts = parts_for(metrics, observations)
+    alone = metrics.repartition(parts, *pair).join(observations.select(*pair).repartition(parts, *pair), pair, "left_anti")
     return reduce(DataFrame.unionByName, (
         _rows("no_lineage_root", observations.where("root is null"), "campaign_id", *pair),
         _rows("metric_without_observation", alone, "campaign_id", "metric_id"),
