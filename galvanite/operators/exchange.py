@@ -89,11 +89,17 @@ def traces(observations: DataFrame, series: DataFrame, points: DataFrame, assert
 STRUCTURE = (f"{_META}/source", f"{_META}/system/electrolyte", f"{_META}/curation", *FIELD_LISTS)
 
 
-def proof(paths: DataFrame, traced: DataFrame) -> DataFrame:
+def proof(paths: DataFrame, traced: DataFrame, parts: int | None = None) -> DataFrame:
     """(observation_id, problem, path): ``untraced`` exported paths, traces of
     paths that aren't exported (``not_exported``), and paths with several
     sources (``traced_twice``). A sound exchange gives no row."""
-    one = traced.groupBy("observation_id", "path").agg(F.count_distinct("source_kind", "source_id").alias("n"))
-    both = paths.select("observation_id", "path").distinct().withColumn("_e", F.lit(True)).join(one, ["observation_id", "path"], "full_outer")
-    problem: Column = F.when(F.col("n").isNull() & ~F.col("path").isin(*STRUCTURE), "untraced").when(F.col("_e").isNull(), "not_exported").when(F.col("n") > 1, "traced_twice")
+    # both sides meet in one aggregate whose sums have a fixed width; sources are told apart by 128 bits of their hashes
+    source = lambda seed: F.when(F.col("source_kind").isNotNull() & F.col("source_id").isNotNull(), F.xxhash64(F.lit(seed), "source_kind", "source_id"))
+    own = traced.select("observation_id", "path", F.lit(True).alias("_t"), source(1).alias("_h"), source(2).alias("_g"))
+    sides = own.unionByName(paths.select("observation_id", "path", F.lit(False).alias("_t"), *(F.lit(None).cast("long").alias(h) for h in ("_h", "_g"))))
+    if parts:
+        sides = sides.repartition(parts, "observation_id")
+    many = (F.min("_h") != F.max("_h")) | (F.min("_g") != F.max("_g"))
+    both = sides.groupBy("observation_id", "path").agg(F.max("_t").alias("_traced"), F.min("_t").alias("_only"), many.alias("_many"))
+    problem: Column = F.when(~F.col("_traced") & ~F.col("path").isin(*STRUCTURE), "untraced").when(F.col("_only"), "not_exported").when(F.col("_many"), "traced_twice")
     return both.withColumn("problem", problem).where("problem is not null").select("observation_id", "problem", "path")

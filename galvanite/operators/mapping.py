@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
+from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,23 +22,44 @@ def leaves(value: object, path: str = "") -> Iterator[str]:
         yield from leaves(child, f"{path}/{name}")
 
 
+#: A JSON string, and the colon after it if it is a key.
+_STRING = re.compile(r'"(?:[^"\\]|\\.)*"(\s*:)?', re.DOTALL)
+#: Shapes of documents whose paths a task keeps.
+_SHAPES = 10_000
+
+
 def exported_paths(documents: DataFrame, key: str, text: str) -> DataFrame:
     """(key, path) for every leaf of every JSON document, once each; a text
-    that is no JSON has the path ``!``."""
+    that is no JSON has the path ``!``. Documents that differ only in their
+    strings have the same paths, which a task lists once."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shapes: dict[str, list[str]] = {}
         for batch in batches:
-            out = []
-            for own, body in zip(batch["k"], batch["t"], strict=True):
+            flat, counts = [], []
+            for body in batch["t"].to_pylist():
                 try:
-                    found = sorted(set(leaves(json.loads(body))))
+                    value = json.loads(body)
+                    shape = _STRING.sub(lambda m: m[0] if m[1] else '""', body)
+                    found = shapes.get(shape)
+                    if found is None:
+                        if len(shapes) >= _SHAPES:
+                            shapes.clear()
+                        found = shapes[shape] = sorted(set(leaves(value)))
                 except (TypeError, ValueError):
                     found = ["!"]
-                out += [(own, path) for path in found]
-            yield pd.DataFrame(out, columns=[key, "path"])
+                flat += found
+                counts.append(len(found))
+            yield pa.RecordBatch.from_arrays([batch["k"], lists(flat, counts, pa.string())], names=["k", "paths"])
 
     kind = dict(documents.dtypes)[key]
-    return documents.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"{key} {kind}, path string")
+    named = documents.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, paths array<string>")
+    return named.select(F.col("k").alias(key), F.explode("paths").alias("path"))
+
+
+def lists(values: list[str], counts: list[int], kind: pa.DataType) -> pa.ListArray:
+    """A list column from flat values and each row's count."""
+    return pa.ListArray.from_arrays(pa.array([0, *accumulate(counts)], pa.int32()), pa.array(values, kind))
 
 
 def mapping_problems(entries: DataFrame, required: DataFrame, key: str) -> DataFrame:

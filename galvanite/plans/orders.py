@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from galvanite.functions import canonical, lifecycle
 from galvanite.operators import evidence, exchange, experiments, lineage, ordinals, replay, settlement
-from galvanite.operators.tables import kept, shared_folder
+from galvanite.operators.tables import kept, parts_for, shared_folder
 from galvanite.plans import campaigns as log
 from galvanite.plans import queries as plans
 from galvanite.plans.registry import SQL, query, table
@@ -148,11 +148,12 @@ def exchange_proof(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = lines.select(F.col("l_orderkey").alias("observation_id"), name.alias("series_id"), F.lit(0).alias("row"))
     said = lambda field, value: orders.select(F.col("o_orderkey").alias("observation_id"), F.lit(field).alias("field_name"), F.concat(F.lit("a"), "o_orderkey", F.lit(field)).alias("assertion_id"), value.alias("value"))
     assertions = said("exchange.source.url", F.col("o_orderpriority")).unionByName(said("exchange.experimental", F.when(F.col("o_orderstatus") == "F", "yes")))
-    paths = exchange.exported(exchange.descriptors(observations, series, assertions), series, points)
+    parts = parts_for(orders, table(spark, sf_dir, "lineitem"), each=100_000)  # a line has some 15 paths on both sides
+    paths = exchange.exported(exchange.descriptors(observations.repartition(parts, "observation_id"), series, assertions), series, points)
     traced = exchange.traces(observations, series, points, assertions).where("not (path like '%/url' and observation_id % 17 = 0)")
     invented = orders.where("o_orderkey % 19 = 0").select(F.col("o_orderkey").alias("observation_id"), F.lit("/nowhere").alias("path"), F.lit("assertion").alias("source_kind"), F.lit("x").alias("source_id"))
     second = lines.where("at = 1 and l_orderkey % 23 = 0").select(F.col("l_orderkey").alias("observation_id"), F.lit("/resources/0/data/rows/0/c1").alias("path"), F.lit("assertion").alias("source_kind"), F.lit("x").alias("source_id"))
-    return exchange.proof(paths, traced.unionByName(invented).unionByName(second))
+    return exchange.proof(paths, traced.unionByName(invented).unionByName(second), parts)
 
 
 _ITEM = {"campaigns": "''", "work_items": "CAST(work_item_id AS VARCHAR)", "jobs": "CAST(job_id AS VARCHAR)", "attempts": "CAST(attempt_id AS VARCHAR)", "observations": "concat_ws('|', attempt_id, observation_id)"}
