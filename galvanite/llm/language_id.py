@@ -143,6 +143,12 @@ def _predicted(languages: list[str], places: np.ndarray, top: int, carry: list[s
     return predict
 
 
+def unseen(languages: int, top: int) -> np.ndarray:
+    """Places of all n-grams in each language, ``top`` for none: two bytes
+    each while they suffice, as every Python worker holds them all."""
+    return np.full((languages, GRAMS), top, np.min_scalar_type(-top - 1))
+
+
 def predict(docs: DataFrame, model: DataFrame, *, text: str | Column = "text", key: str = "doc_id", top: int = 400, carry: Sequence[str] = ()) -> DataFrame:
     """doc_id, lang_pred, score for each row, or the columns ``carry`` in
     place of doc_id. score is one less the mean
@@ -153,7 +159,7 @@ def predict(docs: DataFrame, model: DataFrame, *, text: str | Column = "text", k
     rows = model.collect()
     languages = sorted({r["lang"] for r in rows})
     at = {x: i for i, x in enumerate(languages)}
-    places = np.full((len(languages), GRAMS), top, np.int32)
+    places = unseen(len(languages), top)
     for r in rows:
         places[at[r["lang"]], r["gram"]] = r["place"]
     text = F.col(text) if isinstance(text, str) else text
@@ -166,7 +172,7 @@ def predict(docs: DataFrame, model: DataFrame, *, text: str | Column = "text", k
     sparse = [(k, np.flatnonzero(p < top), p[p < top]) for k, p in enumerate(places)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        full = np.full((len(languages), GRAMS), top, np.int32)
+        full = unseen(len(languages), top)
         for k, gram, place in sparse:
             full[k, gram] = place
         yield from _predicted(languages, full, top, names)(batches)

@@ -156,3 +156,11 @@ def test_runs_of_marks_take_the_same_path():
     for unit, pieces, score in model.walk(units):
         assert pieces == model.merged(unit)
         assert score == pytest.approx(sum(model.score.get(p, 0.0) for p in pieces))
+
+
+def test_places_take_two_bytes_while_they_suffice():
+    from galvanite.llm import language_id
+
+    for top, size in ((100, 1), (400, 2), (32_767, 2), (40_000, 4)):
+        held = language_id.unseen(2, top)
+        assert held.itemsize == size and held.shape == (2, language_id.GRAMS) and held[1, -1] == top
