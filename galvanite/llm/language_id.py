@@ -23,6 +23,8 @@ _SYMBOL[97:123] = np.arange(1, 27)
 _SYMBOL[65:91] = np.arange(1, 27)
 _SYMBOL[128:] = np.arange(27, 155)
 _BASE = 155
+#: Bytes of text that are taken at a time: into one look for n-grams, and out of one batch of rows.
+SLICE, PART = 1 << 18, 1 << 20
 #: n-grams of 1 to 3 symbols as one number.
 GRAMS = _BASE + _BASE**2 + _BASE**3
 
@@ -37,7 +39,7 @@ def _codes(symbols: np.ndarray) -> list[np.ndarray]:
     return [one, two, three]
 
 
-def grams(texts: list[bytes], owner: np.ndarray, size: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def grams(texts: list[bytes], owner: np.ndarray, size: int = SLICE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(owner, n-gram, count), summed over the texts of each owner. Works
     through ``size`` bytes at a time, so a very long text needs no more room
     than its distinct n-grams."""
@@ -74,28 +76,36 @@ def grams(texts: list[bytes], owner: np.ndarray, size: int = 1 << 20) -> tuple[n
     return k // GRAMS, k % GRAMS, n
 
 
-def _batches(texts: list[bytes], size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def _batches(lengths: Sequence[int], size: int) -> Iterator[tuple[int, int]]:
     low, total = 0, 0
-    for i, text in enumerate(texts):
-        total += len(text)
-        if total >= size or i == len(texts) - 1:
+    for i, length in enumerate(lengths):
+        total += length
+        if total >= size or i == len(lengths) - 1:
             yield low, i + 1
             low, total = i + 1, 0
 
 
+def _parts(batch: pa.RecordBatch, text: str = "text", size: int = PART) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """A batch in runs of rows with about ``size`` bytes of text, and their
+    texts, so that a task holds a second copy of such a run only."""
+    lengths = pa.compute.fill_null(pa.compute.binary_length(batch[text]), 0).to_numpy()
+    for low, high in _batches(lengths.tolist(), size):
+        part = batch.slice(low, high - low)
+        yield part, as_bytes(part[text])
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
         coded = batch["lang"].dictionary_encode()
-        owner = coded.indices.to_numpy()
-        texts = as_bytes(batch["text"])
-        lang, gram, n = [], [], []
-        for low, high in _batches(texts, 4 << 20):
-            o, g, c = grams(texts[low:high], owner[low:high])
-            lang.append(o), gram.append(g), n.append(c)
-        key, at = np.unique(np.concatenate(lang) * GRAMS + np.concatenate(gram), return_inverse=True)
-        count = np.bincount(at, weights=np.concatenate(n)).astype(np.int64)
+        owner, low = coded.indices.to_numpy(), 0
+        key, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for part, texts in _parts(batch):
+            o, g, c = grams(texts, owner[low : low + part.num_rows])
+            low += part.num_rows
+            key, at = np.unique(np.append(key, o * GRAMS + g), return_inverse=True)
+            count = np.bincount(at, weights=np.append(count, c)).astype(np.int64)
         yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(key // GRAMS)), pa.array(key % GRAMS, pa.int64()), pa.array(count, pa.int64())], names=["lang", "gram", "n"])
 
 
@@ -120,32 +130,42 @@ def rank(owner: np.ndarray, gram: np.ndarray, n: np.ndarray, top: int) -> tuple[
     return owner[keep], gram[keep], place[keep]
 
 
-def _predicted(languages: list[str], places: np.ndarray, top: int, carry: list[str]):
+def _predicted(languages: list[str], profiles: list[tuple[np.ndarray, np.ndarray]], top: int, carry: list[str], text: str = "text"):
+    """profiles: each language's n-grams and their places."""
+    known = np.unique(np.concatenate([gram for gram, _ in profiles]))
+
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        column = unseen(1, len(known))[0]
+        column[known] = np.arange(len(known))
+        places = np.full((len(languages), len(known) + 1), top, np.min_scalar_type(-top - 1))
+        for k, (gram, place) in enumerate(profiles):
+            places[k, column[gram]] = place
         for batch in batches:
-            texts = as_bytes(batch["text"])
-            best, score = np.zeros(len(texts), np.int64), np.zeros(len(texts))
-            for low, high in _batches(texts):
-                owner, gram, place = rank(*grams(texts[low:high], np.arange(high - low)), top)
-                far = np.zeros((len(languages), high - low))
-                for k in range(len(languages)):
-                    there = places[k][gram]
-                    far[k] = np.bincount(owner, weights=np.where(there < top, np.abs(there - place), top), minlength=high - low)
-                far = far / np.maximum(1, np.bincount(owner, minlength=high - low) * top)
-                best[low:high] = far.argmin(axis=0)
-                score[low:high] = 1 - far.min(axis=0)
-            named = pa.array(languages, pa.string()).take(pa.array(best))
-            letters = batch["letters"]
-            named = pa.compute.if_else(letters, named, "und")
-            own = pa.array(np.where(letters.to_numpy(zero_copy_only=False), np.clip(score, 0, 1), 0.0))
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in carry), named, own], names=[*carry, "lang_pred", "score"])
+            for part, texts in _parts(batch, text):
+                best, score = np.zeros(len(texts), np.int64), np.zeros(len(texts))
+                for low, high in _batches([len(x) for x in texts], SLICE):
+                    owner, gram, place = rank(*grams(texts[low:high], np.arange(high - low)), top)
+                    at = column[gram]
+                    far = np.zeros((len(languages), high - low))
+                    for k in range(len(languages)):
+                        there = places[k][at]
+                        far[k] = np.bincount(owner, weights=np.where(there < top, np.abs(there - place), top), minlength=high - low)
+                    far = far / np.maximum(1, np.bincount(owner, minlength=high - low) * top)
+                    best[low:high] = far.argmin(axis=0)
+                    score[low:high] = 1 - far.min(axis=0)
+                named = pa.array(languages, pa.string()).take(pa.array(best))
+                letters = part["letters"]
+                named = pa.compute.if_else(letters, named, "und")
+                own = pa.array(np.where(letters.to_numpy(zero_copy_only=False), np.clip(score, 0, 1), 0.0))
+                yield pa.RecordBatch.from_arrays([*(part[c] for c in carry), named, own], names=[*carry, "lang_pred", "score"])
 
     return predict
 
 
 def unseen(languages: int, top: int) -> np.ndarray:
-    """Places of all n-grams in each language, ``top`` for none: two bytes
-    each while they suffice, as every Python worker holds them all."""
+    """A row of numbers for all n-grams, ``top`` in each: two bytes each while
+    they suffice, as every Python worker holds them. A task needs one row, the
+    columns of a smaller table, however many languages there are."""
     return np.full((languages, GRAMS), top, np.min_scalar_type(-top - 1))
 
 
@@ -158,24 +178,17 @@ def predict(docs: DataFrame, model: DataFrame, *, text: str | Column = "text", k
     language, goes to the executors."""
     rows = model.collect()
     languages = sorted({r["lang"] for r in rows})
-    at = {x: i for i, x in enumerate(languages)}
-    places = unseen(len(languages), top)
-    for r in rows:
-        places[at[r["lang"]], r["gram"]] = r["place"]
-    text = F.col(text) if isinstance(text, str) else text
-    own = docs.select(*(F.col(c).alias(f"_{c}") for c in carry), text.alias("text")) if carry else docs.select(F.col(key).cast("long").alias("_doc_id"), text.alias("text"))
-    names = own.columns[:-1]
+    held = [F.col(c).alias(f"_{c}") for c in carry] or [F.col(key).cast("long").alias("_doc_id")]
+    sent = f"_{text}" if text in list(carry) else "text"  # a text that is carried goes to Python once
+    own = docs.select(*held) if sent != "text" else docs.select(*held, (F.col(text) if isinstance(text, str) else text).alias("text"))
+    names = own.columns[: len(held)]
     plain = [F.col(c).alias(c[1:]) for c in names]
     if not languages:
         return own.select(*plain, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    source = own.withColumn("letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    sparse = [(k, np.flatnonzero(p < top), p[p < top]) for k, p in enumerate(places)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        full = unseen(len(languages), top)
-        for k, gram, place in sparse:
-            full[k, gram] = place
-        yield from _predicted(languages, full, top, names)(batches)
-
+    source = own.withColumn("letters", F.coalesce(F.col(sent).rlike(r"\p{L}"), F.lit(False)))
+    profiles = []
+    for name in languages:
+        learnt = np.array([(r["gram"], r["place"]) for r in rows if r["lang"] == name], np.int64)
+        profiles.append((learnt[:, 0], learnt[:, 1]))
     schema = T.StructType([*(own.schema[c] for c in names), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return source.mapInArrow(run, schema).select(*plain, "lang_pred", "score")
+    return source.mapInArrow(_predicted(languages, profiles, top, names, sent), schema).select(*plain, "lang_pred", "score")

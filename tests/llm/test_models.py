@@ -164,3 +164,37 @@ def test_places_take_two_bytes_while_they_suffice():
     for top, size in ((100, 1), (400, 2), (32_767, 2), (40_000, 4)):
         held = language_id.unseen(2, top)
         assert held.itemsize == size and held.shape == (2, language_id.GRAMS) and held[1, -1] == top
+
+
+def test_a_task_needs_little_more_than_its_batch():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    words = ["".join(chr(97 + k) for k in rng.integers(0, 26, 6)) for _ in range(5000)]
+    texts = [" ".join(rng.choice(words, 300)) for _ in range(3000)]  # some 6 MB
+    batch = pa.RecordBatch.from_pydict({"_doc_id": list(range(3000)), "_text": texts, "text": texts, "lang": ["en", "de"] * 1500, "letters": [True] * 3000})
+    profile = lambda k: (np.arange(k, k + 400), np.arange(400))
+    tracemalloc.start()
+    try:
+        own = pa.RecordBatch.from_arrays([batch["lang"], batch["text"]], names=["lang", "text"])
+        assert sum(x.num_rows for x in language_id._counted(iter([own]))) > 0
+        counting = tracemalloc.get_traced_memory()[1]
+        tracemalloc.reset_peak()
+        sizes = [x.num_rows for x in language_id._predicted(["x", "y"], [profile(160), profile(500)], 400, ["_doc_id", "_text"], "_text")(iter([batch]))]
+        predicting = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(sizes) == 3000 and max(sizes) < 1000  # rows go back a part at a time
+    assert counting < 60e6 and predicting < 70e6, (counting, predicting)
+
+
+def test_a_carried_text_goes_to_python_once(spark, capsys):
+    frame = spark.createDataFrame([(1, "the cat", "en"), (2, "le chat", "fr"), (3, None, None)], SCHEMA + ", lang string")
+    found = language_id.predict(frame, language_id.train(frame), carry=frame.columns)
+    assert sorted((r.doc_id, r.text, r.lang_pred) for r in found.where("text is not null").collect()) == [(1, "the cat", "en"), (2, "le chat", "fr")]
+    found.explain("formatted")
+    assert "letters" in (plan := capsys.readouterr().out)
+    sent = next(x for x in plan.split("MapInArrow\nInput")[1].splitlines() if x)
+    assert sent.count("text") == 1, sent
