@@ -175,10 +175,14 @@ def streamed_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     from galvanite.streaming import campaigns as stream
     from galvanite.streaming.sinks import KeyedTable
 
-    events = ordinals.numbered(log.log(spark, sf_dir).withColumn("payload", log._payload()), ["campaign_id"], ["event_id"], name="_at")  # noqa: SLF001
-    events = kept(events.withColumn("campaign_position", F.col("_at")).drop("_at").repartition(F.pmod("event_id", F.lit(5))))  # files cut across campaigns
+    events = log.log(spark, sf_dir)
+    parts = max(5, parts_for(events, each=200_000))  # files and parts of the table, so tasks, grow with the log
+    events = ordinals.numbered(events, ["campaign_id"], ["event_id"], name="_at")
+    # payloads are made once, after the ranges; the files cut across campaigns
+    events = events.select("campaign_id", F.col("_at").alias("campaign_position"), "aggregate_type", "aggregate_id", "event_id", "event_type", "occurred_at", log._payload().alias("payload"))  # noqa: SLF001
+    events = kept(events.repartition(parts, F.pmod("event_id", F.lit(parts))))
     folder = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    target = KeyedTable(spark, f"{folder}/table", stream.FOLDED, ["campaign_id", "section", "key"], "applied", buckets=16)
+    target = KeyedTable(spark, f"{folder}/table", stream.FOLDED, ["campaign_id", "section", "key"], "applied", buckets=max(16, parts))
     store = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(store)
     stream.with_rocksdb(spark)
@@ -194,11 +198,11 @@ def streamed_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
         c = F.col(name)
         return (F.unix_micros(c) if kind == "timestamp" else c.cast("long") if kind.startswith("decimal") else c).cast("string")
 
-    parts = []
+    texts = []
     for name, (keys, fixed, free) in SECTIONS.items():
         rows, kinds = found[name], dict(found[name].dtypes)
-        parts.append(rows.select(F.lit(name).alias("section"), F.col("campaign_id").cast("long").alias("campaign_id"), F.concat_ws("|", *keys[1:]).alias("subject"), F.concat_ws("|", *(text(c, kinds[c]) for c in fixed + free)).alias("fields")))
-    out = parts[0]
-    for more in parts[1:]:
+        texts.append(rows.select(F.lit(name).alias("section"), F.col("campaign_id").cast("long").alias("campaign_id"), F.concat_ws("|", *keys[1:]).alias("subject"), F.concat_ws("|", *(text(c, kinds[c]) for c in fixed + free)).alias("fields")))
+    out = texts[0]
+    for more in texts[1:]:
         out = out.unionByName(more)
     return out

@@ -21,7 +21,7 @@ from galvanite.operators import replay
 PATCH = ["campaign_id", "campaign_position", "event_id", "section", "key", "body"]
 FOLDED = "campaign_id string, section string, key string, applied long, waiting long, body string"
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: Rows of a campaign that are kept in memory before they go to the state.
+#: Rows of a campaign, early events and reservations that are kept in memory before they go to the state.
 CACHED = 10_000
 
 
@@ -81,46 +81,80 @@ class CampaignFold(StatefulProcessor):
         pass
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        """Each call to the state is a message to the JVM: what a batch itself
+        brings stays in memory, up to ``CACHED`` of a kind, and a campaign
+        without state is asked nothing."""
         kept = self.next.get()
-        position, waiting = (kept[0], kept[1]) if kept else (1, 0)
+        position, stored = (kept[0], kept[1]) if kept else (1, 0)
+        self.known = {name: bool(kept) for name in ("rows", "open", "settled")}  # whether the state may hold some of these
+        self.opened, self.closed = {}, set()
+        early: dict[int, tuple] = {}
         changed: dict[tuple[str, str], dict] = {}
         for row in rows:
             at = row["campaign_position"]
             if at is None or at < position:
                 continue
+            said = (row["event_id"], row["section"], row["key"], row["body"])
             if at > position:
-                if not self.held.containsKey((at,)):
-                    self.held.updateValue((at,), (row["event_id"], row["section"], row["key"], row["body"]))
-                    waiting += 1
+                if at not in early and not (stored and self.held.containsKey((at,))):
+                    if len(early) < CACHED:
+                        early[at] = said
+                    else:
+                        self.held.updateValue((at,), said)
+                        stored += 1
                 continue
-            self._apply(changed, row["section"], row["key"], row["body"])
-            position += 1
-            while waiting and self.held.containsKey((position,)):
-                early = self.held.getValue((position,))
-                self.held.removeKey((position,))
-                self._apply(changed, early[1], early[2], early[3])
-                position, waiting = position + 1, waiting - 1
+            while said:
+                self._apply(changed, *said[1:])
+                position += 1
+                said = early.pop(position, None)
+                if said is None and stored and self.held.containsKey((position,)):
+                    said = self.held.getValue((position,))
+                    self.held.removeKey((position,))
+                    stored -= 1
                 if len(changed) >= CACHED:
-                    yield from self._given(key[0], changed, position - 1, waiting)
-            if len(changed) >= CACHED:
-                yield from self._given(key[0], changed, position - 1, waiting)
+                    yield from self._given(key[0], changed, position - 1, len(early) + stored + (said is not None))
+        for at, said in early.items():
+            self.held.updateValue((at,), said)
+        waiting = stored + len(early)
         self.next.update((position, waiting))
+        self._entries_stored()
         yield from self._given(key[0], changed, position - 1, waiting)
 
     def _given(self, campaign: str, changed: dict, applied: int, waiting: int) -> Iterator[Row]:
+        self.known["rows"] = self.known["rows"] or bool(changed)
         for (section, key), body in changed.items():
             text = json.dumps(body)
             self.rows.updateValue((section, key), (text,))
             yield Row(campaign_id=campaign, section=section, key=key, applied=applied, waiting=waiting, body=text)
         changed.clear()
 
+    def _entries_stored(self) -> None:
+        """Moves the reservations that a batch opened or settled to the state."""
+        for entry, amount in self.opened.items():
+            self.open.updateValue((entry,), (amount,))
+        for entry in self.closed:
+            self.settled.updateValue((entry,), (True,))
+        self.known["open"], self.known["settled"] = self.known["open"] or bool(self.opened), self.known["settled"] or bool(self.closed)
+        self.opened, self.closed = {}, set()
+
+    def _is_settled(self, entry: str) -> bool:
+        return entry in self.closed or (self.known["settled"] and self.settled.containsKey((entry,)))
+
+    def _taken(self, entry: str) -> str | None:
+        """The amount of an open reservation, which is open no more."""
+        amount = self.opened.pop(entry, None)
+        if self.known["open"] and self.open.containsKey((entry,)):
+            amount = amount or self.open.getValue((entry,))[0]
+            self.open.removeKey((entry,))
+        return amount
+
     def _apply(self, changed: dict, section: str | None, key: str | None, body: str | None) -> None:
         if section is None or body is None:
             return
         name = (section, key or "[]")
         now = changed.get(name)
         if now is None:
-            now = json.loads(self.rows.getValue(name)[0]) if self.rows.containsKey(name) else None
+            now = json.loads(self.rows.getValue(name)[0]) if self.known["rows"] and self.rows.containsKey(name) else None
         said = json.loads(body)
         if section == "budget":
             changed[name] = self._entered(now or dict.fromkeys(("reserved", "consumed", "released", "adjusted_up", "adjusted_down", "outstanding"), "0"), said)
@@ -138,16 +172,18 @@ class CampaignFold(StatefulProcessor):
             add(kind, amount)
         if kind in ("adjusted_up", "adjusted_down"):
             add("consumed", amount if kind == "adjusted_up" else -amount)
-        if kind == "reserved" and not (entry["entry"] and self.settled.containsKey((entry["entry"],))):
+        if kind == "reserved" and not (entry["entry"] and self._is_settled(entry["entry"])):
             add("outstanding", amount)
             if entry["entry"]:
-                self.open.updateValue((entry["entry"],), (str(amount),))
+                self.opened[entry["entry"]] = str(amount)
         settles = entry["settles"]
-        if kind in ("consumed", "released") and settles and not self.settled.containsKey((settles,)):
-            self.settled.updateValue((settles,), (True,))
-            if self.open.containsKey((settles,)):
-                add("outstanding", -Decimal(self.open.getValue((settles,))[0]))
-                self.open.removeKey((settles,))
+        if kind in ("consumed", "released") and settles and not self._is_settled(settles):
+            self.closed.add(settles)
+            taken = self._taken(settles)
+            if taken is not None:
+                add("outstanding", -Decimal(taken))
+        if len(self.opened) + len(self.closed) >= CACHED:
+            self._entries_stored()
         return sums
 
 
@@ -159,7 +195,7 @@ def fold(events: DataFrame) -> DataFrame:
     Events as for ``replay.sections``. Within a campaign, positions count from
     1 and reservations have ids of their own. State grows with the rows of a
     campaign's sections, as the tables do, and with what a gap holds back; a
-    batch keeps at most ``CACHED`` of them in memory."""
+    batch keeps at most ``CACHED`` of a kind in memory."""
     return patches(events).groupBy("campaign_id").transformWithState(CampaignFold(), FOLDED, "Update", "None")
 
 

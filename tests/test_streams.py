@@ -178,3 +178,72 @@ def test_results_are_judged_by_event_time(spark, tmp_path, split):
     batches += [[row("tick", "t", 1, "lease", 59)], [row("tick", "u", 1, "lease", 59)]]
     found, _ = streamed(spark, tmp_path, batches, RESULTS, ["at"], lambda s: leases.judged_results(s, "at", "20 minutes"), f"judged_{len(split)}")
     assert sorted((e, s) for _, e, _, s in found) == [("3", "received"), ("4", "accepted"), ("5", "duplicate_suppressed"), ("6", "accepted"), ("8", "accepted")]
+
+
+class _Kept(dict):
+    """A state that counts what it is asked."""
+
+    def __init__(self):
+        super().__init__()
+        self.reads = self.writes = 0
+
+    def get(self):
+        return super().get("v")
+
+    def update(self, value):
+        self["v"] = value
+
+    def containsKey(self, key):
+        self.reads += 1
+        return key in self
+
+    def getValue(self, key):
+        self.reads += 1
+        return self[key]
+
+    def updateValue(self, key, value):
+        self.writes += 1
+        self[key] = value
+
+    def removeKey(self, key):
+        self.writes += 1
+        del self[key]
+
+
+def _folded(monkeypatch, batches, cached=10_000):
+    monkeypatch.setattr(campaigns, "CACHED", cached)
+    states = {}
+    make = lambda name, *_: states.setdefault(name, _Kept())
+    fold = campaigns.CampaignFold()
+    fold.init(type("Handle", (), {"getValueState": staticmethod(make), "getMapState": staticmethod(make)}))
+    newest = {}
+    for rows in batches:
+        for r in fold.handleInputRows(("1",), iter(rows), None):
+            newest[r.section, r.key] = (r.applied, r.waiting, json.loads(r.body))
+    return newest, states
+
+
+def test_a_batch_asks_the_state_for_what_it_does_not_hold(monkeypatch):
+    entry = lambda **x: json.dumps({"entry": None, "kind": None, "amount": None, "unit": "h", "settles": None} | x)
+    events = []
+    for n in range(1, 301):
+        if n % 3 == 0:
+            said = ("budget", "[]", entry(entry=f"e{n}", kind="reserved", amount=str(n)))
+        elif n % 3 == 1:
+            said = ("budget", "[]", entry(entry=f"c{n}", kind="consumed", amount="1", settles=f"e{n - 1 if n % 2 else n + 2}"))  # some settle what comes later
+        else:
+            said = ("jobs", f'["{n % 7}"]', json.dumps({"first": {"a": n}, "last": {"b": n}}))
+        events.append({"campaign_position": n, "event_id": str(n), "section": said[0], "key": said[1], "body": said[2]})
+    shuffled = random.Random(5).sample(events, len(events))
+    plain, _ = _folded(monkeypatch, [[e] for e in events])  # in order, each by itself
+    whole, states = _folded(monkeypatch, [shuffled + shuffled[:50]])
+    bodies = lambda found: {k: v[2] for k, v in found.items()}
+    assert bodies(whole) == bodies(plain)
+    assert states["next"].get() == (301, 0) and all(v[:2] == (300, 0) for v in whole.values())
+    assert not states["held"] and states["held"].reads + states["held"].writes == 0
+    assert sum(states[n].reads for n in ("rows", "open", "settled")) == 0
+    assert states["rows"].writes == 8
+    for cached in (1, 4, 37):  # little room: held events and reservations go to the state and come back
+        for cuts in (1, 2, 9):
+            found, states = _folded(monkeypatch, [shuffled[k::cuts] for k in range(cuts)], cached)
+            assert bodies(found) == bodies(plain) and not states["held"] and states["next"].get() == (301, 0)
