@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from galvanite.operators import mapping
 
@@ -58,10 +59,16 @@ def descriptors(observations: DataFrame, series: DataFrame, assertions: DataFram
 
 def value_paths(series: DataFrame, points: DataFrame) -> DataFrame:
     """(observation_id, path, series_id) of the wide table: a path for each
-    column's header and each cell. ``points`` has (observation_id, series_id, row)."""
-    heads = series.select("observation_id", F.concat(F.lit("/resources/0/data/header/"), "source_column").alias("path"), "series_id")
-    cells = points.join(series.select("observation_id", "series_id", "source_column"), ["observation_id", "series_id"])
-    return heads.unionByName(cells.select("observation_id", F.concat(F.lit("/resources/0/data/rows/"), F.col("row").cast("string"), F.lit("/"), "source_column").alias("path"), "series_id"))
+    column's header and each cell. ``points`` has (observation_id, series_id, row).
+    Tables that are both partitioned by observation_id are not shuffled."""
+    # a window over both tables, as a join by two keys would shuffle by both
+    heads = series.select("observation_id", "series_id", F.struct("source_column").alias("_head"), F.lit(None).alias("row"))
+    cells = points.where("observation_id is not null and series_id is not null").select("observation_id", "series_id", F.lit(None).alias("_head"), "row")
+    columns = F.collect_set("_head").over(Window.partitionBy("observation_id", "series_id"))
+    rows = heads.unionByName(cells).withColumn("_columns", columns)
+    each = rows.select("*", F.explode(F.when(F.col("_head").isNotNull(), F.array("_head")).otherwise(F.col("_columns"))).alias("_c"))
+    place = F.when(F.col("_head").isNotNull(), F.lit("header/")).otherwise(F.concat(F.lit("rows/"), F.col("row").cast("string"), F.lit("/")))
+    return each.select("observation_id", F.concat(F.lit("/resources/0/data/"), place, F.col("_c.source_column")).alias("path"), "series_id")
 
 
 def exported(documents: DataFrame, series: DataFrame, points: DataFrame) -> DataFrame:
@@ -69,37 +76,61 @@ def exported(documents: DataFrame, series: DataFrame, points: DataFrame) -> Data
     return mapping.exported_paths(documents, "observation_id", "descriptor").unionByName(value_paths(series, points).select("observation_id", "path"))
 
 
+def _trace(rows: DataFrame, path: Column, kind: str, source: str) -> DataFrame:
+    return rows.select("observation_id", path.alias("path"), F.lit(kind).alias("source_kind"), F.col(source).cast("string").alias("source_id"))
+
+
 def traces(observations: DataFrame, series: DataFrame, points: DataFrame, assertions: DataFrame) -> DataFrame:
     """(observation_id, path, source_kind, source_id) of each path's source:
     made from the evidence alone, without looking at what was exported."""
-    trace = lambda rows, path, kind, source: rows.select("observation_id", path.alias("path"), F.lit(kind).alias("source_kind"), F.col(source).cast("string").alias("source_id"))
+    return _described(observations, series, assertions).unionByName(_trace(value_paths(series, points), F.col("path"), "series", "series_id"))
+
+
+def _described(observations: DataFrame, series: DataFrame, assertions: DataFrame) -> DataFrame:
+    """The traces of the descriptor's paths."""
     known = assertions.sparkSession.createDataFrame(list(ASSERTED.items()), "field_name string, path string")
-    asserted = trace(assertions.where("value is not null").join(F.broadcast(known), "field_name"), F.col("path"), "assertion", "assertion_id")
+    asserted = _trace(assertions.where("value is not null").join(F.broadcast(known), "field_name"), F.col("path"), "assertion", "assertion_id")
     keys = F.explode(F.array(*(F.struct(F.lit(parent).alias("parent"), F.lit(k).alias("k")) for parent in FIELD_LISTS for k in ("name", "type", "unit"))))
     each = series.withColumn("f", keys).where("f.k <> 'unit' or unit is not null")
-    listed = trace(each, F.concat("f.parent", F.lit("/"), F.col("at").cast("string"), F.lit("/"), "f.k"), "series", "series_id")
-    values = trace(value_paths(series, points), F.col("path"), "series", "series_id")
+    listed = _trace(each, F.concat("f.parent", F.lit("/"), F.col("at").cast("string"), F.lit("/"), "f.k"), "series", "series_id")
     own = ["/name", "/resources/0/name", "/resources/0/path"]
-    whole = trace(observations.withColumn("p", F.explode(F.array(*map(F.lit, own)))), F.col("p"), "observation", "observation_id")
-    files = trace(observations.where("filename is not null"), F.lit(FILENAME), "observation", "observation_id")
-    return reduce(DataFrame.unionByName, (asserted, listed, values, whole, files))
+    files = F.when(F.col("filename").isNotNull(), FILENAME)
+    whole = _trace(observations.withColumn("p", F.explode(F.array(*map(F.lit, own), files))).where("p is not null"), F.col("p"), "observation", "observation_id")
+    return reduce(DataFrame.unionByName, (asserted, listed, whole))
+
+
+def sides(observations: DataFrame, series: DataFrame, points: DataFrame, assertions: DataFrame, parts: int | None = None) -> DataFrame:
+    """(observation_id, path, traced, source_kind, source_id): what the
+    exchanges export (not traced) and the traces, for ``judged``. If all four
+    tables are partitioned by observation_id into ``parts``, no path is
+    shuffled but in the lists of ``mapping.exported_paths``."""
+    documents = descriptors(observations, series, assertions)
+    values = _trace(value_paths(series, points), F.col("path"), "series", "series_id").withColumn("traced", F.explode(F.array(F.lit(False), F.lit(True))))
+    described = _described(observations, series, assertions).withColumn("traced", F.lit(True))
+    return _exported(mapping.exported_paths(documents, "observation_id", "descriptor", parts)).unionByName(described).unionByName(values)
+
+
+def _exported(paths: DataFrame) -> DataFrame:
+    return paths.select("observation_id", "path", F.lit(False).alias("traced"), *(F.lit(None).cast("string").alias(c) for c in ("source_kind", "source_id")))
 
 
 #: Objects that the descriptor always has: empty, they are leaves of its structure.
 STRUCTURE = (f"{_META}/source", f"{_META}/system/electrolyte", f"{_META}/curation", *FIELD_LISTS)
 
 
-def proof(paths: DataFrame, traced: DataFrame, parts: int | None = None) -> DataFrame:
+def proof(paths: DataFrame, traced: DataFrame) -> DataFrame:
+    """``judged`` of exported paths and their traces."""
+    return judged(_exported(paths).unionByName(traced.withColumn("traced", F.lit(True))))
+
+
+def judged(sides: DataFrame) -> DataFrame:
     """(observation_id, problem, path): ``untraced`` exported paths, traces of
     paths that aren't exported (``not_exported``), and paths with several
     sources (``traced_twice``). A sound exchange gives no row."""
     # both sides meet in one aggregate whose sums have a fixed width; sources are told apart by 128 bits of their hashes
-    source = lambda seed: F.when(F.col("source_kind").isNotNull() & F.col("source_id").isNotNull(), F.xxhash64(F.lit(seed), "source_kind", "source_id"))
-    own = traced.select("observation_id", "path", F.lit(True).alias("_t"), source(1).alias("_h"), source(2).alias("_g"))
-    sides = own.unionByName(paths.select("observation_id", "path", F.lit(False).alias("_t"), *(F.lit(None).cast("long").alias(h) for h in ("_h", "_g"))))
-    if parts:
-        sides = sides.repartition(parts, "observation_id")
+    source = lambda seed: F.when(F.col("traced") & F.col("source_kind").isNotNull() & F.col("source_id").isNotNull(), F.xxhash64(F.lit(seed), "source_kind", "source_id"))
+    rows = sides.select("observation_id", "path", F.col("traced").alias("_t"), source(1).alias("_h"), source(2).alias("_g"))
     many = (F.min("_h") != F.max("_h")) | (F.min("_g") != F.max("_g"))
-    both = sides.groupBy("observation_id", "path").agg(F.max("_t").alias("_traced"), F.min("_t").alias("_only"), many.alias("_many"))
+    both = rows.groupBy("observation_id", "path").agg(F.max("_t").alias("_traced"), F.min("_t").alias("_only"), many.alias("_many"))
     problem: Column = F.when(~F.col("_traced") & ~F.col("path").isin(*STRUCTURE), "untraced").when(F.col("_only"), "not_exported").when(F.col("_many"), "traced_twice")
     return both.withColumn("problem", problem).where("problem is not null").select("observation_id", "problem", "path")

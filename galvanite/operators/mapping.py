@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -22,44 +21,56 @@ def leaves(value: object, path: str = "") -> Iterator[str]:
         yield from leaves(child, f"{path}/{name}")
 
 
-#: A JSON string, and the colon after it if it is a key.
-_STRING = re.compile(r'"(?:[^"\\]|\\.)*"(\s*:)?', re.DOTALL)
 #: Shapes of documents whose paths a task keeps.
 _SHAPES = 10_000
 
 
-def exported_paths(documents: DataFrame, key: str, text: str) -> DataFrame:
+def _shape(body: str) -> tuple[str, str] | None:
+    """A JSON text without the strings that are no keys: what is between the
+    strings, and the keys. None if strings may hold what must be looked at."""
+    if "\\" in body or not body.isprintable():
+        return None
+    parts = body.split('"')
+    if len(parts) % 2 == 0:  # a quote without its fellow
+        return None
+    keys = [s for s, after in zip(parts[1::2], parts[2::2], strict=True) if after.lstrip().startswith(":")]
+    return '"'.join(parts[::2]), '"'.join(keys)
+
+
+def exported_paths(documents: DataFrame, key: str, text: str, parts: int | None = None) -> DataFrame:
     """(key, path) for every leaf of every JSON document, once each; a text
     that is no JSON has the path ``!``. Documents that differ only in their
-    strings have the same paths, which a task lists once."""
+    strings have the same paths, which a task lists once. ``parts``: lists of
+    paths are partitioned by the key into so many, before each path is a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shapes: dict[str, list[str]] = {}
+        shapes: dict[tuple[str, str], pa.Array] = {}
+        none = pa.array(["!"], pa.string())
         for batch in batches:
-            flat, counts = [], []
+            listed = []
             for body in batch["t"].to_pylist():
                 try:
-                    value = json.loads(body)
-                    shape = _STRING.sub(lambda m: m[0] if m[1] else '""', body)
+                    shape = _shape(body)
                     found = shapes.get(shape)
                     if found is None:
-                        if len(shapes) >= _SHAPES:
-                            shapes.clear()
-                        found = shapes[shape] = sorted(set(leaves(value)))
-                except (TypeError, ValueError):
-                    found = ["!"]
-                flat += found
-                counts.append(len(found))
-            yield pa.RecordBatch.from_arrays([batch["k"], lists(flat, counts, pa.string())], names=["k", "paths"])
+                        found = pa.array(sorted(set(leaves(json.loads(body)))), pa.string())
+                        if shape:
+                            if len(shapes) >= _SHAPES:
+                                shapes.clear()
+                            shapes[shape] = found
+                except (AttributeError, TypeError, ValueError):
+                    found = none
+                listed.append(found)
+            ends = pa.array([0, *accumulate(map(len, listed))], pa.int32())
+            paths = pa.ListArray.from_arrays(ends, pa.concat_arrays(listed or [none]))
+            yield pa.RecordBatch.from_arrays([batch["k"], paths], names=["k", "paths"])
 
     kind = dict(documents.dtypes)[key]
     named = documents.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, paths array<string>")
-    return named.select(F.col("k").alias(key), F.explode("paths").alias("path"))
-
-
-def lists(values: list[str], counts: list[int], kind: pa.DataType) -> pa.ListArray:
-    """A list column from flat values and each row's count."""
-    return pa.ListArray.from_arrays(pa.array([0, *accumulate(counts)], pa.int32()), pa.array(values, kind))
+    named = named.select(F.col("k").alias(key), "paths")
+    if parts:
+        named = named.repartition(parts, key)  # Python hides where rows lie; equal lists, side by side, take few bytes
+    return named.select(key, F.explode("paths").alias("path"))
 
 
 def mapping_problems(entries: DataFrame, required: DataFrame, key: str) -> DataFrame:

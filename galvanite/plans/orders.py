@@ -139,21 +139,26 @@ def package_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 UNION ALL SELECT l_orderkey, 'traced_twice', '/resources/0/data/rows/0/c1' FROM lineitem WHERE l_orderkey % 23 = 0 AND l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY l_orderkey HAVING count(*) > 1""")
 def exchange_proof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of all orders and the sources of their paths, some of which are lost, invented or named twice."""
-    orders = table(spark, sf_dir, "orders")
-    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")) - 1
-    lines = table(spark, sf_dir, "lineitem").withColumn("at", place.cast("int")).join(orders.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
+    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    parts = parts_for(orders, lines, each=50_000)  # a line has some 15 paths on both sides
+    # both tables are shuffled once, narrow, by observation; the paths that are made of them stay where they are.
+    # All uses of the lines need the same columns, and so share a shuffle
+    orders = orders.repartition(parts, "o_orderkey")
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")) - 1
+    lines = lines.repartition(parts, "l_orderkey").withColumn("at", place.cast("int"))
+    lines = lines.join(orders.select(F.col("o_orderkey").alias("l_orderkey")).distinct(), "l_orderkey")  # a semi-join would be moved before the shuffle
     observations = orders.select(F.col("o_orderkey").alias("observation_id"), F.concat(F.lit("f"), "o_custkey").alias("filename"))
     name = F.concat_ws("-", "l_orderkey", "at")
     series = lines.select(F.col("l_orderkey").alias("observation_id"), name.alias("series_id"), "at", F.concat(F.lit("c"), "at").alias("source_column"), F.col("l_returnflag").alias("unit"))
     points = lines.select(F.col("l_orderkey").alias("observation_id"), name.alias("series_id"), F.lit(0).alias("row"))
-    said = lambda field, value: orders.select(F.col("o_orderkey").alias("observation_id"), F.lit(field).alias("field_name"), F.concat(F.lit("a"), "o_orderkey", F.lit(field)).alias("assertion_id"), value.alias("value"))
-    assertions = said("exchange.source.url", F.col("o_orderpriority")).unionByName(said("exchange.experimental", F.when(F.col("o_orderstatus") == "F", "yes")))
-    parts = parts_for(orders, table(spark, sf_dir, "lineitem"), each=100_000)  # a line has some 15 paths on both sides
-    paths = exchange.exported(exchange.descriptors(observations.repartition(parts, "observation_id"), series, assertions), series, points)
-    traced = exchange.traces(observations, series, points, assertions).where("not (path like '%/url' and observation_id % 17 = 0)")
-    invented = orders.where("o_orderkey % 19 = 0").select(F.col("o_orderkey").alias("observation_id"), F.lit("/nowhere").alias("path"), F.lit("assertion").alias("source_kind"), F.lit("x").alias("source_id"))
-    second = lines.where("at = 1 and l_orderkey % 23 = 0").select(F.col("l_orderkey").alias("observation_id"), F.lit("/resources/0/data/rows/0/c1").alias("path"), F.lit("assertion").alias("source_kind"), F.lit("x").alias("source_id"))
-    return exchange.proof(paths, traced.unionByName(invented).unionByName(second), parts)
+    said = lambda field, value: F.struct(F.lit(field).alias("field_name"), F.concat(F.lit("a"), "o_orderkey", F.lit(field)).alias("assertion_id"), value.alias("value"))
+    fields = F.array(said("exchange.source.url", F.col("o_orderpriority")), said("exchange.experimental", F.when(F.col("o_orderstatus") == "F", "yes")))
+    assertions = orders.select(F.col("o_orderkey").alias("observation_id"), F.inline(fields))
+    sides = exchange.sides(observations, series, points, assertions, parts).where("not (traced and path like '%/url' and observation_id % 17 = 0)")
+    more = lambda rows, path: rows.select("observation_id", F.lit(path).alias("path"), F.lit(True).alias("traced"), F.lit("assertion").alias("source_kind"), F.lit("x").alias("source_id"))
+    invented = more(observations.where("observation_id % 19 = 0"), "/nowhere")
+    second = more(series.where("at = 1 and observation_id % 23 = 0"), "/resources/0/data/rows/0/c1")
+    return exchange.judged(sides.unionByName(invented).unionByName(second))
 
 
 _ITEM = {"campaigns": "''", "work_items": "CAST(work_item_id AS VARCHAR)", "jobs": "CAST(job_id AS VARCHAR)", "attempts": "CAST(attempt_id AS VARCHAR)", "observations": "concat_ws('|', attempt_id, observation_id)"}
