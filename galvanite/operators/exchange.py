@@ -8,6 +8,7 @@ path without a trace, and no trace of what wasn't exported."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -37,24 +38,40 @@ def descriptors(observations: DataFrame, series: DataFrame, assertions: DataFram
     """(observation_id, descriptor): one nested document for each observation.
 
     ``observations`` has (observation_id, filename), ``series``
-    (observation_id, at, source_column, unit; at counts from 0),
+    (observation_id, series_id, at, source_column, unit; at counts from 0),
     ``assertions`` (observation_id, field_name, assertion_id, value). What
     isn't asserted is absent; an observation without series has empty lists."""
-    said = assertions.where(F.col("field_name").isin(*ASSERTED)).groupBy("observation_id").agg(F.map_from_entries(F.collect_list(F.struct("field_name", "value"))).alias("said"))
-    listed = series.groupBy("observation_id").agg(F.sort_array(F.collect_list(F.struct("at", "source_column", "unit"))).alias("s"))
-    rows = observations.select("observation_id", "filename").join(listed, "observation_id", "left").join(said, "observation_id", "left")
-    value = lambda f: F.try_element_at("said", F.lit(f))
-    fields = F.transform(F.coalesce("s", F.array().cast("array<struct<at:int,source_column:string,unit:string>>")), lambda x: F.struct(x["source_column"].alias("name"), F.lit("number").alias("type"), x["unit"].alias("unit")))
+    return _gathered(observations, series, assertions).where("known").select("observation_id", _descriptor().alias("descriptor"))
+
+
+def _gathered(observations: DataFrame, series: DataFrame, assertions: DataFrame) -> DataFrame:
+    """(observation_id, known, filename, s, said, values, fields): a row for
+    each observation, with its series in order and its assertions. Those that
+    ``observations`` lacks are not known. Partitioned tables are not shuffled."""
+    said = assertions.where(F.col("field_name").isin(*ASSERTED))
+    parts = {"_o": (observations, "filename"), "_s": (series, "at source_column unit series_id"), "_a": (said, "field_name value assertion_id")}
+    rows = [t.select("observation_id", F.struct(*names.split()).alias(n)) for n, (t, names) in parts.items()]
+    lists = {n: F.collect_list(n).alias(n) for n in parts}
+    each = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows).groupBy("observation_id").agg(*lists.values())
+    each = each.select("observation_id", F.explode_outer("_o").alias("o"), F.sort_array("_s").alias("s"), F.col("_a").alias("said"))
+    values = F.map_from_entries(F.transform("said", lambda a: F.struct(a["field_name"], a["value"])))
+    fields = F.transform("s", lambda x: F.struct(x["source_column"].alias("name"), F.lit("number").alias("type"), x["unit"].alias("unit")))
+    return each.select("observation_id", F.col("o").isNotNull().alias("known"), "o.filename", "s", "said", values.alias("values"), fields.alias("fields"))
+
+
+def _descriptor() -> Column:
+    """The document of a row of ``_gathered``."""
+    value = lambda f: F.try_element_at("values", F.lit(f))
     of = lambda **parts: F.struct(*(c.alias(k) for k, c in parts.items()))
     echemdb = of(
         source=of(citationKey=value("exchange.source.citation_key"), url=value("exchange.source.url"), originalFilename=F.col("filename")),
         system=of(type=value("exchange.system.type"), electrolyte=of(type=value("exchange.electrolyte.type")), electrodes=value("exchange.electrodes")),
-        figureDescription=of(type=value("exchange.figure.type"), measurementType=value("exchange.measurement_type"), fields=fields),
+        figureDescription=of(type=value("exchange.figure.type"), measurementType=value("exchange.measurement_type"), fields=F.col("fields")),
         curation=of(process=value("exchange.curation.process")), experimental=value("exchange.experimental"),
     )
     name = F.concat(F.lit("observation-"), F.col("observation_id"))
-    resource = of(name=name, path=F.concat(name, F.lit(".csv")), schema=of(fields=fields), metadata=of(echemdb=echemdb))
-    return rows.select("observation_id", F.to_json(of(name=name, resources=F.array(resource))).alias("descriptor"))
+    resource = of(name=name, path=F.concat(name, F.lit(".csv")), schema=of(fields=F.col("fields")), metadata=of(echemdb=echemdb))
+    return F.to_json(of(name=name, resources=F.array(resource)))
 
 
 def value_paths(series: DataFrame, points: DataFrame) -> DataFrame:
@@ -76,51 +93,64 @@ def exported(documents: DataFrame, series: DataFrame, points: DataFrame) -> Data
     return mapping.exported_paths(documents, "observation_id", "descriptor").unionByName(value_paths(series, points).select("observation_id", "path"))
 
 
-def _trace(rows: DataFrame, path: Column, kind: str, source: str) -> DataFrame:
-    return rows.select("observation_id", path.alias("path"), F.lit(kind).alias("source_kind"), F.col(source).cast("string").alias("source_id"))
-
-
 def traces(observations: DataFrame, series: DataFrame, points: DataFrame, assertions: DataFrame) -> DataFrame:
     """(observation_id, path, source_kind, source_id) of each path's source:
     made from the evidence alone, without looking at what was exported."""
-    return _described(observations, series, assertions).unionByName(_trace(value_paths(series, points), F.col("path"), "series", "series_id"))
-
+    described = _gathered(observations, series, assertions).select("observation_id", F.inline(_described()))
+    return described.unionByName(_valued(series, points))
 
-def _described(observations: DataFrame, series: DataFrame, assertions: DataFrame) -> DataFrame:
-    """The traces of the descriptor's paths."""
-    known = assertions.sparkSession.createDataFrame(list(ASSERTED.items()), "field_name string, path string")
-    asserted = _trace(assertions.where("value is not null").join(F.broadcast(known), "field_name"), F.col("path"), "assertion", "assertion_id")
-    keys = F.explode(F.array(*(F.struct(F.lit(parent).alias("parent"), F.lit(k).alias("k")) for parent in FIELD_LISTS for k in ("name", "type", "unit"))))
-    each = series.withColumn("f", keys).where("f.k <> 'unit' or unit is not null")
-    listed = _trace(each, F.concat("f.parent", F.lit("/"), F.col("at").cast("string"), F.lit("/"), "f.k"), "series", "series_id")
-    own = ["/name", "/resources/0/name", "/resources/0/path"]
-    files = F.when(F.col("filename").isNotNull(), FILENAME)
-    whole = _trace(observations.withColumn("p", F.explode(F.array(*map(F.lit, own), files))).where("p is not null"), F.col("p"), "observation", "observation_id")
-    return reduce(DataFrame.unionByName, (asserted, listed, whole))
 
+def _valued(series: DataFrame, points: DataFrame) -> DataFrame:
+    return value_paths(series, points).select("observation_id", "path", F.lit("series").alias("source_kind"), F.col("series_id").cast("string").alias("source_id"))
 
-def sides(observations: DataFrame, series: DataFrame, points: DataFrame, assertions: DataFrame, parts: int | None = None) -> DataFrame:
-    """(observation_id, path, traced, source_kind, source_id): what the
-    exchanges export (not traced) and the traces, for ``judged``. If all four
-    tables are partitioned by observation_id into ``parts``, no path is
-    shuffled but in the lists of ``mapping.exported_paths``."""
-    documents = descriptors(observations, series, assertions)
-    values = _trace(value_paths(series, points), F.col("path"), "series", "series_id").withColumn("traced", F.explode(F.array(F.lit(False), F.lit(True))))
-    described = _described(observations, series, assertions).withColumn("traced", F.lit(True))
-    return _exported(mapping.exported_paths(documents, "observation_id", "descriptor", parts)).unionByName(described).unionByName(values)
 
-
-def _exported(paths: DataFrame) -> DataFrame:
-    return paths.select("observation_id", "path", F.lit(False).alias("traced"), *(F.lit(None).cast("string").alias(c) for c in ("source_kind", "source_id")))
+def _described(paths_only: bool = False) -> Column:
+    """The traces of a descriptor's paths, of a row of ``_gathered``."""
+    trace = lambda path, kind, source: path if paths_only else F.struct(path.alias("path"), F.lit(kind).alias("source_kind"), source.cast("string").alias("source_id"))
+    own = lambda path: trace(F.lit(path), "observation", F.col("observation_id"))
+    whole = F.array(*(F.when(F.col("known"), own(p)) for p in ("/name", "/resources/0/name", "/resources/0/path")), F.when(F.col("filename").isNotNull(), own(FILENAME)))
+    field = lambda x, parent, k: trace(F.concat(F.lit(f"{parent}/"), x["at"].cast("string"), F.lit(f"/{k}")), "series", x["series_id"])
+    named = lambda x, parent: (field(x, parent, "name"), field(x, parent, "type"), F.when(x["unit"].isNotNull(), field(x, parent, "unit")))
+    listed = F.flatten(F.transform("s", lambda x: F.array(*named(x, FIELD_LISTS[0]), *named(x, FIELD_LISTS[1]))))
+    places = F.create_map(*(F.lit(text) for pair in ASSERTED.items() for text in pair))
+    asserted = F.transform(F.filter("said", lambda a: a["value"].isNotNull()), lambda a: trace(places[a["field_name"]], "assertion", a["assertion_id"]))
+    return F.filter(F.concat(whole, listed, asserted), lambda t: t.isNotNull())
 
 
 #: Objects that the descriptor always has: empty, they are leaves of its structure.
 STRUCTURE = (f"{_META}/source", f"{_META}/system/electrolyte", f"{_META}/curation", *FIELD_LISTS)
 
 
+def sides(observations: DataFrame, series: DataFrame, points: DataFrame, assertions: DataFrame, others: DataFrame, lost: Callable[[Column], Column], parts: int) -> DataFrame:
+    """(observation_id, path, exported, traced, source_kind, source_id) for
+    ``judged``: what the exchanges export and its traces, with those of
+    ``others`` and without descriptor paths that are ``lost``.
+
+    A descriptor whose paths are all traced once stays out, if its observation
+    has no other traces: paths of values are others than a descriptor's. All
+    tables are partitioned by observation_id into ``parts``, and what is made
+    of them stays there; Python hides that, so unsound descriptors move again."""
+    marked = others.select("observation_id").distinct().withColumn("_marked", F.lit(True))
+    stays = lambda path: ~F.coalesce(lost(path), F.lit(False))
+    rows = _gathered(observations, series, assertions).join(marked, "observation_id", "left")
+    rows = rows.select("observation_id", "known", "filename", "s", "said", "_marked", F.filter(_described(paths_only=True), stays).alias("_traced"), mapping.paths_of(_descriptor()).alias("_paths"))
+    paths, traced = F.when(F.col("known"), F.col("_paths")).otherwise(F.array().cast("array<string>")), F.col("_traced")
+    sound = F.col("observation_id").isNotNull() & F.col("_marked").isNull() & (F.size(F.array_distinct(traced)) == F.size(traced))
+    sound = sound & (F.size(F.array_except(traced, paths)) == 0) & (F.size(F.array_except(paths, F.concat(traced, F.array(*map(F.lit, STRUCTURE))))) == 0)
+    unsound = rows.where(~sound).select("observation_id", "known", "filename", "s", "said", paths.alias("_paths")).repartition(parts, "observation_id")
+    side = lambda path, exported, traced, kind, source: F.struct(path.alias("path"), F.lit(exported).alias("exported"), F.lit(traced).alias("traced"), kind.alias("source_kind"), source.alias("source_id"))
+    none = F.lit(None).cast("string")
+    traces = F.filter(_described(), lambda t: stays(t["path"]))
+    both = F.concat(F.transform("_paths", lambda p: side(p, True, False, none, none)), F.transform(traces, lambda t: side(t["path"], False, True, t["source_kind"], t["source_id"])))
+    values = _valued(series, points).withColumns({"exported": F.lit(True), "traced": F.lit(True)})
+    more = others.withColumns({"exported": F.lit(False), "traced": F.lit(True)})
+    return unsound.select("observation_id", F.inline(both)).unionByName(values).unionByName(more)
+
+
 def proof(paths: DataFrame, traced: DataFrame) -> DataFrame:
     """``judged`` of exported paths and their traces."""
-    return judged(_exported(paths).unionByName(traced.withColumn("traced", F.lit(True))))
+    exported = paths.select("observation_id", "path", F.lit(True).alias("exported"), F.lit(False).alias("traced"), *(F.lit(None).cast("string").alias(c) for c in ("source_kind", "source_id")))
+    return judged(exported.unionByName(traced.withColumns({"exported": F.lit(False), "traced": F.lit(True)})))
 
 
 def judged(sides: DataFrame) -> DataFrame:
@@ -129,8 +159,8 @@ def judged(sides: DataFrame) -> DataFrame:
     sources (``traced_twice``). A sound exchange gives no row."""
     # both sides meet in one aggregate whose sums have a fixed width; sources are told apart by 128 bits of their hashes
     source = lambda seed: F.when(F.col("traced") & F.col("source_kind").isNotNull() & F.col("source_id").isNotNull(), F.xxhash64(F.lit(seed), "source_kind", "source_id"))
-    rows = sides.select("observation_id", "path", F.col("traced").alias("_t"), source(1).alias("_h"), source(2).alias("_g"))
+    rows = sides.select("observation_id", "path", F.col("exported").alias("_e"), F.col("traced").alias("_t"), source(1).alias("_h"), source(2).alias("_g"))
     many = (F.min("_h") != F.max("_h")) | (F.min("_g") != F.max("_g"))
-    both = rows.groupBy("observation_id", "path").agg(F.max("_t").alias("_traced"), F.min("_t").alias("_only"), many.alias("_many"))
-    problem: Column = F.when(~F.col("_traced") & ~F.col("path").isin(*STRUCTURE), "untraced").when(F.col("_only"), "not_exported").when(F.col("_many"), "traced_twice")
+    both = rows.groupBy("observation_id", "path").agg(F.max("_e").alias("_exported"), F.max("_t").alias("_traced"), many.alias("_many"))
+    problem: Column = F.when(~F.col("_traced") & ~F.col("path").isin(*STRUCTURE), "untraced").when(~F.col("_exported"), "not_exported").when(F.col("_many"), "traced_twice")
     return both.withColumn("problem", problem).where("problem is not null").select("observation_id", "problem", "path")

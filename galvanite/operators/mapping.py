@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -37,18 +37,17 @@ def _shape(body: str) -> tuple[str, str] | None:
     return '"'.join(parts[::2]), '"'.join(keys)
 
 
-def exported_paths(documents: DataFrame, key: str, text: str, parts: int | None = None) -> DataFrame:
-    """(key, path) for every leaf of every JSON document, once each; a text
-    that is no JSON has the path ``!``. Documents that differ only in their
-    strings have the same paths, which a task lists once. ``parts``: lists of
-    paths are partitioned by the key into so many, before each path is a row."""
+def paths_of(text: Column) -> Column:
+    """The paths of every leaf of a JSON document as an array, once each;
+    ``!`` for a text that is no JSON. Documents that differ only in their
+    strings have the same paths, which a task lists once."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         shapes: dict[tuple[str, str], pa.Array] = {}
         none = pa.array(["!"], pa.string())
         for batch in batches:
             listed = []
-            for body in batch["t"].to_pylist():
+            for body in batch.to_pylist():
                 try:
                     shape = _shape(body)
                     found = shapes.get(shape)
@@ -58,19 +57,18 @@ def exported_paths(documents: DataFrame, key: str, text: str, parts: int | None
                             if len(shapes) >= _SHAPES:
                                 shapes.clear()
                             shapes[shape] = found
-                except (AttributeError, TypeError, ValueError):
+                except (TypeError, ValueError):
                     found = none
                 listed.append(found)
             ends = pa.array([0, *accumulate(map(len, listed))], pa.int32())
-            paths = pa.ListArray.from_arrays(ends, pa.concat_arrays(listed or [none]))
-            yield pa.RecordBatch.from_arrays([batch["k"], paths], names=["k", "paths"])
-
-    kind = dict(documents.dtypes)[key]
-    named = documents.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, paths array<string>")
-    named = named.select(F.col("k").alias(key), "paths")
-    if parts:
-        named = named.repartition(parts, key)  # Python hides where rows lie; equal lists, side by side, take few bytes
-    return named.select(key, F.explode("paths").alias("path"))
+            yield pa.ListArray.from_arrays(ends, pa.concat_arrays(listed or [none]))
+
+    return F.arrow_udf(run, "array<string>").asNondeterministic()(text)  # so that no filter repeats it
+
+
+def exported_paths(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, path) for every leaf of every JSON document, as ``paths_of``."""
+    return documents.select(key, paths_of(F.col(text)).alias("paths")).select(key, F.explode("paths").alias("path"))
 
 
 def mapping_problems(entries: DataFrame, required: DataFrame, key: str) -> DataFrame:

@@ -154,11 +154,11 @@ def exchange_proof(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = lambda field, value: F.struct(F.lit(field).alias("field_name"), F.concat(F.lit("a"), "o_orderkey", F.lit(field)).alias("assertion_id"), value.alias("value"))
     fields = F.array(said("exchange.source.url", F.col("o_orderpriority")), said("exchange.experimental", F.when(F.col("o_orderstatus") == "F", "yes")))
     assertions = orders.select(F.col("o_orderkey").alias("observation_id"), F.inline(fields))
-    sides = exchange.sides(observations, series, points, assertions, parts).where("not (traced and path like '%/url' and observation_id % 17 = 0)")
-    more = lambda rows, path: rows.select("observation_id", F.lit(path).alias("path"), F.lit(True).alias("traced"), F.lit("assertion").alias("source_kind"), F.lit("x").alias("source_id"))
+    more = lambda rows, path: rows.select("observation_id", F.lit(path).alias("path"), F.lit("assertion").alias("source_kind"), F.lit("x").alias("source_id"))
     invented = more(observations.where("observation_id % 19 = 0"), "/nowhere")
     second = more(series.where("at = 1 and observation_id % 23 = 0"), "/resources/0/data/rows/0/c1")
-    return exchange.judged(sides.unionByName(invented).unionByName(second))
+    lost = lambda path: path.like("%/url") & (F.col("observation_id") % 17 == 0)
+    return exchange.judged(exchange.sides(observations, series, points, assertions, invented.unionByName(second), lost, parts))
 
 
 _ITEM = {"campaigns": "''", "work_items": "CAST(work_item_id AS VARCHAR)", "jobs": "CAST(job_id AS VARCHAR)", "attempts": "CAST(attempt_id AS VARCHAR)", "observations": "concat_ws('|', attempt_id, observation_id)"}
